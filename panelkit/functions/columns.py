@@ -24,7 +24,7 @@ def bucket(value: Column | str, edges: Sequence[float] = fv.AGE_EDGES,
            labels: Sequence[str] = fv.AGE_LABELS) -> Column:
     """Label of the band (low, high] that holds the value; null outside all bands."""
     value, out = _col(value), None
-    for low, high, label in zip(edges, edges[1:], labels, strict=True):
+    for low, high, label in zip(edges[:-1], edges[1:], labels, strict=True):
         inside = (value > F.lit(low)) & (value <= F.lit(high))
         out = F.when(inside, label) if out is None else out.when(inside, label)
     return out

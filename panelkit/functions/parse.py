@@ -67,9 +67,13 @@ def read_object(text: Column | str, keys: Sequence[str],
         F.concat(F.lit("["), _col(text), F.lit(f',{{"{_END}":1}}]')),
         f"array<struct<{members}, {_END} int>>", options,
     )
-    marker = F.try_element_at(items, F.lit(2)).getField(_END)
-    whole = (F.size(items) == 2) & (marker == 1)
-    return F.when(whole, F.try_element_at(items, F.lit(1)))
+
+    def only(found: Column) -> Column:
+        marker = F.try_element_at(found, F.lit(2)).getField(_END)
+        return F.when((F.size(found) == 2) & (marker == 1), F.try_element_at(found, F.lit(1)))
+
+    # Bound to a name by the one-element array, so the text is parsed once and not per use.
+    return F.try_element_at(F.transform(F.array(items), only), F.lit(1))
 
 
 def truthy_text(value: Column) -> Column:
@@ -108,14 +112,15 @@ def parse_replies(df: DataFrame, raw: str = "raw_response",
     """
     keys = (*vote_keys, *reason_keys)
     called = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    kept = [c for c in df.columns if c not in ("vote", "reason", "salvaged", "error")]
     parsed = (
         df.withColumn("_text", strip_noise(raw))
         .withColumn("_strict", read_object(outer_object("_text"), keys, control_chars))
         .withColumn("_repaired", F.when(F.col("_strict").isNull(), close_object("_text")))
         .withColumn("_closed", read_object("_repaired", keys, control_chars))
         .withColumn("_members", F.coalesce("_strict", "_closed"))
-        .withColumn("vote", first_alias(F.col("_members"), vote_keys))
-        .withColumn("reason", first_alias(F.col("_members"), reason_keys))
+        .withColumn("_vote", first_alias(F.col("_members"), vote_keys))
+        .withColumn("_reason", first_alias(F.col("_members"), reason_keys))
     )
     names = F.array_join(
         F.json_object_keys(F.coalesce(F.col("_repaired"), outer_object("_text"))), "', '"
@@ -124,17 +129,19 @@ def parse_replies(df: DataFrame, raw: str = "raw_response",
         F.when(F.col("_members").isNull(), F.concat(
             F.lit("no parseable JSON in response: "),
             F.coalesce(preview(raw, 200), F.lit(""))))
-        .when(F.col("vote").isNull() | F.col("reason").isNull(), F.concat(
+        .when(F.col("_vote").isNull() | F.col("_reason").isNull(), F.concat(
             F.lit("missing keys: ["),
             F.when(names != "", F.concat(F.lit("'"), names, F.lit("'"))).otherwise(F.lit("")),
             F.lit("]")))
     )
-    salvaged = F.col("_strict").isNull() & F.col("_closed").isNotNull()
-    return (
-        parsed.withColumn("salvaged", salvaged)
-        .withColumn("error", F.coalesce(called, problem))
-        .drop("_text", "_strict", "_repaired", "_closed", "_members")
+    result = F.struct(
+        F.col("_vote").alias("vote"), F.col("_reason").alias("reason"),
+        (F.col("_strict").isNull() & F.col("_closed").isNotNull()).alias("salvaged"),
+        F.coalesce(called, problem).alias("error"),
     )
+    # As a generator's output the fields are computed once: the optimizer would copy the
+    # whole chain into every filter and use of a plain column.
+    return parsed.select(*kept, F.inline(F.array(result)))
 
 
 def is_good(vote: Column | str = "vote", reason: Column | str = "reason") -> Column:

@@ -1,0 +1,6 @@
+"""Queries over the given tables; importing the package registers them all."""
+
+from panelkit.queries import compare, live, metrics, replies, select, text  # noqa: F401
+from panelkit.queries.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

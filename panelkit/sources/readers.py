@@ -31,7 +31,7 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str) ->
         .csv(path)
     )
     first = schema.names[0]
-    return df.withColumn(first, F.regexp_replace(first, "^﻿", ""))
+    return df.withColumn(first, F.regexp_replace(first, r"^\ufeff", ""))
 
 
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
