@@ -1,5 +1,6 @@
 """Text rendering: profile cards, prompts, profile and summary lines."""
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -63,17 +64,31 @@ def with_block(text: Column | str, block: Column | str,
     )
 
 
+def _token_pattern(slots: Mapping[str, Column | str]) -> str:
+    names = "|".join(r"\{" + name + r"\}" for name in slots)
+    return r"(\{\{|\}\}|" + names + r"|[^{}]+|[{}])"
+
+
+def fill_text(template: str, slots: Mapping[str, Column | str]) -> Column:
+    """``fill_template`` for one template text: its tokens are cut here, rows only concatenate."""
+    parts = []
+    for token in re.findall(_token_pattern(slots), template):
+        if token in "{}":
+            raise ValueError("the template has a stray brace or an unknown slot")
+        slot = slots.get(token[1:-1]) if token[0] + token[-1] == "{}" else None
+        parts.append(F.lit({"{{": "{", "}}": "}"}.get(token, token)) if slot is None
+                     else _col(slot))
+    return F.concat(*parts)
+
+
 def fill_template(template: Column | str, slots: Mapping[str, Column | str]) -> Column:
-    """Fill ``{name}`` slots and unescape ``{{`` and ``}}`` in one pass.
+    """Fill ``{name}`` slots of a template column and unescape ``{{`` and ``}}`` in one pass.
 
     The template is cut into tokens first and each token is replaced on its own,
     so braces inside inserted text are never read as slots. An unknown slot or a
     stray brace gives null, for the caller to send to the dead letters.
     """
-    names = "|".join(r"\{" + name + r"\}" for name in slots)
-    tokens = F.regexp_extract_all(
-        _col(template), F.lit(r"(\{\{|\}\}|" + names + r"|[^{}]+|[{}])"), 1
-    )
+    tokens = F.regexp_extract_all(_col(template), F.lit(_token_pattern(slots)), 1)
 
     def fill(token: Column) -> Column:
         out = F.when(token == "{{", "{").when(token == "}}", "}")
@@ -85,10 +100,12 @@ def fill_template(template: Column | str, slots: Mapping[str, Column | str]) ->
     return F.when(~stray, F.array_join(F.transform(tokens, fill), ""))
 
 
-def user_template(model: Column | str, template: str = fv.USER_TEMPLATE) -> Column:
-    """The user message template, with the no-thinking suffix for models that need it."""
+def user_message(model: Column | str, card: Column | str,
+                 template: str = fv.USER_TEMPLATE) -> Column:
+    """The user message around a card, with the no-thinking suffix for models that need it."""
     needs = F.lower(_col(model)).contains(fv.NO_THINK_MODEL)
-    return F.when(needs, F.lit(template + fv.NO_THINK_SUFFIX)).otherwise(F.lit(template))
+    suffix = F.when(needs, fv.NO_THINK_SUFFIX).otherwise("")
+    return F.concat(fill_text(template, {fv.CARD_SLOT: card}), suffix)
 
 
 def profile_line(columns: Mapping[str, str] | None = None) -> Column:

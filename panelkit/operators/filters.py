@@ -27,12 +27,18 @@ def where_selected(df: DataFrame, choices: Mapping[str, Sequence | None]) -> Dat
     """Each column is among its selected options; an empty list keeps nothing.
 
     ``None`` stands for the full default selection, every option that occurs.
-    Null is not an option, so null rows go in either case.
+    Null is not an option, so null rows go in either case, unless the column has
+    no option at all: then there is nothing to select and it is not filtered.
     """
+    kept = df
     for name, values in choices.items():
-        keep = F.col(name).isNotNull() if values is None else F.col(name).isin(list(values))
-        df = df.where(keep)
-    return df
+        if values is None:
+            # One non-null value settles it, so the probe stops at the first it meets.
+            option = df.where(F.col(name).isNotNull()).select(F.lit(True)).limit(1).scalar()
+            kept = kept.where(F.col(name).isNotNull() | option.isNull())
+        else:
+            kept = kept.where(F.col(name).isin(list(values)))
+    return kept
 
 
 def changed(before: Column | str, after: Column | str) -> Column:

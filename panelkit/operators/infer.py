@@ -24,12 +24,17 @@ ADDED = (
 
 
 def call_model(df: DataFrame, factory: Factory, model: str = "model", version: str = "version",
-               system: str = "system_text", user: str = "user_text") -> DataFrame:
+               system: str = "system_text", user: str = "user_text", tasks: int | None = None,
+               key: str = "persona_uuid") -> DataFrame:
     """Add ``raw_response``, ``elapsed_sec`` and ``error`` to each prompt row.
 
-    The two message columns are consumed. Store the result before using it twice:
-    reading it again calls the function again.
+    The two message columns are consumed. Calls are slow and rows are small, so the
+    partitions a query happens to end with are often too few: ``tasks`` spreads the
+    rows over that many by key, which also bounds what a lost executor asks again.
+    Store the result before using it twice: reading it again calls the function again.
     """
+    if tasks:
+        df = df.repartition(tasks, key)
     kept = [f for f in df.schema.fields if f.name not in (system, user)]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *ADDED])

@@ -1,8 +1,8 @@
 """Equi-joins on the persona key.
 
-No side is broadcast by hint: notes, cohorts and finished keys grow with the
-panel, so the planner's size check and adaptive skew splitting choose the way.
-Null keys match nothing.
+Notes, cohorts and finished keys grow with the panel, so no hint broadcasts them:
+the planner's size check and adaptive skew splitting choose the way. Null keys
+match nothing.
 """
 
 from collections.abc import Sequence
@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_ROWS = 1_000
+
+
+def broadcast_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has at most ``max_rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def enrich(df: DataFrame, notes: DataFrame, key: str = "persona_uuid") -> DataFrame:
     """Every row with its notes; several notes of one key repeat the row."""
     return df.join(notes, key, "left")
@@ -51,8 +59,12 @@ def cohort(df: DataFrame, members: DataFrame, keys: Sequence[str] = ("persona_uu
 
 
 def attach_by_version(df: DataFrame, assets: DataFrame, version: str = "version") -> DataFrame:
-    """The prompt texts of each row's version; rows of an unknown version get nulls."""
-    return df.join(assets, version, "left")
+    """The prompt texts of each row's version; rows of an unknown version get nulls.
+
+    There are few versions with very many rows each, so the texts are broadcast
+    once their number is known to be small.
+    """
+    return df.join(broadcast_small(assets), version, "left")
 
 
 def attach_notes(chunked: DataFrame, notes: DataFrame,

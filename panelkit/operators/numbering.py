@@ -7,37 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelkit import fixed_values as fv
-from panelkit.runtime import checkpoint_root
-
-# monotonically_increasing_id: partition number above bit 33, position below it.
-_ID_BITS = 33
+from panelkit.runtime import new_folder
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
     """Add the 0-based place of each row in the given order, which must be unique.
 
-    The rows are range-partitioned and sorted once and checkpointed there: range
-    bounds come from a sample, so the layout has to be fixed before its partition
-    sizes can serve as offsets. What is joined back is one offset per partition.
+    The rows are range-partitioned, sorted and written once, one ordered run of
+    files per task: range bounds come from a sample, so the layout has to be fixed
+    before file sizes can serve as offsets. A row's place is the rows of the files
+    before its own plus its position in the file, which the reader knows.
     """
-    checkpoint_root(df.sparkSession)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    tagged = placed.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftrightunsigned("_id", _ID_BITS))
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    position = F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    # One row per partition of the checkpoint: its size is bounded by the task count.
+    path = new_folder(df.sparkSession, "ordered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    placed = df.sparkSession.read.schema(df.schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.row_index").alias("_position"))
+    # part-00012-...-c000: task and, where a task wrote several, file within the task.
+    task = F.regexp_extract("_file", r"^part-(\d+)-", 1).cast("int")
+    piece = F.regexp_extract("_file", r"-c(\d+)\.", 1).cast("int")
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(
+        W.orderBy(task, piece).rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_offset"))
+    # One row per written file: bounded by the number of tasks, whatever the table holds.
     return (
-        tagged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + position)
-        .drop("_id", "_part", "_offset")
+        placed.join(F.broadcast(offsets), "_file")
+        .withColumn(name, F.col("_offset") + F.col("_position"))
+        .drop("_file", "_position", "_offset")
     )
 
 
 def chunk_rows(df: DataFrame, order: Sequence[str], size: int = fv.CHUNK_SIZE) -> DataFrame:
-    """Add ``chunk_id`` from 1 and the place ``idx`` from 0 inside it; chunks are full but the last."""
+    """Add ``chunk_id`` from 1 and the place ``idx`` from 0 in it; only the last may be short."""
     return (
         number_rows(df, order, "_row")
         .withColumn("chunk_id", (F.floor(F.col("_row") / size) + 1).cast("int"))

@@ -45,31 +45,31 @@ def sample_per_stratum(df: DataFrame, stratum: str, key: str, n: int, seed: int
     """n rows of each stratum, or all where it has fewer; a null stratum is one too.
 
     The histogram holds at most 16^digits counts per stratum and is combined
-    before its shuffle. The ranked rows are about one in 16^digits of a stratum,
-    so a stratum with a third of the table stays spread over the tasks.
+    before its shuffle. It yields one row per stratum, the digit where the sample
+    ends; only rows with that digit are ranked, about one in 16^digits of the
+    stratum, so a stratum with a third of the table stays spread over the tasks.
     """
     hashed = df.withColumn("_hash", seeded_hash(seed, key)).withColumn(
         "_digit", F.substring("_hash", 1, digits))
     counts = hashed.groupBy(stratum, "_digit").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(
-        W.partitionBy(stratum).orderBy("_digit")
-        .rowsBetween(W.unboundedPreceding, W.currentRow))
-    # Digits that lie wholly inside the sample, and the one the n-th key falls into.
-    needed = (
-        counts.withColumn("_before", upto - F.col("_n"))
+    before = F.sum("_n").over(
+        W.partitionBy(stratum).orderBy("_digit").rowsBetween(W.unboundedPreceding, -1))
+    ends = (
+        counts.withColumn("_before", F.coalesce(before, F.lit(0)))
         .where(F.col("_before") < n)
-        .select(F.col(stratum).alias("_s"), F.col("_digit").alias("_d"),
-                F.least(F.lit(n) - F.col("_before"), F.col("_n")).alias("_take"), "_n")
+        .groupBy(F.col(stratum).alias("_s"))
+        .agg(F.max(F.struct("_digit", "_before")).alias("_end"))
+        .select("_s", F.col("_end._digit").alias("_last"),
+                (F.lit(n) - F.col("_end._before")).alias("_take"))
     )
-    rows = hashed.join(
-        needed, hashed[stratum].eqNullSafe(needed["_s"]) & (hashed["_digit"] == needed["_d"]))
-    whole = rows.where(F.col("_take") == F.col("_n"))
-    place = F.row_number().over(W.partitionBy("_s", "_d").orderBy("_hash", key))
-    part = (
-        rows.where(F.col("_take") < F.col("_n")).withColumn("_place", place)
+    rows = hashed.join(ends, hashed[stratum].eqNullSafe(ends["_s"]))
+    place = F.row_number().over(W.partitionBy("_s").orderBy("_hash", key))
+    inside = rows.where(F.col("_digit") < F.col("_last"))
+    edge = (
+        rows.where(F.col("_digit") == F.col("_last")).withColumn("_place", place)
         .where(F.col("_place") <= F.col("_take"))
     )
-    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+    return inside.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def draw_with_repeats(df: DataFrame, shard: str, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -4,12 +4,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from panelkit import fixed_values as fv
 from panelkit import schemas
 from panelkit.functions.columns import log_order, response_name
 from panelkit.functions.parse import parse_replies, split_replies
-from panelkit.functions.render import card, fill_template, user_template
+from panelkit.functions.render import card, fill_template, user_message
 from panelkit.operators.dedupe import keep_first
 from panelkit.operators.filters import where_equal
 from panelkit.operators.infer import Factory, call_model
@@ -38,26 +39,39 @@ def system_texts(assets: DataFrame) -> DataFrame:
 def prompt_rows(targets: DataFrame, assets: DataFrame, interest: str | None = None) -> DataFrame:
     """Targets (profile, model, version) with ``system_text`` and ``user_text``."""
     texts = attach_by_version(targets, system_texts(assets))
-    return texts.withColumn("user_text", fill_template(
-        user_template("model"), {fv.CARD_SLOT: card(interest=interest)}))
+    return texts.withColumn("user_text", user_message("model", card(interest=interest)))
 
 
-def ask(prompts: DataFrame, factory: Factory, store: str) -> DataFrame:
+def ask(prompts: DataFrame, factory: Factory, store: str, tasks: int | None = None) -> DataFrame:
     """Call the model and store every reply; the stored table is returned.
 
     Replies cost money and differ per call, so nothing downstream may recompute
-    them: they are written first and read back.
+    them: they are written first and read back. A store that is complete is not
+    asked again.
     """
-    stamped = call_model(prompts, factory).withColumn(
-        "timestamp", F.date_format(F.current_timestamp(), fv.TIMESTAMP_FORMAT))
-    stamped.write.mode("append").parquet(store)
-    return prompts.sparkSession.read.parquet(store)
+    spark = prompts.sparkSession
+    if not _is_table(spark, store):
+        stamped = call_model(prompts, factory, tasks=tasks).withColumn(
+            "timestamp", F.date_format(F.current_timestamp(), fv.TIMESTAMP_FORMAT))
+        stamped.write.mode("overwrite").parquet(store)
+    return spark.read.parquet(store)
 
 
-def record(replies: DataFrame, folder: str, control_chars: bool = False) -> DataFrame:
-    """Parse stored replies, append log, documents and dead letters; returns the summary.
+def _is_table(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
-    ``folder`` holds ``log``, ``documents``, ``dead_letters`` and ``summary``.
+
+def record(replies: DataFrame, folder: str, run: str, control_chars: bool = False) -> DataFrame:
+    """Parse the stored replies of a run and add them to the tables; returns the summary.
+
+    ``folder`` holds ``log``, ``documents``, ``dead_letters`` and ``summary``, each with
+    one part per run. Recording a run again replaces its part.
     """
     parsed = (
         parse_replies(replies, control_chars=control_chars)
@@ -67,12 +81,12 @@ def record(replies: DataFrame, folder: str, control_chars: bool = False) -> Data
         .withColumn("system_prompt_version", F.col("version"))
     )
     good, bad = split_replies(parsed)
-    append_log(good, f"{folder}/log")
-    write_documents(good, f"{folder}/documents")
+    append_log(good, f"{folder}/log", run)
+    write_documents(good, f"{folder}/documents", run)
     failed_name = F.concat(F.lit("FAIL_"), F.regexp_replace("response_file", r"\.json$", ".txt"))
-    write_dead_letters(bad.withColumn("file_name", failed_name), f"{folder}/dead_letters")
+    write_dead_letters(bad.withColumn("file_name", failed_name), f"{folder}/dead_letters", run)
     summary = run_summary(parsed, ["model", "version"])
-    write_summary(summary, f"{folder}/summary")
+    write_summary(summary, f"{folder}/summary", run)
     return summary
 
 
@@ -88,20 +102,22 @@ def _unanswered(spark: SparkSession, targets: DataFrame, folder: str) -> DataFra
 
 
 def sample_run(personas: DataFrame, assets: DataFrame, cells: Sequence[tuple[str, str, int]],
-               factory: Factory, folder: str, run: str, seed: int = 0) -> DataFrame:
+               factory: Factory, folder: str, run: str, seed: int = 0,
+               tasks: int | None = None) -> DataFrame:
     """Sample the panel per (model, version, count) cell, ask, and append to the log.
 
-    Personas a cell already has in the log are not asked again, so a run that was
-    interrupted can be started again under a new ``run`` name with the same seed.
+    Personas that a cell has in the log from other runs are not asked again. A run
+    that was interrupted is started again under its own name.
     """
     targets = run_grid(profile_rows(personas), "persona_uuid", cells, seed)
     todo = _unanswered(personas.sparkSession, targets, folder)
-    return record(ask(prompt_rows(todo, assets), factory, f"{folder}/replies/{run}"), folder)
+    replies = ask(prompt_rows(todo, assets), factory, f"{folder}/replies/{run}", tasks)
+    return record(replies, folder, run)
 
 
 def cohort_run(spark: SparkSession, assets: DataFrame, base: tuple[str, str],
                target: tuple[str, str], factory: Factory, folder: str, run: str,
-               interests: DataFrame | None = None) -> DataFrame:
+               interests: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Ask the personas of one (model, version) cell again under another.
 
     ``interests`` adds each persona's note to its card. Personas already answered
@@ -119,4 +135,4 @@ def cohort_run(spark: SparkSession, assets: DataFrame, base: tuple[str, str],
     if interests is not None:
         todo = enrich(todo, interests)
     prompts = prompt_rows(todo, assets, "political_interest" if interests is not None else None)
-    return record(ask(prompts, factory, f"{folder}/replies/{run}"), folder)
+    return record(ask(prompts, factory, f"{folder}/replies/{run}", tasks), folder, run)

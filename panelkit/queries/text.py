@@ -62,7 +62,7 @@ def fill_template(spark, folder):
 FROM documents""")
 def no_think_suffix(spark, folder):
     model = F.when(F.col("lang") == "de", "Qwen3:32b").otherwise(F.col("lang"))
-    prompt = render.fill_template(render.user_template(model), {fv.CARD_SLOT: F.col("text")})
+    prompt = render.user_message(model, "text")
     return table(spark, folder, "documents").select("doc_id", prompt.alias("prompt"))
 
 

@@ -44,8 +44,9 @@ def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The parquet log, partitioned by model and version."""
-    return spark.read.schema(schemas.RESPONSE_LOG).parquet(path)
+    """The parquet log of all runs, partitioned by model and version."""
+    log = spark.read.schema(schemas.RESPONSE_LOG).parquet(path)
+    return log.select(*schemas.RESPONSE_LOG.names)
 
 
 def read_interests(spark: SparkSession, path: str,
@@ -67,7 +68,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     """Documents as ``write_documents`` stores them: one per line, many per file."""
-    return spark.read.schema(schemas.RESPONSE_DOCUMENT).json(path)
+    return spark.read.schema(schemas.RESPONSE_DOCUMENT).json(path).select(
+        *schemas.RESPONSE_DOCUMENT.names)
 
 
 def document_log(documents: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Writers for the log, documents, dead letters, snapshots, chunks and summaries."""
+"""Writers for the log, documents, dead letters, snapshots, chunks and summaries.
+
+Tables that grow take a run name. A run writes its own part of the table, so a run
+that is repeated after a failure replaces its rows and never doubles them.
+"""
 
 from collections.abc import Sequence
 
@@ -11,15 +15,20 @@ from panelkit.sources.readers import with_missing
 LOG_PARTITIONS = ("model", "voter_context_version")
 
 
-def append_log(df: DataFrame, path: str, partitions: Sequence[str] = LOG_PARTITIONS) -> None:
-    """Append rows to the parquet log.
+def _part(path: str, run: str) -> str:
+    return f"{path}/run={run}"
+
+
+def append_log(df: DataFrame, path: str, run: str,
+               partitions: Sequence[str] = LOG_PARTITIONS) -> None:
+    """Add a run's rows to the parquet log.
 
     The rebalance hint lets adaptive execution merge small writes and split the
     partition of a model that holds most of the rows.
     """
     rows = with_missing(df, schemas.RESPONSE_LOG)
-    (rows.hint("rebalance", *partitions).write.mode("append")
-     .partitionBy(*partitions).parquet(path))
+    (rows.hint("rebalance", *partitions).write.mode("overwrite")
+     .partitionBy(*partitions).parquet(_part(path, run)))
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -38,13 +47,13 @@ def documents(df: DataFrame) -> DataFrame:
     return full.select(*[columns[n] for n in schemas.RESPONSE_DOCUMENT.names])
 
 
-def write_documents(df: DataFrame, path: str) -> None:
+def write_documents(df: DataFrame, path: str, run: str) -> None:
     """One JSON document per line, many per file."""
-    documents(df).write.mode("append").json(path)
+    documents(df).write.mode("overwrite").json(_part(path, run))
 
 
-def write_dead_letters(df: DataFrame, path: str) -> None:
-    with_missing(df, schemas.DEAD_LETTER).write.mode("append").parquet(path)
+def write_dead_letters(df: DataFrame, path: str, run: str) -> None:
+    with_missing(df, schemas.DEAD_LETTER).write.mode("overwrite").parquet(_part(path, run))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -70,6 +79,6 @@ def write_chunks(df: DataFrame, path: str, fmt: str = "json", chunks_per_folder:
         writer.options(header=True, escape='"').csv(path)
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """Append run metrics."""
-    df.write.mode("append").json(path)
+def write_summary(df: DataFrame, path: str, run: str) -> None:
+    """Metrics of a run."""
+    df.write.mode("overwrite").json(_part(path, run))

@@ -18,6 +18,9 @@ from panelkit.operators.metrics import exact_sum
 
 REFRESH = "3 seconds"
 
+# Totals are whole in every batch, so only the last few are kept.
+TOTALS_KEPT = 8
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 **options: object) -> DataFrame:
@@ -60,18 +63,19 @@ def live_totals(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: s
     )
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(_batch_folder(path, batch))
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
+            f"{path}/slot={batch % TOTALS_KEPT}")
 
     return _start(totals, "complete", write, checkpoint, refresh)
 
 
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The totals of the newest batch."""
-    rows = spark.read.parquet(path)
+    """The totals of the newest batch; older ones may be replaced while they are read."""
+    rows = spark.read.option("ignoreMissingFiles", True).parquet(path)
     newest = rows.agg(F.max("batch")).scalar()
     return rows.where(F.col("batch") == newest).select(
         "*", (F.col("time").cast("double") / F.col("timed")).alias("mean")
-    ).drop("batch", "time", "timed")
+    ).drop("batch", "slot", "time", "timed")
 
 
 def live_distinct(stream: DataFrame, columns: Sequence[str], path: str, checkpoint: str,
