@@ -1,6 +1,6 @@
 """Scalar column helpers: buckets, rounding, names, versions, lookups."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +12,23 @@ MAX_INLINE_LOOKUP = 200
 # Letters and numbers of any script, underscore, dash and dot stay in a file name.
 UNSAFE_NAME_CHARS = r"[^\p{L}\p{N}_\-.]"
 RESPONSE_NAME = (
-    r"^(FAIL_)?(\d{8}-\d{6})_(.+)_([0-9A-Za-z]{8})(?:_(v\d+))?(?:_(v\d+))?\.(json|txt)$"
+    r"^(FAIL_)?(\d{8}-\d{6})_(.+)_([0-9A-Za-z]{8})(?:_(v\d+))?(?:_(v\d+))?\.(?:json|txt)$"
 )
+_GROUP_MARK = "\x01"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Spark has no let-expression; a one-element array and its element variable are one.
+    """
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def bucket(value: Column | str, edges: Sequence[float] = fv.AGE_EDGES,
            labels: Sequence[str] = fv.AGE_LABELS) -> Column:
     """Label of the band (low, high] that holds the value; null outside all bands."""
@@ -89,18 +98,29 @@ def response_name(timestamp: Column | str, model: Column | str, key: Column | st
 
 
 def response_name_parts(name: Column | str) -> Column:
-    """A struct of the parts of a response or failure file name; absent parts are null."""
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(_col(name), RESPONSE_NAME, group), F.lit(""))
-
-    return F.struct(
-        part(1).isNotNull().alias("failed"),
-        part(2).alias("timestamp"),
-        part(3).alias("model"),
-        part(4).alias("key8"),
-        part(5).alias("voter_context_version"),
-        part(6).alias("system_prompt_version"),
-    )
+    """A struct of the parts of a response or failure file name; absent parts are null.
+
+    The name is matched once: its groups are written out with a separator and split.
+    """
+    groups = _GROUP_MARK.join(f"${i}" for i in range(1, 7))
+    split = F.split(F.regexp_replace(_col(name), RESPONSE_NAME, groups), _GROUP_MARK)
+
+    def parts(found: Column) -> Column:
+        matched = F.size(found) == 6
+
+        def part(i: int) -> Column:
+            return F.when(matched & (found[i] != ""), found[i])
+
+        return F.struct(
+            (matched & (found[0] != "")).alias("failed"),
+            part(1).alias("timestamp"),
+            part(2).alias("model"),
+            part(3).alias("key8"),
+            part(4).alias("voter_context_version"),
+            part(5).alias("system_prompt_version"),
+        )
+
+    return bind(split, parts)
 
 
 def event_time(text: Column | str) -> Column:

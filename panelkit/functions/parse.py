@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit import fixed_values as fv
-from panelkit.functions.columns import _col, preview
+from panelkit.functions.columns import _col, bind, preview
 from panelkit.functions.render import SPACE
 
 _END = "__end_of_reply"
@@ -19,8 +19,15 @@ _END = "__end_of_reply"
 
 def strip_noise(raw: Column | str) -> Column:
     """Drop ``<think>`` blocks, then code fences and the white space after an opening one."""
-    text = F.regexp_replace(_col(raw), r"(?s)<think>.*?</think>", "")
-    return F.regexp_replace(text, rf"```(?:json)?{SPACE}*", "")
+    raw = _col(raw)
+    # Most replies have neither, and a plain search is much cheaper than a pattern.
+    thought = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
+    fence = rf"```(?:json)?{SPACE}*"
+    return (
+        F.when(raw.contains("<think>"), F.regexp_replace(thought, fence, ""))
+        .when(raw.contains("```"), F.regexp_replace(raw, fence, ""))
+        .otherwise(raw)
+    )
 
 
 def outer_object(text: Column | str) -> Column:
@@ -39,10 +46,10 @@ def close_object(text: Column | str) -> Column:
     text = _col(text)
     tail = F.substring_index(text, "{", -1)
     closed = F.concat(F.lit("{"), F.regexp_extract(tail, r"(?s)^.*\}", 0))
-    cut = F.regexp_replace(F.regexp_replace(tail, rf"{SPACE}+\z", ""), r",+\z", "")
-    quotes = F.length(cut) - F.length(F.replace(cut, F.lit('"'), F.lit("")))
+    quotes = F.length(tail) - F.length(F.replace(tail, F.lit('"'), F.lit("")))
     reopened = F.concat(
-        F.lit("{"), cut, F.when(quotes % 2 == 1, F.lit('"')).otherwise(F.lit("")), F.lit("}")
+        F.lit("{"), F.regexp_replace(tail, rf",*{SPACE}*\z", ""),
+        F.when(quotes % 2 == 1, F.lit('"')).otherwise(F.lit("")), F.lit("}")
     )
     return (
         F.when(~text.contains("{"), text)
@@ -72,32 +79,34 @@ def read_object(text: Column | str, keys: Sequence[str],
         marker = F.try_element_at(found, F.lit(2)).getField(_END)
         return F.when((F.size(found) == 2) & (marker == 1), F.try_element_at(found, F.lit(1)))
 
-    # Bound to a name by the one-element array, so the text is parsed once and not per use.
-    return F.try_element_at(F.transform(F.array(items), only), F.lit(1))
+    return bind(items, only)
 
 
-def truthy_text(value: Column) -> Column:
-    """A JSON value as text, or null when it is empty, zero, false or null.
+def is_filled(value: Column) -> Column:
+    """Whether a JSON value is other than empty, zero, false or null.
 
     The JSON type decides: the number 0 is empty, the text "0" is not.
     """
     text = value.cast("string")
     kind = F.schema_of_variant(value)
     number = text.try_cast("double")
-    filled = (
-        F.when(kind == "STRING", text != "")
-        .when(kind == "VOID", F.lit(False))
+    return (
+        F.when(value.isNull() | (kind == "VOID"), F.lit(False))
+        .when(kind == "STRING", text != "")
         .when(kind == "BOOLEAN", text == "true")
         .when(kind.startswith("ARRAY"), text != "[]")
         .when(kind.startswith("OBJECT"), text != "{}")
         .otherwise(number.isNull() | (number != 0))
     )
-    return F.when(filled, text)
 
 
 def first_alias(members: Column, keys: Sequence[str]) -> Column:
-    """The first non-empty value among the names, in their order."""
-    return F.coalesce(*[truthy_text(members.getField(k)) for k in keys])
+    """The first filled value among the names, in their order, as text."""
+    def pick(found: Column) -> Column:
+        values = F.array(*[found.getField(k) for k in keys])
+        return F.try_element_at(F.filter(values, is_filled), F.lit(1)).cast("string")
+
+    return bind(members, pick)
 
 
 def parse_replies(df: DataFrame, raw: str = "raw_response",

@@ -71,7 +71,8 @@ def record(replies: DataFrame, folder: str, run: str, control_chars: bool = Fals
     """Parse the stored replies of a run and add them to the tables; returns the summary.
 
     ``folder`` holds ``log``, ``documents``, ``dead_letters`` and ``summary``, each with
-    one part per run. Recording a run again replaces its part.
+    one part per run. Recording a run again replaces its part. The parsed rows are
+    written once, as ``parsed``, and the four tables are cut from them.
     """
     parsed = (
         parse_replies(replies, control_chars=control_chars)
@@ -80,6 +81,9 @@ def record(replies: DataFrame, folder: str, run: str, control_chars: bool = Fals
         .withColumn("voter_context_version", F.col("version"))
         .withColumn("system_prompt_version", F.col("version"))
     )
+    stored = f"{folder}/parsed/run={run}"
+    parsed.write.mode("overwrite").parquet(stored)
+    parsed = replies.sparkSession.read.schema(parsed.schema).parquet(stored)
     good, bad = split_replies(parsed)
     append_log(good, f"{folder}/log", run)
     write_documents(good, f"{folder}/documents", run)

@@ -28,7 +28,7 @@ def strip_and_extract(spark, folder):
 
 def _cut(spark, folder):
     """Documents as whole, shortened, halved, half-filled and empty replies."""
-    whole, kind = reply_object("lang", "text"), F.pmod("n_chars", F.lit(5))
+    whole, kind = F.col("whole"), F.pmod("n_chars", F.lit(5))
     raw = (
         F.when(kind == 0, whole)
         .when(kind == 1, F.substring(whole, F.lit(1), (F.length(whole) - F.pmod(
@@ -37,7 +37,11 @@ def _cut(spark, folder):
         .when(kind == 3, F.concat(F.lit('{"vote":"'), "lang", F.lit('", ')))
         .otherwise(F.lit(""))
     )
-    return table(spark, folder, "documents").select("doc_id", "lang", raw.alias("raw_response"))
+    return (
+        table(spark, folder, "documents")
+        .select("doc_id", "lang", "n_chars", reply_object("lang", "text").alias("whole"))
+        .select("doc_id", "lang", raw.alias("raw_response"))
+    )
 
 
 CUT = rf"""WITH w AS (SELECT doc_id, lang, n_chars, {REPLY_OBJECT} AS whole FROM documents),
@@ -90,12 +94,13 @@ SELECT event_id, CASE CAST(k AS INTEGER) % 8
     WHEN 4 THEN event_type WHEN 5 THEN event_type WHEN 6 THEN NULL ELSE event_type END AS vote
 FROM e""")
 def first_alias_value(spark, folder):
-    k, kind = F.get_json_object("props", "$.k"), F.pmod(
-        F.get_json_object("props", "$.k").cast("int"), F.lit(8))
-    quoted = F.concat(F.lit('"'), "event_type", F.lit('"'))
+    events = table(spark, folder, "events").select(
+        "event_id", F.concat(F.lit('"'), "event_type", F.lit('"')).alias("quoted"),
+        F.get_json_object("props", "$.k").alias("k"))
+    kind = F.pmod(F.col("k").cast("int"), F.lit(8))
 
     def shape(template: str):
-        return F.replace(F.replace(F.lit(template), F.lit("$k"), k), F.lit("$e"), quoted)
+        return F.replace(F.replace(F.lit(template), F.lit("$k"), "k"), F.lit("$e"), "quoted")
 
     text = (
         F.when(kind == 0, shape('{"party": $e, "vote": "$k"}'))
@@ -108,8 +113,8 @@ def first_alias_value(spark, folder):
         .otherwise(shape('{"지지정당": $e}'))
     )
     keys = ("vote", "party", "정당", "지지정당", "투표", "선택", "지지")
-    return table(spark, folder, "events").select(
-        "event_id", first_alias(read_object(text, keys), keys).alias("vote"))
+    return events.select("event_id", text.alias("text")).select(
+        "event_id", first_alias(read_object("text", keys), keys).alias("vote"))
 
 
 @query(f"""SELECT conv_id, turn, {STRIPPED.replace('raw_response', "'<think>x</think>```json ' || text || '```'")} AS text
@@ -120,15 +125,21 @@ def noise_stripped(spark, folder):
         "conv_id", "turn", strip_noise(raw).alias("text"))
 
 
-def length_rule(model: str, version: str):
-    """A fixed rule in the place of a model: it answers by the length of the message."""
-    def answer(system: str, user: str) -> str:
-        if len(user) > 8000:
-            raise ValueError("message too long")
-        size = "long" if len(user) >= 1000 else "short"
-        return f'{{"vote": "{model} {size}", "reason": "{system}: {len(user)}",'
+def length_rule():
+    """A fixed rule in the place of a model: it answers by the length of the message.
+
+    Nested, so that it travels to the workers by value and they need no import.
+    """
+    def factory(model: str, version: str):
+        def answer(system: str, user: str) -> str:
+            if len(user) > 8000:
+                raise ValueError("message too long")
+            size = "long" if len(user) >= 1000 else "short"
+            return f'{{"vote": "{model} {size}", "reason": "{system}: {len(user)}",'
+
+        return answer
 
-    return answer
+    return factory
 
 
 @query("""SELECT doc_id,
@@ -141,5 +152,5 @@ def batch_infer(spark, folder):
     prompts = table(spark, folder, "documents").select(
         "doc_id", F.col("lang").alias("model"), F.col("source").alias("version"),
         F.col("source").alias("system_text"), F.col("text").alias("user_text"))
-    return parse_replies(call_model(prompts, length_rule)).select(
+    return parse_replies(call_model(prompts, length_rule())).select(
         "doc_id", "vote", "reason", "error")
