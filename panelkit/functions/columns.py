@@ -129,13 +129,20 @@ def event_time(text: Column | str) -> Column:
 
 
 def log_order(response_file: Column | str = "response_file") -> Column:
-    """An order for the log: the leading time of the file name, ties by the whole name.
+    """An order for the log: the time its file names start with, ties by the rest of the name.
 
-    The log has no time column of its own and a distributed table no file order.
-    Names sort by their time first, so (time, name) orders rows as they were written.
+    The log has no time column of its own and a distributed table no file order. The
+    time has a fixed width and leads the name, so the plain name sorts that way.
     """
-    name = _col(response_file)
-    return F.struct(F.regexp_extract(name, r"\d{8}-\d{6}", 0).alias("at"), name.alias("name"))
+    return _col(response_file)
+
+
+def all_present(*columns: str) -> Column:
+    """No column is null; unlike ``dropna`` a predicate the scan can push down."""
+    out = F.lit(True)
+    for name in columns:
+        out = out & F.col(name).isNotNull()
+    return out
 
 
 def version_number(version: Column | str) -> Column:

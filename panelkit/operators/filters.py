@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.columns import _col
+from panelkit.functions.columns import _col, all_present
 
 
 def where_equal(df: DataFrame, **values: object) -> DataFrame:
@@ -55,7 +55,7 @@ def unchanged(before: Column | str, after: Column | str) -> Column:
 
 def complete(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with no null among the columns."""
-    return df.dropna(subset=list(columns))
+    return df.where(all_present(*columns))
 
 
 def version_pair_error(voter: Column | str, system: Column | str) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.columns import _col
+from panelkit.functions.columns import _col, all_present
 
 
 def exact_sum(value: Column | str, digits: int = 3) -> Column:
@@ -46,7 +46,7 @@ def kpi(df: DataFrame, model: str = "model", persona: str = "persona_uuid",
 
 def group_size(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataFrame:
     """Rows per key; rows with a null key are left out."""
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return df.where(all_present(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
 def share_of_group(df: DataFrame, group: Sequence[str], answer: str) -> DataFrame:
@@ -82,7 +82,7 @@ def cross_count(df: DataFrame, dimension: str, answer: str,
 def mean_count(df: DataFrame, keys: Sequence[str], value: str = "elapsed_sec",
                digits: int = 3) -> DataFrame:
     """Mean and number of the non-null values per key; null keys are left out."""
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(
+    return df.where(all_present(*keys)).groupBy(*keys).agg(
         exact_mean(value, digits).alias("mean"), F.count(value).alias("count")
     )
 

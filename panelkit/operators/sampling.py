@@ -1,10 +1,9 @@
 """Feeds, previews and seeded samples.
 
 A sample is the first n keys in the order of ``md5(seed|key)``: the same on every
-run and every partitioning. Small samples are a top-n. Large ones never sort or
-group the table: a histogram over the first hash digits finds the digit at which
-the n-th key lies, rows before it are taken as they stream by, and only the rows
-of that one digit are ranked.
+run and every partitioning. Each operator first finds where the n-th row lies, on the
+ordering column alone, and then takes the rows up to there. So one task never
+receives n wide rows from every other task, as a plain top-n over many tasks does.
 """
 
 from collections.abc import Sequence
@@ -15,17 +14,34 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.numbering import number_rows
 
-SMALL_SAMPLE = 10_000
+# Up to here n hashes per task are a small top-n; beyond, a histogram finds the n-th.
+SMALL_SAMPLE = 100
 HASH_DIGITS = 4
 
 
-def recent(df: DataFrame, order: Column, n: int = 10) -> DataFrame:
-    """The last n rows, newest first."""
-    return df.orderBy(order.desc()).limit(n)
+def _edge_of_first(df: DataFrame, column: Column, n: int, ascending: bool) -> Column:
+    """The n-th value of a column, as a scalar subquery over that column alone."""
+    order, last = (F.asc, F.max) if ascending else (F.desc, F.min)
+    first = df.select(column.alias("_o")).orderBy(order("_o")).limit(n)
+    return first.agg(last("_o")).scalar()
 
 
-def head(df: DataFrame, order: Column, n: int = 3) -> DataFrame:
-    return df.orderBy(order.asc()).limit(n)
+def recent(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The last n rows by the columns of ``order``, newest first; the first column has no nulls.
+
+    The test on the first column is an ordinary predicate, so on a log that grows in
+    time order the scan skips all but the newest files.
+    """
+    first = F.col(order[0])
+    newest = df.where(first >= _edge_of_first(df, first, n, ascending=False))
+    return newest.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def head(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
+    """The first n rows by the columns of ``order``; the first column has no nulls."""
+    first = F.col(order[0])
+    oldest = df.where(first <= _edge_of_first(df, first, n, ascending=True))
+    return oldest.orderBy(*order).limit(n)
 
 
 def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
@@ -35,38 +51,54 @@ def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of a table with one row per key, without repeats."""
+    hashed = seeded_hash(seed, key)
     if n <= SMALL_SAMPLE:
-        return df.orderBy(seeded_hash(seed, key), key).limit(n)
-    return sample_per_stratum(df.withColumn("_all", F.lit(0)), "_all", key, n, seed).drop("_all")
+        inside = df.where(hashed <= _edge_of_first(df, hashed, n, ascending=True))
+        return inside.orderBy(hashed, key).limit(n)
+    whole = _first_by_hash(df.withColumn("_hash", hashed), [], F.lit(n), key, HASH_DIGITS)
+    return whole.drop("_hash")
 
 
 def sample_per_stratum(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0,
                        digits: int = HASH_DIGITS) -> DataFrame:
-    """n rows of each stratum, or all where it has fewer; a null stratum is one too.
+    """n rows of each stratum, or all where it has fewer; a null stratum is one too."""
+    hashed = df.withColumn("_hash", seeded_hash(seed, key))
+    return _first_by_hash(hashed, [stratum], F.lit(n), key, digits).drop("_hash")
+
+
+def _first_by_hash(df: DataFrame, group: Sequence[str], n: Column, key: str, digits: int
+                   ) -> DataFrame:
+    """The n rows of each group with the lowest ``_hash``; n is the same within a group.
 
-    The histogram holds at most 16^digits counts per stratum and is combined
-    before its shuffle. It yields one row per stratum, the digit where the sample
-    ends; only rows with that digit are ranked, about one in 16^digits of the
-    stratum, so a stratum with a third of the table stays spread over the tasks.
+    A histogram over the leading hash digits holds at most 16^digits counts per group
+    and is combined before its shuffle. It yields one row per group, the digits at which
+    the n-th row lies. Rows before them are taken as they stream by and only rows with
+    just those digits are ranked, about one in 16^digits of a group. So a group with a
+    third of the table stays spread over the tasks.
     """
-    hashed = df.withColumn("_hash", seeded_hash(seed, key)).withColumn(
-        "_digit", F.substring("_hash", 1, digits))
-    counts = hashed.groupBy(stratum, "_digit").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(
-        W.partitionBy(stratum).orderBy("_digit").rowsBetween(W.unboundedPreceding, -1))
+    rows = df.withColumns({"_digit": F.substring("_hash", 1, digits), "_n": n})
+    counts = rows.groupBy(*group, "_n", "_digit").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(
+        W.partitionBy(*group).orderBy("_digit").rowsBetween(W.unboundedPreceding, -1))
     ends = (
         counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where(F.col("_before") < n)
-        .groupBy(F.col(stratum).alias("_s"))
+        .where(F.col("_before") < F.col("_n"))
+        .groupBy(*[F.col(c).alias(f"_end{c}") for c in group], "_n")
         .agg(F.max(F.struct("_digit", "_before")).alias("_end"))
-        .select("_s", F.col("_end._digit").alias("_last"),
-                (F.lit(n) - F.col("_end._before")).alias("_take"))
+        .select(*[f"_end{c}" for c in group], F.col("_end._digit").alias("_last"),
+                (F.col("_n") - F.col("_end._before")).alias("_take"))
     )
-    rows = hashed.join(ends, hashed[stratum].eqNullSafe(ends["_s"]))
-    place = F.row_number().over(W.partitionBy("_s").orderBy("_hash", key))
-    inside = rows.where(F.col("_digit") < F.col("_last"))
+    if group:
+        same = [rows[c].eqNullSafe(ends[f"_end{c}"]) for c in group]
+        found = rows.join(ends, same)
+    else:
+        end = ends.select(F.struct("_last", "_take")).scalar()
+        found = rows.withColumns(
+            {"_last": end.getField("_last"), "_take": end.getField("_take")})
+    inside = found.where(F.col("_digit") < F.col("_last"))
+    place = F.row_number().over(W.partitionBy(*group).orderBy("_hash", key))
     edge = (
-        rows.where(F.col("_digit") == F.col("_last")).withColumn("_place", place)
+        found.where(F.col("_digit") == F.col("_last")).withColumn("_place", place)
         .where(F.col("_place") <= F.col("_take"))
     )
     return inside.select(*df.columns).unionByName(edge.select(*df.columns))
@@ -104,14 +136,14 @@ def run_grid(df: DataFrame, key: str, cells: Sequence[tuple[str, str, int]], see
              model: str = "model", version: str = "version") -> DataFrame:
     """Personas to ask in each (model, version, count) cell of a hand-written grid.
 
-    Each cell takes its own sample of the panel.
+    Each cell takes its own sample of the panel. The cells travel as one literal, so
+    the panel is read the same number of times for any number of cells.
     """
-    parts = [
-        sample_n(df, key, n, f"{seed}|{m}|{v}").withColumns(
-            {model: F.lit(m), version: F.lit(v)})
+    grid = F.array(*[
+        F.struct(F.lit(m).alias(model), F.lit(v).alias(version), F.lit(n).alias("_count"))
         for m, v, n in cells
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ])
+    rows = df.select("*", F.inline(grid)).withColumn(
+        "_hash", seeded_hash(seed, model, version, key))
+    picked = _first_by_hash(rows, [model, version], F.col("_count"), key, HASH_DIGITS)
+    return picked.drop("_hash", "_count")

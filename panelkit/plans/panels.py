@@ -36,7 +36,7 @@ def dashboard(log: DataFrame, selected: Mapping[str, Sequence | None] | None = N
     chosen = where_selected(view, {
         "model": None, "voter_context_version": None, "system_prompt_version": None,
         **(selected or {})})
-    feed = recent(where_any_of(view, facets or {}), log_order(), n_recent)
+    feed = recent(where_any_of(view, facets or {}), ["response_file"], n_recent)
     return {
         "kpi": metrics.kpi(log),
         "share_by_model": metrics.share_of_group(view, ["model"], "vote"),

@@ -6,20 +6,20 @@ from panelkit.operators import joins, sampling, sets
 from panelkit.operators.filters import (
     version_pair_error, where_any_of, where_equal, where_selected)
 from panelkit.operators.numbering import chunk_rows
-from panelkit.queries.base import LOG, log, log_order, query, table
+from panelkit.queries.base import LOG, log, query, table
 
 
 @query(f"""WITH {LOG} SELECT event_id, ts, persona, vote, elapsed_sec, props, model, version
 FROM log WHERE vote IN ('purchase', 'signup') ORDER BY ts DESC, event_id DESC LIMIT 50""")
 def recent_feed(spark, folder):
     view = where_any_of(log(spark, folder), {"vote": ["purchase", "signup"], "model": []})
-    return sampling.recent(view, log_order(), 50)
+    return sampling.recent(view, ["ts", "event_id"], 50)
 
 
 @query(f"""WITH {LOG} SELECT event_id, ts, persona, vote, elapsed_sec, props, model, version
 FROM log ORDER BY ts, event_id LIMIT 3""")
 def head_preview(spark, folder):
-    return sampling.head(log(spark, folder), log_order(), 3)
+    return sampling.head(log(spark, folder), ["ts", "event_id"], 3)
 
 
 @query(f"""WITH {LOG} SELECT event_id, persona, vote FROM log WHERE model = 'm/a' AND version = 'v3'""")

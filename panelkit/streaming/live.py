@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from panelkit.functions.columns import all_present
 from panelkit.operators.dedupe import keep_last
 from panelkit.operators.metrics import exact_sum
 
@@ -57,7 +58,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, refresh: str | None =
 def live_totals(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str,
                 latency: str = "elapsed_sec", refresh: str | None = REFRESH) -> StreamingQuery:
     """Rows and latency per key, refreshed whole; state is one entry per group."""
-    totals = stream.dropna(subset=list(keys)).groupBy(*keys).agg(
+    totals = stream.where(all_present(*keys)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
         F.count(latency).alias("timed"), exact_sum(latency).alias("time"),
     )
@@ -82,23 +83,27 @@ def live_distinct(stream: DataFrame, columns: Sequence[str], path: str, checkpoi
                   refresh: str | None = REFRESH) -> StreamingQuery:
     """How many new distinct values of each column a batch brought.
 
-    Streaming aggregation has no exact distinct count. Here the state holds the keys
-    seen, only new ones pass, and a batch writes one number per column.
+    Streaming aggregation has no exact distinct count. Here the state holds the first
+    and last batch time of each value. A value whose times are equal is new, and a batch
+    writes one number per column. Rows are combined before the shuffle, which streaming
+    ``dropDuplicates`` would not do: a model with a third of the rows would meet in one task.
     """
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
         for c in columns
     ])
-    fresh = (
-        stream.select(F.inline(pairs)).where(F.col("value").isNotNull())
-        .dropDuplicates(["column", "value"])
+    seen = (
+        stream.select(F.inline(pairs), F.current_timestamp().alias("at"))
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     )
+    fresh = seen.where(F.col("first") == F.col("last"))
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.groupBy("column").agg(F.count(F.lit(1)).alias("added")).write.mode(
             "overwrite").parquet(_batch_folder(path, batch))
 
-    return _start(fresh, "append", write, checkpoint, refresh)
+    return _start(fresh, "update", write, checkpoint, refresh)
 
 
 def read_distinct(spark: SparkSession, path: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_wide_compare_is_one_shuffle(spark):
 
 def test_feed_is_a_top_n(spark):
     plan = _plan(spark, "recent_feed")
-    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    assert "TakeOrderedAndProject" in plan and "Exchange hash" not in plan
     assert "PushedFilters: [In(event_type" in plan
 
 

@@ -80,11 +80,18 @@ def test_run_grid(people):
     df, values = people
     got = sampling.run_grid(df, "k", [("m", "v1", 5), ("m", "v2", 7)], 1)
     assert got.groupBy("version").count().orderBy("version").collect() == [("v1", 5), ("v2", 7)]
-    want = {k for k, _ in sorted(values, key=lambda v: md5("1|m|v1", v[0]))[:5]}
+    want = {k for k, _ in sorted(values, key=lambda v: md5("1", "m", "v1", v[0]))[:5]}
     assert {r.k for r in got.where("version = 'v1'").collect()} == want
 
 
+def test_large_sample_joins_nothing(people, monkeypatch):
+    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 0)
+    df = sampling.sample_n(people[0], "k", 50, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
 def test_feed_and_head(spark):
     df = spark.range(20).repartition(3)
-    assert [r.id for r in sampling.recent(df, F.col("id"), 3).collect()] == [19, 18, 17]
-    assert [r.id for r in sampling.head(df, F.col("id"), 2).collect()] == [0, 1]
+    assert [r.id for r in sampling.recent(df, ["id"], 3).collect()] == [19, 18, 17]
+    assert [r.id for r in sampling.head(df, ["id"], 2).collect()] == [0, 1]
