@@ -26,7 +26,7 @@ def strip_and_extract(spark, folder):
     return parse_replies(_wrapped(spark, folder)).drop("raw_response")
 
 
-def _cut(spark, folder):
+def cut_replies(spark, folder):
     """Documents as whole, shortened, halved, half-filled and empty replies."""
     whole, kind = F.col("whole"), F.pmod("n_chars", F.lit(5))
     raw = (
@@ -72,12 +72,12 @@ parsed AS (SELECT doc_id, lang, raw_response, vote, reason, NOT strict AND repai
 
 @query(f"{CUT} SELECT doc_id, vote, reason, salvaged, error FROM parsed")
 def repair_truncated(spark, folder):
-    return parse_replies(_cut(spark, folder)).drop("lang", "raw_response")
+    return parse_replies(cut_replies(spark, folder)).drop("lang", "raw_response")
 
 
 @query(f"""{CUT} SELECT doc_id, lang, error, raw_response FROM parsed WHERE error IS NOT NULL""")
 def dead_letter_split(spark, folder):
-    return split_replies(parse_replies(_cut(spark, folder)))[1]
+    return split_replies(parse_replies(cut_replies(spark, folder)))[1]
 
 
 @query(f"""{CUT} SELECT lang, count(*) AS attempts,
@@ -85,7 +85,7 @@ def dead_letter_split(spark, folder):
   count(*) FILTER (WHERE error IS NULL) / CAST(count(*) AS DOUBLE) AS rate
 FROM parsed GROUP BY 1""")
 def run_success(spark, folder):
-    return run_summary(parse_replies(_cut(spark, folder)), ["lang"], latency=None)
+    return run_summary(parse_replies(cut_replies(spark, folder)), ["lang"], latency=None)
 
 
 @query("""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events)

@@ -6,9 +6,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+LOCAL_MEMORY = "12g"
+
+
 def build_session(app: str = "panelkit", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution and UTC; a cluster's own settings win elsewhere."""
+    """A session with adaptive execution and UTC; a cluster's own settings win elsewhere.
+
+    With a local ``master`` the one process is driver and executor, so it gets more than
+    the default memory.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -17,7 +24,10 @@ def build_session(app: str = "panelkit", master: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = (
+            builder.master(master).config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", LOCAL_MEMORY)
+        )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
