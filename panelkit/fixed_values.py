@@ -77,6 +77,12 @@ USER_TEMPLATE = (
 NO_THINK_MODEL = "qwen3"
 NO_THINK_SUFFIX = "\n\n/no_think"
 
+# White space of every script, as str.isspace counts it.
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Event-time text and the names that carry it.
 TIMESTAMP_FORMAT = "yyyyMMdd-HHmmss"
 CHUNK_SIZE = 10

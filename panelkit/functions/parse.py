@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from panelkit import fixed_values as fv
 from panelkit.functions.columns import _col, bind, preview
-from panelkit.functions.render import SPACE
 
 _END = "__end_of_reply"
+_FENCE = rf"```(?:json)?[{fv.WHITE_SPACE}]*"
 
 
 def strip_noise(raw: Column | str) -> Column:
@@ -22,10 +22,9 @@ def strip_noise(raw: Column | str) -> Column:
     raw = _col(raw)
     # Most replies have neither, and a plain search is much cheaper than a pattern.
     thought = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    fence = rf"```(?:json)?{SPACE}*"
     return (
-        F.when(raw.contains("<think>"), F.regexp_replace(thought, fence, ""))
-        .when(raw.contains("```"), F.regexp_replace(raw, fence, ""))
+        F.when(raw.contains("<think>"), F.regexp_replace(thought, _FENCE, ""))
+        .when(raw.contains("```"), F.regexp_replace(raw, _FENCE, ""))
         .otherwise(raw)
     )
 
@@ -48,7 +47,7 @@ def close_object(text: Column | str) -> Column:
     closed = F.concat(F.lit("{"), F.regexp_extract(tail, r"(?s)^.*\}", 0))
     quotes = F.length(tail) - F.length(F.replace(tail, F.lit('"'), F.lit("")))
     reopened = F.concat(
-        F.lit("{"), F.regexp_replace(tail, rf",*{SPACE}*\z", ""),
+        F.lit("{"), F.rtrim(F.rtrim(tail, F.lit(fv.WHITE_SPACE)), F.lit(",")),
         F.when(quotes % 2 == 1, F.lit('"')).otherwise(F.lit("")), F.lit("}")
     )
     return (

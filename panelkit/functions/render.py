@@ -9,13 +9,9 @@ from pyspark.sql import functions as F
 from panelkit import fixed_values as fv
 from panelkit.functions.columns import _col, preview
 
-# White space as text tools count it, the four ASCII separators included.
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-
-
 def strip(text: Column | str) -> Column:
-    """Trim white space of every script; ``F.trim`` takes spaces only."""
-    return F.regexp_replace(_col(text), rf"^{SPACE}+|{SPACE}+\z", "")
+    """Trim white space of every script; a plain ``F.trim`` takes spaces only."""
+    return F.trim(_col(text), F.lit(fv.WHITE_SPACE))
 
 
 def _bullet(label: str, value: Column) -> Column:

@@ -16,9 +16,13 @@ from pyspark.sql import types as T
 Scorer = Callable[[str, str], str]
 Factory = Callable[[str, str], Scorer]
 
+# The log's event time, as the workers write it.
+STAMP = "%Y%m%d-%H%M%S"
+
 ADDED = (
     T.StructField("raw_response", T.StringType()),
     T.StructField("elapsed_sec", T.DoubleType()),
+    T.StructField("timestamp", T.StringType()),
     T.StructField("error", T.StringType()),
 )
 
@@ -26,7 +30,7 @@ ADDED = (
 def call_model(df: DataFrame, factory: Factory, model: str = "model", version: str = "version",
                system: str = "system_text", user: str = "user_text", tasks: int | None = None,
                key: str = "persona_uuid") -> DataFrame:
-    """Add ``raw_response``, ``elapsed_sec`` and ``error`` to each prompt row.
+    """Add ``raw_response``, ``elapsed_sec``, ``timestamp`` (UTC) and ``error`` to each prompt row.
 
     The two message columns are consumed. Calls are slow and rows are small, so the
     partitions a query happens to end with are often too few: ``tasks`` spreads the
@@ -42,7 +46,7 @@ def call_model(df: DataFrame, factory: Factory, model: str = "model", version: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers: dict[tuple, Scorer] = {}
         for rows in batches:
-            replies, times, errors = [], [], []
+            replies, times, stamps, errors = [], [], [], []
             columns = [rows.column(c).to_pylist() for c in (model, version, system, user)]
             for *setting, system_text, user_text in zip(*columns):
                 started = time.perf_counter()
@@ -57,9 +61,10 @@ def call_model(df: DataFrame, factory: Factory, model: str = "model", version: s
                     error = f"{type(problem).__name__}: {problem}"
                 replies.append(reply)
                 times.append(round(time.perf_counter() - started, 3))
+                stamps.append(time.strftime(STAMP, time.gmtime()))
                 errors.append(error)
             added = (pa.array(replies, pa.string()), pa.array(times, pa.float64()),
-                     pa.array(errors, pa.string()))
+                     pa.array(stamps, pa.string()), pa.array(errors, pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(c) for c in names), *added], names=schema.names)
 

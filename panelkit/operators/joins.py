@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 
 MAX_BROADCAST_ROWS = 1_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast if it has at most ``max_rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The table marked for broadcast if its rows and their text are few, else as it is."""
+    text = F.octet_length(F.to_json(F.struct("*")))
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0)))
+    rows, size_bytes = size.first()
+    return F.broadcast(df) if rows <= max_rows and size_bytes <= max_bytes else df
 
 
 def enrich(df: DataFrame, notes: DataFrame, key: str = "persona_uuid") -> DataFrame:

@@ -51,9 +51,7 @@ def ask(prompts: DataFrame, factory: Factory, store: str, tasks: int | None = No
     """
     spark = prompts.sparkSession
     if not _is_table(spark, store):
-        stamped = call_model(prompts, factory, tasks=tasks).withColumn(
-            "timestamp", F.date_format(F.current_timestamp(), fv.TIMESTAMP_FORMAT))
-        stamped.write.mode("overwrite").parquet(store)
+        call_model(prompts, factory, tasks=tasks).write.mode("overwrite").parquet(store)
     return spark.read.parquet(store)
 
 

@@ -112,7 +112,11 @@ def read_distinct(spark: SparkSession, path: str) -> DataFrame:
 
 def live_latest(stream: DataFrame, keys: Sequence[str], order: Column, path: str, checkpoint: str,
                 refresh: str | None = REFRESH) -> StreamingQuery:
-    """The last row per key; a batch writes only the keys that changed."""
+    """The last row per key; a batch writes only the keys that changed.
+
+    The folder grows by those changes; ``read_latest`` gives one row per key, to be
+    written elsewhere when a stream has run for long.
+    """
     rest = [c for c in stream.columns if c not in keys]
     latest = stream.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), order).alias("_row")

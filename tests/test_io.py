@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import types as T
 
 from panelkit import schemas
+from panelkit.functions.columns import log_order
+from panelkit.operators import compare
 from panelkit.operators.numbering import chunk_rows
 from panelkit.sources import readers, sinks
 
@@ -61,6 +63,9 @@ def test_log_append_is_idempotent_per_run(spark, tmp_path):
     assert got.columns == schemas.RESPONSE_LOG.names
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         map(tuple, df.collect()), key=repr)
+    wide = compare.wide_compare(got, {"a": ("q/n", "v2")}, log_order(), values=("vote",))
+    scan = wide._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1]
+    assert "(model" in scan.split("PushedFilters")[0] and "= q/n)" in scan.split("PushedFilters")[0]
     plan = got.where("model = 'q/n'").select("vote")._jdf.queryExecution().executedPlan()
     assert "PartitionFilters: [isnotnull(model" in plan.toString()
 

@@ -185,6 +185,11 @@ def test_mean_count_and_value_counts(data):
                       for v, n in counts.items()}
 
 
+def test_mean_of_nothing(spark, rows):
+    df = spark.createDataFrame([("a", None), ("b", 1.5)], "model string, elapsed_sec double")
+    assert rows(metrics.mean_count(df, ["model"])) == [("a", None, 0), ("b", 1.5, 1)]
+
+
 def test_exact_mean_is_independent_of_order(spark):
     values = [0.1 * i for i in range(1, 2000)] + [1e9, -1e9 + 0.001]
     df = spark.createDataFrame([(round(v, 3),) for v in values], "x double")
@@ -234,8 +239,9 @@ def test_todo_cohort_difference(spark, rows):
 def test_broadcast_only_when_small(spark):
     small = spark.range(3).withColumnRenamed("id", "k")
     assert "broadcast" in joins.broadcast_small(small, 3)._jdf.queryExecution().toString().lower()
-    plan = joins.broadcast_small(small, 2)._jdf.queryExecution().logical().toString().lower()
-    assert "hint" not in plan
+    for limits in ((2, 1000), (3, 5)):
+        plan = joins.broadcast_small(small, *limits)._jdf.queryExecution().logical().toString()
+        assert "hint" not in plan.lower()
 
 
 def test_lookup_join(spark, rows):
