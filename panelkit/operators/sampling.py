@@ -107,11 +107,12 @@ def _first_by_hash(df: DataFrame, group: Sequence[str], n: Column, key: str, dig
 def draw_with_repeats(df: DataFrame, shard: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n independent draws: a shard at random, then a row of it; repeats can occur.
 
-    Rows are numbered by (shard, key), so a draw is a row number and the draws
-    join the rows by it. A draw's two random numbers come from its own hash.
+    The keys are numbered by (shard, key), so a draw is a row number and joins its key
+    by it; whole rows are read only for the keys drawn. A draw's two random numbers come
+    from its own hash. Keys are unique and shards are not null.
     """
     spark = df.sparkSession
-    numbered = number_rows(df, [shard, key], "_row")
+    numbered = number_rows(df.select(shard, key), [shard, key], "_row")
     shards = number_rows(
         numbered.groupBy(shard).agg(
             F.min("_row").alias("_start"), F.count(F.lit(1)).alias("_size")),
@@ -126,10 +127,11 @@ def draw_with_repeats(df: DataFrame, shard: str, key: str, n: int, seed: int = 0
     draws = spark.range(n).select(
         F.col("id").alias("draw"), uniform("shard").alias("_a"), uniform("row").alias("_b"))
     picked = draws.withColumn("_shard", F.pmod("_a", n_shards)).join(shards, "_shard")
-    return (
+    drawn = (
         picked.select("draw", (F.col("_start") + F.pmod("_b", "_size")).alias("_row"))
         .join(numbered, "_row").drop("_row")
     )
+    return drawn.join(df, [shard, key]).select("draw", *df.columns)
 
 
 def run_grid(df: DataFrame, key: str, cells: Sequence[tuple[str, str, int]], seed: int = 0,

@@ -11,14 +11,12 @@ from panelkit.functions.parse import close_object, is_good, parse_replies, split
 
 
 def closed(text):
-    start = text.rfind("{")
-    if start < 0:
-        return text
-    rest = text[start:]
-    if "}" in rest:
-        return rest[: rest.rindex("}") + 1]
-    rest = rest.rstrip().rstrip(",")
-    return rest + ('"' if rest.count('"') % 2 else "") + "}"
+    _, brace, rest = text.rpartition("{")
+    inner, end, _ = rest.rpartition("}")
+    if not end:
+        inner = re.sub(r",*\Z", "", re.sub(r"\s*\Z", "", rest))
+        inner += '"' * (inner.count('"') % 2)
+    return brace + inner + "}" if brace else text
 
 
 def expected(raw):
