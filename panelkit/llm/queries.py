@@ -1,19 +1,30 @@
 """One query per operator over its whole table, and the SQL twins that can be written."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import line_dedup, mixing, quality, sharding
+from panelkit.llm import line_dedup, mixing, packing, quality, sharding, token_files
 from panelkit.llm.common import cut
 from panelkit.queries.base import table
+from panelkit.runtime import new_folder
 
 KEY_SQL = (
     "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 SQL: dict[str, str] = {}
 
 
+def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), TOKENIZER, path)
+    return token_files.read_tokens(spark, path, TOKENIZER).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped",
@@ -100,6 +111,12 @@ FROM counted
 """
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cuts = packing.pieces(table(spark, folder, "documents"), TOKENIZER)
+    return packing.pack(cuts).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sizes = cut(mixing.sized(table(spark, folder, "documents")), "mix-sizes")
     return mixing.apply_mix(sizes, mixing.plan_mix(sizes)).select(
@@ -114,4 +131,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_line_dedup, op6_quality_rules, op9_mixing, op10_sharding)}
+    op1_token_output, op4_line_dedup, op6_quality_rules, op7_packing, op9_mixing, op10_sharding)}
