@@ -4,12 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and
 before the next. All stages but the last return the columns of ``documents``.
 """
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import line_dedup, mixing, quality
+from panelkit.llm import line_dedup, mixing, ngram_join, packing, quality
 from panelkit.llm.common import cut
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, with their texts as they are.
@@ -17,15 +20,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document and its verdict meet on doc_id, source and a hash of the text, so repeated
     rows, rows without doc_id and equal ids of different texts each get their own.
     """
-    keys = ["doc_id", "source", "_text"]
-    kept = (
-        quality.judge(docs.withColumn("_text", F.xxhash64("text"))).where("kept")
-        .select(*[F.col(k).alias(f"_k{k}") for k in keys]).distinct())
-    same = None
-    for k in keys:
-        equal = F.col(k).eqNullSafe(F.col(f"_k{k}"))
-        same = equal if same is None else same & equal
-    return docs.withColumn("_text", F.xxhash64("text")).join(kept, same, "left_semi").drop("_text")
+    kept = quality.judge(docs).where("kept").select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text").alias("_t"))
+    same = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+            & (F.xxhash64("text") == F.col("_t")))
+    return docs.join(kept, same, "left_semi")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +33,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts whose word 5-grams agree to 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources at their target weights; a document may come twice."""
     sizes = cut(mixing.sized(docs), "mix-sizes")
     return mixing.mixed_rows(docs, mixing.plan_mix(sizes)).select(*docs.columns)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: every piece of every document with its place."""
+    return packing.pack(packing.pieces(docs, TOKENIZER)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 STAGES = [
     ("quality rules", keep_good),
     ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_copies),
     ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
 ]
 
 # Hash orders decide which documents are drawn and how they are packed.

@@ -3,7 +3,7 @@
 Defined results: a null text is one empty line; a repeated row counts once (equal doc_id)
 and both rows get the same result; all rows without doc_id are one document that no line
 stays in if another holds it; an empty table gives an empty table; other columns pass
-through unless they bear the name of a result column, which then replaces them.
+through unless they start with an underscore or bear the name of a result column.
 """
 
 from pyspark.sql import Column, DataFrame

@@ -13,7 +13,8 @@ first words, so taken words equal the rounded target.
 
 Defined results: a null text has size 0 and is never drawn; null sources are one source
 that comes last; rows alike in source, doc_id and text share what falls on them evenly;
-empty tables give empty tables; other columns pass through, and give way to result columns.
+empty tables give empty tables; other columns pass through ``mixed_rows`` unless they start
+with an underscore or bear the name of a result column.
 """
 
 from dataclasses import dataclass
@@ -205,10 +206,13 @@ def apply_mix(docs: DataFrame, plan: MixPlan) -> DataFrame:
     """``docs`` (with ``_text`` and ``size``) and its source's size and target, its draws
     (pass, words, shard) and the words taken."""
     sources = plan.sources.select(
-        F.col("source").alias("_source"), "source_size", "target", "passes", "blocks",
-        "rest_blocks", "starts", "end", "edge_end")
+        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"), F.col("passes").alias("_passes"),
+        F.col("blocks").alias("_blocks"), F.col("rest_blocks").alias("_rest_blocks"),
+        F.col("starts").alias("_starts"), F.col("end").alias("_end"),
+        F.col("edge_end").alias("_edge_end"))
     edges = plan.edges.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"),
-                              F.col("_text").alias("_t"), "words")
+                              F.col("_text").alias("_t"), F.col("words").alias("_words"))
     keep = [c for c in docs.columns if c not in RESULTS]
     joined = (
         docs.select(*keep, "size")
@@ -216,29 +220,30 @@ def apply_mix(docs: DataFrame, plan: MixPlan) -> DataFrame:
         .join(edges, F.col("source").eqNullSafe(F.col("_s"))
               & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")),
               "left")
-        .withColumn("_at", place(F.col("passes")))
+        .withColumn("_at", place(F.col("_passes")))
     )
-    last = F.when(F.col("_at") < F.col("end"), F.col("size")).when(
-        F.col("_at") < F.col("edge_end"), F.coalesce("words", F.lit(0))).otherwise(0)
+    last = F.when(F.col("_at") < F.col("_end"), F.col("size")).when(
+        F.col("_at") < F.col("_edge_end"), F.coalesce("_words", F.lit(0))).otherwise(0)
 
     def draw(number: Column, words: Column, block: Column) -> Column:
-        at = number * F.col("blocks") + block
-        shard = F.size(F.filter("starts", lambda s: s <= at)) - 1
+        at = number * F.col("_blocks") + block
+        shard = F.size(F.filter("_starts", lambda s: s <= at)) - 1
         return F.struct(number.cast("int").alias("pass"), words.cast("long").alias("words"),
                         shard.cast("int").alias("shard"))
 
     def block_of(at: Column) -> Column:
-        return F.floor(at / F.lit(float(1 << BITS)) * F.col("blocks"))
+        return F.floor(at / F.lit(float(1 << BITS)) * F.col("_blocks"))
 
     whole = F.when(
-        (F.col("passes") > 0) & (F.col("size") > 0),
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1),
+        (F.col("_passes") > 0) & (F.col("size") > 0),
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1),
                     lambda p: draw(p, F.col("size"), block_of(place(p)))))
-    part = F.when(last > 0, F.array(draw(F.col("passes"), last, F.least(
-        block_of(F.col("_at")), F.col("rest_blocks") - 1))))
+    part = F.when(last > 0, F.array(draw(F.col("_passes"), last, F.least(
+        block_of(F.col("_at")), F.col("_rest_blocks") - 1))))
     none = F.array().cast("array<struct<pass:int,words:bigint,shard:int>>")
     drawn = joined.select(
-        *keep, "size", "source_size", "target",
+        *keep, "size", F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
         F.concat(F.coalesce(whole, none), F.coalesce(part, none)).alias("draws"))
     return drawn.withColumn("taken", F.aggregate(
         "draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
@@ -246,13 +251,14 @@ def apply_mix(docs: DataFrame, plan: MixPlan) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, plan: MixPlan) -> DataFrame:
     """The mix itself: a row per draw with the words it takes, its shard and local order."""
-    columns = docs.columns
-    sizes = docs.withColumn("_text", F.xxhash64("text")).withColumn(
-        "size", word_count(F.col("text")))
+    columns = [c for c in docs.columns if c not in RESULTS and not c.startswith("_")]
+    sizes = docs.select(*columns, F.xxhash64("text").alias("_text"),
+                        word_count(F.col("text")).alias("size"))
     drawn = apply_mix(sizes, plan).withColumn("_draw", F.explode("draws"))
-    head = F.regexp_extract(
-        "text", F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"),
-                         F.col("_draw.words"), F.lit("})")), 1)
+    # Words with the white space before them; only the document at a quota's end needs it.
+    runs = F.regexp_extract_all(
+        "text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    head = F.array_join(F.slice(runs, F.lit(1), F.col("_draw.words").cast("int")), "")
     whole = F.col("_draw.words") == F.col("size")
     taken = {"text": F.when(whole, F.col("text")).otherwise(head)}
     if "n_chars" in columns:

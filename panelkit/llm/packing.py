@@ -8,7 +8,7 @@ themselves, and run again; an exchange counts only if it saves sequences.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows are
 packed each for itself; an empty table gives an empty table; other columns pass through
-``pack`` and give way to ``sequence_id`` and ``offset``.
+``pack`` unless they start with an underscore or are ``sequence_id`` or ``offset``.
 """
 
 import zlib
@@ -151,7 +151,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, exchanges: int = EXCHANGES,
 
     Each turn is one shuffle of narrow rows by part, written before the next.
     """
-    columns = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    columns = [c for c in rows.columns
+               if c not in ("sequence_id", "offset") and not c.startswith("_")]
     numbered = cut(rows.select(*columns).withColumn(
         "_row", F.monotonically_increasing_id()), "pieces")
     count = numbered.count()

@@ -11,7 +11,8 @@ copied a thousand times is not taken for boilerplate; that is left to deduplicat
 
 Defined results: a null text has no word and fails the base rules; documents without
 source form one host; repeated rows get the same result and count once; an empty table
-gives an empty table.
+gives an empty table; other columns pass through unless they start with an underscore or bear
+the name of a result column.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -113,8 +114,8 @@ def host_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
           left_percent: int = LEFT_PERCENT, min_points: int = MIN_POINTS) -> DataFrame:
-    """One row per row of ``docs``: its columns but the text, the counts, ``n_left`` words
-    outside frequent lines, ``base_failed`` and ``kept``.
+    """One row per row of ``docs``: its columns but the text, which is left as its hash
+    ``_text``, the counts, ``n_left`` words outside frequent lines, ``base_failed``, ``kept``.
 
     Texts are not moved: lines travel as hashes, counts as numbers.
     """
@@ -134,9 +135,9 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
         .groupBy("doc_id", "source", "_text")
         .agg(F.sum("n").alias("_boiler"))
     )
-    rows = features(docs.withColumn("_text", F.xxhash64("text")))
-    copies = [c for c in docs.columns if c not in ("text", "base_failed", "kept", "n_left",
-                                                   *FEATURES)]
+    results = ("text", "base_failed", "kept", "n_left", *FEATURES)
+    copies = [c for c in docs.columns if c not in results and not c.startswith("_")]
+    rows = features(docs.select(*copies, "text", F.xxhash64("text").alias("_text")))
     same_doc = (
         F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
         & F.col("d.source").eqNullSafe(F.col("b.source"))
@@ -144,7 +145,7 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
     left = F.greatest(F.col("n_words") - F.coalesce("_boiler", F.lit(0)), F.lit(0))
     return (
         rows.drop("text").alias("d").join(boiler.alias("b"), same_doc, "left")
-        .select(*[F.col(f"d.{c}") for c in [*copies, *FEATURES]], left.alias("n_left"))
+        .select(*[F.col(f"d.{c}") for c in [*copies, "_text", *FEATURES]], left.alias("n_left"))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed")
                     & (100 * F.col("n_left") >= left_percent * F.col("n_words")))

@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import line_dedup, mixing, packing, quality, sharding, token_files
+from panelkit.llm import (
+    language, line_dedup, mixing, ngram_join, packing, pages, quality, sharding, token_files,
+    topk)
 from panelkit.llm.common import cut
 from panelkit.queries.base import table
 from panelkit.runtime import new_folder
@@ -25,6 +27,33 @@ def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op3_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+SQL["op3_exact_topk"] = """
+WITH clean AS (
+  SELECT vec_id, row_number() OVER () AS n,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM clean q JOIN clean c ON q.n <> c.n WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER)
+         AS rank, vec_id, score
+FROM pairs
+QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped",
@@ -50,6 +79,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, folder, "documents")).select(
+        "doc_id", "rep_id", "class_id", "n_links")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select(
         "doc_id", *quality.FEATURES, "base_failed", "kept", "n_left")
@@ -117,6 +151,15 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    model = language.learn(docs, F.coalesce(~held_out, F.lit(False)))
+    return language.predict(
+        docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"),
+        model).drop("text")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sizes = cut(mixing.sized(table(spark, folder, "documents")), "mix-sizes")
     return mixing.apply_mix(sizes, mixing.plan_mix(sizes)).select(
@@ -131,4 +174,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_output, op4_line_dedup, op6_quality_rules, op7_packing, op9_mixing, op10_sharding)}
+    op1_token_output, op2_page_text, op3_exact_topk, op4_line_dedup, op5_ngram_join,
+    op6_quality_rules, op7_packing, op8_language_id, op9_mixing, op10_sharding)}

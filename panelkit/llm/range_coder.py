@@ -125,7 +125,7 @@ class Plan:
 
 def plan_lanes(n: int) -> Plan:
     """Lanes of equal runs; only the last that has ids may be shorter, later ones are empty."""
-    lanes = min(LANES, max(1, n // 32))
+    lanes = min(LANES, max(1, n // 256))
     steps = max(1, -(-n // lanes))
     sizes = np.clip(n - np.arange(lanes) * steps, 0, steps)
     edges = sorted({0, *(int(steps * r) for r in ROUNDS), steps})
