@@ -62,6 +62,13 @@ FACET_LABELS = {
     "career_goals_and_ambitions": "목표·포부",
 }
 
+# Columns of the raw view and of the feed's filters, in display order.
+RAW_VIEW = (
+    "persona_uuid", "model", "vote", "sex", "age", "province", "district", "occupation",
+    "education_level", "reason", "elapsed_sec",
+)
+FACETS = ("sex", "province", "occupation", "education_level")
+
 # Stand-ins for absent values.
 NO_FIELD_OF_STUDY = "해당없음"
 NO_ANSWER = "(없음)"

@@ -1,5 +1,6 @@
 """Scalar column helpers: buckets, rounding, names, versions, lookups."""
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -7,8 +8,6 @@ from pyspark.sql import functions as F
 
 from panelkit import fixed_values as fv
 
-MAX_INLINE_LOOKUP = 200
-
 # Letters and numbers of any script, underscore, dash and dot stay in a file name.
 UNSAFE_NAME_CHARS = r"[^\p{L}\p{N}_\-.]"
 RESPONSE_NAME = (
@@ -137,6 +136,18 @@ def log_order(response_file: Column | str = "response_file") -> Column:
     return _col(response_file)
 
 
+def utc_name(name: Column | str, zone: str) -> Column:
+    """A response file name whose leading local time of ``zone`` is put in UTC.
+
+    Workers stamp UTC; names brought in from elsewhere are put in the same clock, or the
+    order of the log would be wrong by the offset. Names without a time stay.
+    """
+    name = _col(name)
+    stamp = F.regexp_extract(name, r"^(\d{8}-\d{6})(?=_)", 1)
+    at = F.date_format(F.to_utc_timestamp(event_time(stamp), zone), fv.TIMESTAMP_FORMAT)
+    return F.coalesce(F.concat(at, F.substring(name, F.lit(16), F.length(name))), name)
+
+
 def all_present(*columns: str) -> Column:
     """No column is null; unlike ``dropna`` a predicate the scan can push down."""
     out = F.lit(True)
@@ -146,23 +157,24 @@ def all_present(*columns: str) -> Column:
 
 
 def version_number(version: Column | str) -> Column:
-    """The number after the ``v``, so that v10 sorts after v9."""
-    return F.substring(_col(version), 2, 9).try_cast("int")
+    """The whole number after the ``v``, so that v10 sorts after v9; null without one.
+
+    As a decimal of 38 digits it holds dated versions of any precision.
+    """
+    return F.nullif(F.regexp_extract(_col(version), r"^v(\d+)$", 1), F.lit("")).try_cast(
+        "decimal(38,0)")
 
 
 def lookup(key: Column | str, values: Mapping[str, str] = fv.ANSWER_COLORS,
            default: str = fv.DEFAULT_COLOR) -> Column:
     """The value listed for a key, or the default.
 
-    The list travels inside the plan, so its size is bounded; larger lists
-    belong in a table and a join (``operators.joins.lookup_join``).
+    The list is one literal of the plan, whatever its length; a list that is a table
+    belongs in a join (``operators.joins.lookup_join``).
     """
-    if len(values) > MAX_INLINE_LOOKUP:
-        raise ValueError(f"over {MAX_INLINE_LOOKUP} entries: use lookup_join")
-    key, out = _col(key), None
-    for name, value in values.items():
-        out = F.when(key == name, value) if out is None else out.when(key == name, value)
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    text = json.dumps(dict(values), ensure_ascii=False)
+    listed = F.from_json(F.lit(text), "map<string,string>")
+    return F.coalesce(F.try_element_at(listed, _col(key)), F.lit(default))
 
 
 def preview(text: Column | str, length: int) -> Column:

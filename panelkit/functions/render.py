@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from panelkit import fixed_values as fv
-from panelkit.functions.columns import _col, preview
+from panelkit.functions.columns import _col, preview, tenths_text
 
 def strip(text: Column | str) -> Column:
     """Trim white space of every script; a plain ``F.trim`` takes spaces only."""
@@ -128,13 +128,20 @@ def profile_line(columns: Mapping[str, str] | None = None) -> Column:
 
 def summary_line(position: Column | str, total: Column | str, sex: Column | str,
                  age: Column | str, province: Column | str, occupation: Column | str,
-                 answer: Column | str) -> Column:
-    """The fixed-width progress line of one answered row."""
-    return F.format_string(
+                 answer: Column | str, seconds: Column | str | None = None,
+                 file_name: Column | str | None = None) -> Column:
+    """The fixed-width progress line of one answered row.
+
+    With ``seconds`` and ``file_name`` it ends with the latency and where the reply is.
+    """
+    line = F.format_string(
         f"[%3d/%d] %s %d{fv.AGE_SUFFIX} %-6s %-14s → %-10s",
         _col(position), _col(total), _col(sex), _col(age), _col(province),
         preview(occupation, 14), preview(answer, 10),
     )
+    if seconds is None or file_name is None:
+        return line
+    return F.concat(line, F.lit(" ("), tenths_text(seconds), F.lit("s) → "), _col(file_name))
 
 
 def answer_or_none(answer: Column | str) -> Column:

@@ -8,6 +8,7 @@ the other rows go on.
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,44 +30,66 @@ ADDED = (
 
 def call_model(df: DataFrame, factory: Factory, model: str = "model", version: str = "version",
                system: str = "system_text", user: str = "user_text", tasks: int | None = None,
-               key: str = "persona_uuid") -> DataFrame:
+               key: str = "persona_uuid",
+               prepare: Callable[[DataFrame], DataFrame] | None = None,
+               at_once: int = 1) -> DataFrame:
     """Add ``raw_response``, ``elapsed_sec``, ``timestamp`` (UTC) and ``error`` to each prompt row.
 
     The two message columns are consumed. Calls are slow and rows are small, so the
     partitions a query happens to end with are often too few: ``tasks`` spreads the
-    rows over that many by key, which also bounds what a lost executor asks again.
-    Store the result before using it twice: reading it again calls the function again.
+    rows over that many by key and cell, which also bounds what a lost executor asks
+    again. ``prepare`` adds the message columns after that, so texts are not shuffled.
+    ``at_once`` calls of a task run side by side; above 1 the callable must allow that.
+    Latency is that of the call, without making the callable. Store the result before
+    using it twice: reading it again calls the function again.
     """
     if tasks:
-        df = df.repartition(tasks, key)
+        df = df.repartition(tasks, key, model, version)
+    if prepare:
+        df = prepare(df)
     kept = [f for f in df.schema.fields if f.name not in (system, user)]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *ADDED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers: dict[tuple, Scorer] = {}
-        for rows in batches:
-            replies, times, stamps, errors = [], [], [], []
-            columns = [rows.column(c).to_pylist() for c in (model, version, system, user)]
-            for *setting, system_text, user_text in zip(*columns):
-                started = time.perf_counter()
-                reply, error, setting = None, None, tuple(setting)
+        scorers: dict[tuple, Scorer | Exception] = {}
+
+        def scorer(setting: tuple) -> Scorer | Exception | None:
+            """The setting's callable; one that cannot be made is tried again next time."""
+            if not isinstance(scorers.get(setting), Callable):
                 try:
-                    if system_text is None or user_text is None:
-                        raise ValueError("prompt could not be filled")
-                    if setting not in scorers:
-                        scorers[setting] = factory(*setting)
-                    reply = scorers[setting](system_text, user_text)
+                    scorers[setting] = factory(*setting)
                 except Exception as problem:
-                    error = f"{type(problem).__name__}: {problem}"
-                replies.append(reply)
-                times.append(round(time.perf_counter() - started, 3))
-                stamps.append(time.strftime(STAMP, time.gmtime()))
-                errors.append(error)
-            added = (pa.array(replies, pa.string()), pa.array(times, pa.float64()),
-                     pa.array(stamps, pa.string()), pa.array(errors, pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in names), *added], names=schema.names)
+                    scorers[setting] = problem
+            return scorers[setting]
+
+        def call(row: tuple) -> tuple:
+            use, system_text, user_text = row
+            reply, error, started = None, None, time.perf_counter()
+            try:
+                if system_text is None or user_text is None:
+                    raise ValueError("prompt could not be filled")
+                if isinstance(use, Exception):
+                    raise use
+                reply = use(system_text, user_text)
+            except Exception as problem:
+                error = f"{type(problem).__name__}: {problem}"
+            took = round(time.perf_counter() - started, 3)
+            return reply, took, time.strftime(STAMP, time.gmtime()), error
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for rows in batches:
+                columns = [rows.column(c).to_pylist() for c in (model, version, system, user)]
+                ready = [
+                    (None if s is None or u is None else scorer((m, v)), s, u)
+                    for m, v, s, u in zip(*columns, strict=True)]
+                each = map(call, ready) if at_once == 1 else pool.map(call, ready)
+                added = list(zip(*each, strict=True)) or [(), (), (), ()]
+                kinds = (pa.string(), pa.float64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(c) for c in names),
+                     *(pa.array(a, k) for a, k in zip(added, kinds, strict=True))],
+                    names=schema.names)
 
     return df.mapInArrow(run, schema)
 

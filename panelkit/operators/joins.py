@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# A table marked for broadcast has at most so many rows and bytes of text.
 MAX_BROADCAST_ROWS = 1_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 32
 
 
 def broadcast_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
@@ -66,10 +68,16 @@ def cohort(df: DataFrame, members: DataFrame, keys: Sequence[str] = ("persona_uu
 def attach_by_version(df: DataFrame, assets: DataFrame, version: str = "version") -> DataFrame:
     """The prompt texts of each row's version; rows of an unknown version get nulls.
 
-    There are few versions with very many rows each, so the texts are broadcast
-    once their number is known to be small.
+    There are few versions with very many rows each. Few texts are broadcast. More are kept
+    in every salt, so a version's rows still spread over the tasks.
     """
-    return df.join(broadcast_small(assets), version, "left")
+    small = broadcast_small(assets)
+    if small is not assets:
+        return df.join(small, version, "left")
+    salted = assets.select("*", F.explode(
+        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [version, "_salt"], "left").drop("_salt")
 
 
 def attach_notes(chunked: DataFrame, notes: DataFrame,

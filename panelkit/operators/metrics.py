@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from panelkit.functions.columns import _col, all_present
 
 
-def exact_sum(value: Column | str, digits: int = 3) -> Column:
-    """Sum of values that carry at most ``digits`` decimals, independent of order."""
-    return F.sum(_col(value).cast(f"decimal(28,{digits})"))
+def exact_sum(value: Column | str) -> Column:
+    """Sum independent of order, of decimals to 18 places and totals below 1e20.
+
+    A double has at most 17 significant digits, so a latency of a millisecond or more
+    keeps them all.
+    """
+    return F.sum(_col(value).cast("decimal(38,18)"))
 
 
-def exact_mean(value: Column | str, digits: int = 3) -> Column:
+def exact_mean(value: Column | str) -> Column:
     """Mean over the non-null values, from the exact sum."""
-    return exact_sum(value, digits).cast("double") / F.count(_col(value))
+    return exact_sum(value).cast("double") / F.count(_col(value))
 
 
 def kpi(df: DataFrame, model: str = "model", persona: str = "persona_uuid",
-        latency: str = "elapsed_sec", digits: int = 3) -> DataFrame:
+        latency: str = "elapsed_sec") -> DataFrame:
     """Rows, models, mean latency and personas, in one row.
 
     Two distinct counts in one aggregation would read every row three times over.
@@ -36,7 +40,7 @@ def kpi(df: DataFrame, model: str = "model", persona: str = "persona_uuid",
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(model).alias("n_models"),
-        exact_mean(latency, digits).alias("mean_latency"),
+        exact_mean(latency).alias("mean_latency"),
     ).withColumn("n_personas", personas)
 
 
@@ -61,12 +65,13 @@ def cross_count(df: DataFrame, dimension: str, answer: str,
     """Rows per (dimension, answer).
 
     ``labels`` lists the values of an ordered dimension: every label is then paired
-    with every answer that occurs, with a count of 0 where there are no rows.
+    with every answer that occurs, with a count of 0 where there are no rows. An answer
+    occurs wherever it is given, also on rows outside all labels.
     """
     counts = group_size(df, [dimension, answer])
     if labels is None:
         return counts
-    answers = counts.select(answer).distinct()
+    answers = df.where(F.col(answer).isNotNull()).select(answer).distinct()
     cells = answers.select(
         F.explode(F.array(*map(F.lit, labels))).alias(dimension), answer
     )
@@ -75,11 +80,10 @@ def cross_count(df: DataFrame, dimension: str, answer: str,
     )
 
 
-def mean_count(df: DataFrame, keys: Sequence[str], value: str = "elapsed_sec",
-               digits: int = 3) -> DataFrame:
+def mean_count(df: DataFrame, keys: Sequence[str], value: str = "elapsed_sec") -> DataFrame:
     """Mean and number of the non-null values per key; null keys are left out."""
     return df.where(all_present(*keys)).groupBy(*keys).agg(
-        exact_mean(value, digits).alias("mean"), F.count(value).alias("count")
+        exact_mean(value).alias("mean"), F.count(value).alias("count")
     )
 
 
@@ -118,11 +122,12 @@ def success_rate(good: DataFrame, bad: DataFrame, keys: Sequence[str] = ()) -> D
 
 
 def run_summary(parsed: DataFrame, keys: Sequence[str] = (), error: str = "error",
-                latency: str | None = "elapsed_sec", digits: int = 3) -> DataFrame:
-    """Attempts, successes, rate and mean latency of a parsed run, from one pass."""
+                latency: str | None = "elapsed_sec") -> DataFrame:
+    """Attempts, successes, rate and mean latency of the successes, from one pass."""
     ok = F.count_if(F.col(error).isNull())
     measures = [F.count(F.lit(1)).alias("attempts"), ok.alias("successes"),
                 (ok / F.count(F.lit(1))).alias("rate")]
     if latency:
-        measures.append(exact_mean(latency, digits).alias("mean_latency"))
+        timed = F.when(F.col(error).isNull(), F.col(latency))
+        measures.append(exact_mean(timed).alias("mean_latency"))
     return parsed.groupBy(*keys).agg(*measures)

@@ -1,9 +1,8 @@
 """Feeds, previews and seeded samples.
 
-A sample is the first n keys in the order of ``md5(seed|key)``: the same on every
-run and every partitioning. Each operator first finds where the n-th row lies, on the
-ordering column alone, and then takes the rows up to there. So one task never
-receives n wide rows from every other task, as a plain top-n over many tasks does.
+A sample is the first n keys in the order of ``md5(seed|key)``: the same on every run
+and every partitioning. Operators first find where the n-th row lies, on keys alone, and
+take the whole rows last.
 """
 
 from collections.abc import Sequence
@@ -14,34 +13,38 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.numbering import number_rows
 
-# Up to here n hashes per task are a small top-n; beyond, a histogram finds the n-th.
-SMALL_SAMPLE = 100
+# Hash digits a level of the search looks at, and levels. Rows that agree with the n-th in
+# all of them, about one in 16^12, are ranked in one window.
 HASH_DIGITS = 4
+LEVELS = 3
 
 
 def _edge_of_first(df: DataFrame, column: Column, n: int, ascending: bool) -> Column:
-    """The n-th value of a column, as a scalar subquery over that column alone."""
+    """The n-th non-null value of a column, as a scalar subquery; null if there are fewer."""
     order, last = (F.asc, F.max) if ascending else (F.desc, F.min)
-    first = df.select(column.alias("_o")).orderBy(order("_o")).limit(n)
-    return first.agg(last("_o")).scalar()
+    first = df.select(column.alias("_o")).where(F.col("_o").isNotNull()).orderBy(
+        order("_o")).limit(n)
+    return first.agg(F.when(F.count("_o") == n, last("_o"))).scalar()
 
 
 def recent(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
-    """The last n rows by the columns of ``order``, newest first; the first column has no nulls.
+    """The last n rows by the columns of ``order``, newest first, nulls last.
 
     The test on the first column is an ordinary predicate, so on a log that grows in
     time order the scan skips all but the newest files.
     """
     first = F.col(order[0])
-    newest = df.where(first >= _edge_of_first(df, first, n, ascending=False))
-    return newest.orderBy(*[F.desc(c) for c in order]).limit(n)
+    edge = _edge_of_first(df, first, n, ascending=False)
+    newest = df.where((first >= edge) | edge.isNull())
+    return newest.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(n)
 
 
 def head(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
-    """The first n rows by the columns of ``order``; the first column has no nulls."""
+    """The first n rows by the columns of ``order``, nulls last."""
     first = F.col(order[0])
-    oldest = df.where(first <= _edge_of_first(df, first, n, ascending=True))
-    return oldest.orderBy(*order).limit(n)
+    edge = _edge_of_first(df, first, n, ascending=True)
+    oldest = df.where((first <= edge) | edge.isNull())
+    return oldest.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(n)
 
 
 def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
@@ -50,58 +53,67 @@ def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows of a table with one row per key, without repeats."""
-    hashed = seeded_hash(seed, key)
-    if n <= SMALL_SAMPLE:
-        inside = df.where(hashed <= _edge_of_first(df, hashed, n, ascending=True))
-        return inside.orderBy(hashed, key).limit(n)
-    whole = _first_by_hash(df.withColumn("_hash", hashed), [], F.lit(n), key, HASH_DIGITS)
-    return whole.drop("_hash")
+    """n rows of a table with one row per key, without repeats; rows without key are left out."""
+    rows = df.withColumns({"_hash": seeded_hash(seed, key), "_n": F.lit(n)})
+    return _first_keys(rows, [], key).select(*df.columns)
 
 
 def sample_per_stratum(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0,
                        digits: int = HASH_DIGITS) -> DataFrame:
     """n rows of each stratum, or all where it has fewer; a null stratum is one too."""
-    hashed = df.withColumn("_hash", seeded_hash(seed, key))
-    return _first_by_hash(hashed, [stratum], F.lit(n), key, digits).drop("_hash")
+    keys = df.select(stratum, key).withColumns(
+        {"_hash": seeded_hash(seed, key), "_n": F.lit(n)})
+    return df.join(_first_keys(keys, [stratum], key, digits).select(key), key).select(*df.columns)
 
 
-def _first_by_hash(df: DataFrame, group: Sequence[str], n: Column, key: str, digits: int
-                   ) -> DataFrame:
-    """The n rows of each group with the lowest ``_hash``; n is the same within a group.
+def _first_keys(keys: DataFrame, group: Sequence[str], key: str, digits: int = HASH_DIGITS,
+                levels: int = LEVELS) -> DataFrame:
+    """The ``_n`` keys of each group with the lowest ``_hash``.
 
-    A histogram over the leading hash digits holds at most 16^digits counts per group
-    and is combined before its shuffle. It yields one row per group, the digits at which
-    the n-th row lies. Rows before them are taken as they stream by and only rows with
-    just those digits are ranked, about one in 16^digits of a group. So a group with a
-    third of the table stays spread over the tasks.
+    Each level counts the keys per hash prefix, combined before the shuffle, and goes on
+    in the prefix where the n-th key lies: at most 16^digits counts per group. Keys
+    before that prefix are taken as they stream by. Only keys that share the whole prefix
+    with the n-th are ranked, so a group with a third of the table stays spread.
     """
-    rows = df.withColumns({"_digit": F.substring("_hash", 1, digits), "_n": n})
-    counts = rows.groupBy(*group, "_n", "_digit").agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(
-        W.partitionBy(*group).orderBy("_digit").rowsBetween(W.unboundedPreceding, -1))
-    ends = (
-        counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where(F.col("_before") < F.col("_n"))
-        .groupBy(*[F.col(c).alias(f"_end{c}") for c in group], "_n")
-        .agg(F.max(F.struct("_digit", "_before")).alias("_end"))
-        .select(*[f"_end{c}" for c in group], F.col("_end._digit").alias("_last"),
-                (F.col("_n") - F.col("_end._before")).alias("_take"))
-    )
-    if group:
-        same = [rows[c].eqNullSafe(ends[f"_end{c}"]) for c in group]
-        found = rows.join(ends, same)
-    else:
-        end = ends.select(F.struct("_last", "_take")).scalar()
-        found = rows.withColumns(
-            {"_last": end.getField("_last"), "_take": end.getField("_take")})
-    inside = found.where(F.col("_digit") < F.col("_last"))
+    keys = keys.where(F.col(key).isNotNull())
+    ends = None
+    for level in range(1, levels + 1):
+        at = F.substring("_hash", 1, digits * level)
+        inside = keys if ends is None else _with_ends(keys, ends, group).where(
+            F.substring("_hash", 1, digits * (level - 1)) == F.col("_last"))
+        start = F.lit(0) if ends is None else F.col("_before")
+        counts = inside.groupBy(*group, at.alias("_at")).agg(
+            F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_n"),
+            F.max(start).alias("_start"))
+        earlier = F.sum("_rows").over(
+            W.partitionBy(*group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+        # The last prefix that begins before the n-th key: it holds it, or is the last of all.
+        ends = (
+            counts.withColumn("_first", F.col("_start") + F.coalesce(earlier, F.lit(0)))
+            .where(F.col("_first") < F.col("_n"))
+            .groupBy(*[F.col(c).alias(f"_end{c}") for c in group])
+            .agg(F.max(F.struct("_at", "_first")).alias("_end"))
+            .select(*[f"_end{c}" for c in group], F.col("_end._at").alias("_last"),
+                    F.col("_end._first").alias("_before"))
+        )
+    prefix = F.substring("_hash", 1, digits * levels)
+    found = _with_ends(keys, ends, group)
     place = F.row_number().over(W.partitionBy(*group).orderBy("_hash", key))
+    sure = found.where(prefix < F.col("_last"))
     edge = (
-        found.where(F.col("_digit") == F.col("_last")).withColumn("_place", place)
-        .where(F.col("_place") <= F.col("_take"))
+        found.where(prefix == F.col("_last")).withColumn("_place", place)
+        .where(F.col("_place") <= F.col("_n") - F.col("_before"))
     )
-    return inside.select(*df.columns).unionByName(edge.select(*df.columns))
+    return sure.select(*keys.columns).unionByName(edge.select(*keys.columns))
+
+
+def _with_ends(keys: DataFrame, ends: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Keys with their group's end; one group's end is a scalar and joins nothing."""
+    if group:
+        return keys.join(ends, [keys[c].eqNullSafe(ends[f"_end{c}"]) for c in group])
+    end = ends.select(F.struct("_last", "_before")).scalar()
+    return keys.withColumns(
+        {"_last": end.getField("_last"), "_before": end.getField("_before")})
 
 
 def draw_with_repeats(df: DataFrame, shard: str, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -138,14 +150,14 @@ def run_grid(df: DataFrame, key: str, cells: Sequence[tuple[str, str, int]], see
              model: str = "model", version: str = "version") -> DataFrame:
     """Personas to ask in each (model, version, count) cell of a hand-written grid.
 
-    Each cell takes its own sample of the panel. The cells travel as one literal, so
-    the panel is read the same number of times for any number of cells.
+    Each cell takes its own sample of the panel. Only keys are repeated per cell, by one
+    literal; whole rows join the keys drawn.
     """
     grid = F.array(*[
-        F.struct(F.lit(m).alias(model), F.lit(v).alias(version), F.lit(n).alias("_count"))
+        F.struct(F.lit(m).alias(model), F.lit(v).alias(version), F.lit(n).alias("_n"))
         for m, v, n in cells
     ])
-    rows = df.select("*", F.inline(grid)).withColumn(
+    keys = df.select(key, F.inline(grid)).withColumn(
         "_hash", seeded_hash(seed, model, version, key))
-    picked = _first_by_hash(rows, [model, version], F.col("_count"), key, HASH_DIGITS)
-    return picked.drop("_hash", "_count")
+    drawn = _first_keys(keys, [model, version], key).select(key, model, version)
+    return df.join(drawn, key).select(*df.columns, model, version)

@@ -1,19 +1,20 @@
 """Whole runs: sample or take a cohort, render, ask, store, parse, append."""
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from panelkit import fixed_values as fv
 from panelkit import schemas
-from panelkit.functions.columns import log_order, response_name
+from panelkit.functions.columns import key_prefix, log_order, response_name, safe_name
 from panelkit.functions.parse import parse_replies, split_replies
 from panelkit.functions.render import card, fill_template, user_message
 from panelkit.operators.dedupe import keep_first
 from panelkit.operators.filters import where_equal
-from panelkit.operators.infer import Factory, call_model
+from panelkit.operators.infer import ADDED, Factory, call_model
 from panelkit.operators.joins import attach_by_version, enrich, not_done
 from panelkit.operators.metrics import run_summary
 from panelkit.operators.sampling import run_grid
@@ -42,27 +43,45 @@ def prompt_rows(targets: DataFrame, assets: DataFrame, interest: str | None = No
     return texts.withColumn("user_text", user_message("model", card(interest=interest)))
 
 
-def ask(prompts: DataFrame, factory: Factory, store: str, tasks: int | None = None) -> DataFrame:
-    """Call the model and store every reply; the stored table is returned.
+KEYS = ("persona_uuid", "model", "version")
 
-    Replies cost money and differ per call, so nothing downstream may recompute
-    them: they are written first and read back. A store that is complete is not
-    asked again.
-    """
-    spark = prompts.sparkSession
-    if not _is_table(spark, store):
-        call_model(prompts, factory, tasks=tasks).write.mode("overwrite").parquet(store)
-    return spark.read.parquet(store)
 
+def ask(targets: DataFrame, factory: Factory, store: str, prepare, tasks: int | None = None,
+        buckets: int = 8, at_once: int = 1) -> DataFrame:
+    """Ask the targets that the store has no reply for, and return all stored replies.
 
-def _is_table(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
+    Replies cost money and differ per call. Targets are dealt to hash buckets; each bucket
+    is one job, written under a name of its own and then listed as finished. What a failed
+    run has finished is never asked again, a bucket that was cut off does not count, and
+    targets added under the same store are asked.
+    """
+    spark = targets.sparkSession
+    todo = not_done(targets, stored_replies(spark, store), list(KEYS)).withColumn(
+        "bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
+    dealt = f"{store}/targets/{uuid.uuid4().hex}"
+    todo.write.partitionBy("bucket").parquet(dealt)
+    rows = spark.read.schema(todo.schema).parquet(dealt)
+    # At most one row per bucket.
+    for row in sorted(rows.select("bucket").distinct().collect()):
+        name = uuid.uuid4().hex
+        some = rows.where(F.col("bucket") == row.bucket).drop("bucket")
+        call_model(some, factory, tasks=tasks, prepare=prepare, at_once=at_once).write.parquet(
+            f"{store}/replies/part={name}")
+        spark.createDataFrame([(name,)], "part string").coalesce(1).write.mode("append").parquet(
+            f"{store}/finished")
+    return stored_replies(spark, store)
+
+
+def stored_replies(spark: SparkSession, store: str) -> DataFrame:
+    """Replies of the finished buckets of a store; empty if there are none."""
+    finished = read_or_empty(spark, f"{store}/finished", T.StructType().add("part", "string"))
+    # One name per bucket and start.
+    names = [r.part for r in finished.collect()]
+    if not names:
+        return spark.createDataFrame([], T.StructType(
+            [T.StructField(n, T.StringType()) for n in (*KEYS, *(f.name for f in ADDED))]))
+    return spark.read.option("basePath", f"{store}/replies").parquet(
+        *[f"{store}/replies/part={n}" for n in names]).drop("part")
 
 
 def record(replies: DataFrame, folder: str, run: str, control_chars: bool = False) -> DataFrame:
@@ -85,7 +104,9 @@ def record(replies: DataFrame, folder: str, run: str, control_chars: bool = Fals
     good, bad = split_replies(parsed)
     append_log(good, f"{folder}/log", run)
     write_documents(good, f"{folder}/documents", run)
-    failed_name = F.concat(F.lit("FAIL_"), F.regexp_replace("response_file", r"\.json$", ".txt"))
+    failed_name = F.concat(F.lit("FAIL_"), F.concat_ws(
+        "_", "timestamp", safe_name("model"), key_prefix("persona_uuid"), "version"),
+        F.lit(".txt"))
     write_dead_letters(bad.withColumn("file_name", failed_name), f"{folder}/dead_letters", run)
     summary = run_summary(parsed, ["model", "version"])
     write_summary(summary, f"{folder}/summary", run)
@@ -108,12 +129,13 @@ def sample_run(personas: DataFrame, assets: DataFrame, cells: Sequence[tuple[str
                tasks: int | None = None) -> DataFrame:
     """Sample the panel per (model, version, count) cell, ask, and append to the log.
 
-    Personas that a cell has in the log from other runs are not asked again. A run
-    that was interrupted is started again under its own name.
+    Personas that a cell has in the log are not asked again. A run that was interrupted, or
+    whose grid has grown, is started again under its own name.
     """
     targets = run_grid(profile_rows(personas), "persona_uuid", cells, seed)
     todo = _unanswered(personas.sparkSession, targets, folder)
-    replies = ask(prompt_rows(todo, assets), factory, f"{folder}/replies/{run}", tasks)
+    replies = ask(todo, factory, f"{folder}/replies/{run}",
+                  lambda rows: prompt_rows(rows, assets), tasks)
     return record(replies, folder, run)
 
 
@@ -126,15 +148,15 @@ def cohort_run(spark: SparkSession, assets: DataFrame, base: tuple[str, str],
     under the target are left out.
     """
     log = read_log(spark, f"{folder}/log")
+    profile = ["persona_uuid", *schemas.DEMOGRAPHICS, "persona_summary", *schemas.NARRATIVES]
     members = keep_first(
-        where_equal(log, model=base[0], voter_context_version=base[1]),
-        ["persona_uuid"], log_order(),
-    )
-    profile = members.select("persona_uuid", *schemas.DEMOGRAPHICS, "persona_summary",
-                             *schemas.NARRATIVES)
-    targets = profile.withColumns({"model": F.lit(target[0]), "version": F.lit(target[1])})
+        where_equal(log, model=base[0], voter_context_version=base[1])
+        .select(*profile, log_order().alias("_order")), ["persona_uuid"], F.col("_order"))
+    targets = members.drop("_order").withColumns({"model": F.lit(target[0]), "version": F.lit(target[1])})
     todo = _unanswered(spark, targets, folder)
     if interests is not None:
         todo = enrich(todo, interests)
-    prompts = prompt_rows(todo, assets, "political_interest" if interests is not None else None)
-    return record(ask(prompts, factory, f"{folder}/replies/{run}", tasks), folder, run)
+    note = "political_interest" if interests is not None else None
+    replies = ask(todo, factory, f"{folder}/replies/{run}",
+                  lambda rows: prompt_rows(rows, assets, note), tasks)
+    return record(replies, folder, run)

@@ -68,6 +68,18 @@ def inner_pair(spark, folder):
         values=("vote",), **NAMES)
 
 
+@query(f"""WITH {LOG}, l AS (SELECT * REPLACE (nullif(vote, 'view') AS vote) FROM log), r AS (
+  SELECT *, row_number() OVER (PARTITION BY persona, version ORDER BY ts, event_id) AS rn
+  FROM l WHERE model = 'm/a' AND version IN ('v2', 'v3'))
+SELECT a.persona, a.vote AS vote_v2, b.vote AS vote_v3
+FROM r a JOIN r b ON a.persona = b.persona AND a.version = 'v2' AND b.version = 'v3'
+WHERE a.rn = 1 AND b.rn = 1""")
+def inner_pair_with_nulls(spark, folder):
+    answered = log(spark, folder).withColumn("vote", F.nullif("vote", F.lit("view")))
+    return compare.inner_pair(
+        answered, ("v2", CELLS["v2"]), ("v3", CELLS["v3"]), log_order(), values=("vote",), **NAMES)
+
+
 @query(f"""{WIDE} SELECT count(*) AS n_pairs,
   count(*) FILTER (WHERE vote_v2 <> vote_v3) AS n_changed,
   count(*) FILTER (WHERE vote_v2 <> vote_v3) / CAST(count(*) AS DOUBLE) * 100 AS pct_changed
@@ -96,11 +108,12 @@ def _column(vote: str) -> str:
     return f"count(*) FILTER (WHERE vote_v3 = '{vote}') AS {vote}"
 
 
-ANSWERS = ("click", "error", "purchase", "signup", "view")
+ANSWERS = ("click", "error", "purchase", "signup")  # "view" is left to the other column
 
 
 @query(f"""{WIDE} SELECT CASE WHEN grouping(vote_v2) = 1 THEN 'All' ELSE vote_v2 END AS vote_v2,
-  {', '.join(map(_column, ANSWERS))}, count(*) AS "All"
+  {', '.join(map(_column, ANSWERS))},
+  count(*) FILTER (WHERE vote_v3 NOT IN {ANSWERS}) AS "(other)", count(*) AS "All"
 FROM cells WHERE vote_v2 IS NOT NULL AND vote_v3 IS NOT NULL GROUP BY CUBE (vote_v2)""")
 def transition_table(spark, folder):
     return compare.transition_table(_wide(spark, folder), "vote_v2", "vote_v3", ANSWERS)

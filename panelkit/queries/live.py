@@ -1,4 +1,4 @@
-"""The streaming forms, run over the events with what is there and then stopped."""
+"""The streaming forms over the events, cut into files that come as batches of their own."""
 
 from pyspark.sql import functions as F
 
@@ -7,10 +7,14 @@ from panelkit.runtime import new_folder
 from panelkit.streaming import live
 
 
+BATCHES = 3
+
+
 def _stream(spark, folder):
-    """The events file as a stream of response rows."""
-    schema = table(spark, folder, "events").schema
-    events = live.read_stream(spark, folder, schema, pathGlobFilter="events.parquet")
+    """The events as a stream of response rows: one file, and so one batch, after another."""
+    given, path = table(spark, folder, "events"), new_folder(spark, "events")
+    given.repartition(BATCHES, F.pmod("event_id", F.lit(BATCHES))).write.parquet(path)
+    events = live.read_stream(spark, path, given.schema, maxFilesPerTrigger=1)
     k = F.get_json_object("props", "$.k").cast("int")
     day = F.dayofmonth("ts")
     return events.select(
@@ -28,12 +32,13 @@ def _run(spark, start):
 
 
 @query(f"""WITH {LOG} SELECT model, vote, count(*) AS count,
-  CAST(sum(CAST(elapsed_sec AS DECIMAL(28,3))) AS DOUBLE) / count(elapsed_sec) AS mean
+  round(avg(elapsed_sec), 9) AS mean
 FROM log GROUP BY 1, 2""")
 def stream_totals(spark, folder):
     stream = _stream(spark, folder)
     return live.read_totals(spark, _run(spark, lambda path, state: live.live_totals(
-        stream, ["model", "vote"], path, state, refresh=None)))
+        stream, ["model", "vote"], path, state, refresh=None))).withColumn(
+        "mean", F.round("mean", 9))
 
 
 @query(f"""WITH {LOG} SELECT 'model' AS "column", count(DISTINCT model) AS n_distinct FROM log
@@ -51,7 +56,8 @@ def stream_latest(spark, folder):
     stream, keys = _stream(spark, folder), ["persona", "model", "version"]
     path = _run(spark, lambda path, state: live.live_latest(
         stream, keys, F.struct("ts", "event_id"), path, state, refresh=None))
-    return live.read_latest(spark, path, keys)
+    live.merge_batches(spark, path, f"{path}-merged", keys)
+    return spark.read.parquet(f"{path}-merged").drop("batch")
 
 
 @query(f"""WITH {LOG} SELECT event_id, ts, persona, vote, elapsed_sec, model, version FROM log""")

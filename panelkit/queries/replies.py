@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelkit.functions.parse import first_alias, parse_replies, read_object, split_replies, strip_noise
-from panelkit.operators.infer import call_model
+from panelkit.operators.infer import call_model, smoke_call
 from panelkit.operators.metrics import run_summary
 from panelkit.queries.base import REPLY_OBJECT, SPACE, STRIPPED, query, reply_object, table
 
@@ -154,3 +154,38 @@ def batch_infer(spark, folder):
         F.col("source").alias("system_text"), F.col("text").alias("user_text"))
     return parse_replies(call_model(prompts, length_rule())).select(
         "doc_id", "vote", "reason", "error")
+
+
+def counting_rule():
+    """A fixed rule whose replies tell which client of its setting in the task gave them."""
+    made: dict = {}
+
+    def factory(model: str, version: str):
+        number = made[model, version] = made.get((model, version), 0) + 1
+
+        def answer(system: str, user: str) -> str:
+            return f'{{"vote": "{model}", "reason": "client {number}"}}'
+
+        return answer
+
+    return factory
+
+
+@query("""SELECT lang AS vote, 'client 1' AS reason, count(*) AS n FROM documents GROUP BY 1""")
+def client_cache(spark, folder):
+    # In the one task every setting has one client, which gives all its replies.
+    prompts = table(spark, folder, "documents").coalesce(1).select(
+        "doc_id", F.col("lang").alias("model"), F.lit("v").alias("version"),
+        F.col("source").alias("system_text"), F.col("lang").alias("user_text"))
+    replies = parse_replies(call_model(prompts, counting_rule()))
+    return replies.groupBy("vote", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE false) AS n_errors
+FROM (SELECT 1 FROM documents LIMIT 1)""")
+def smoke_reply(spark, folder):
+    prompts = table(spark, folder, "documents").select(
+        "doc_id", F.col("lang").alias("model"), F.lit("v").alias("version"),
+        F.col("source").alias("system_text"), F.col("lang").alias("user_text"))
+    return smoke_call(prompts, length_rule()).agg(
+        F.count("*").alias("n"), F.count("error").alias("n_errors"))

@@ -68,10 +68,11 @@ FROM asked JOIN region ON version = 'v' || r_regionkey WHERE c_custkey % 10 <> 7
 @query(f"""WITH asked AS (SELECT *, '' AS note FROM (
   {_sampled('p/m', 'v1', 150)} UNION ALL {_sampled('q/longer', 'v3', 80)})) {ANSWERED}""")
 def sample_run(spark, folder):
-    out = new_folder(spark, "run")
-    runs.sample_run(_panel(spark, folder), _assets(spark, folder),
-                    [("p/m", "v1", 150), ("q/longer", "v3", 80)], parity_rule(), out, "first",
-                    seed=3, tasks=8)
+    # Started twice under one name, the second time with a cell more.
+    out, panel, assets = new_folder(spark, "run"), _panel(spark, folder), _assets(spark, folder)
+    cells = [("p/m", "v1", 150), ("q/longer", "v3", 80)]
+    for n in (1, 2):
+        runs.sample_run(panel, assets, cells[:n], parity_rule(), out, "first", seed=3, tasks=8)
     return _answered(spark, out)
 
 
@@ -156,3 +157,91 @@ def comparison_wide(spark, folder):
     pages = panels.comparison(_response_log(spark, folder), CELLS, notes, ("v2", "v3"))
     return pages["wide"].select("persona_uuid", "age", "province", "vote_v2", "vote_v3",
                                 "vote_v10_b", "political_interest")
+
+
+@query(f"""WITH {PAGE_LOG}, f AS (SELECT * FROM page WHERE province IN ('BUILDING', 'MACHINERY'))
+SELECT (SELECT count(*) FROM f) AS n_filtered, (SELECT count(*) FROM page) AS n_rows""")
+def dashboard_counts(spark, folder):
+    facets = {"province": ["BUILDING", "MACHINERY"], "sex": []}
+    return panels.dashboard(_response_log(spark, folder), facets=facets)["counts"]
+
+
+@query(f"""WITH {PAGE_LOG} SELECT model, vote, count(*) AS count,
+  count(*) / CAST(sum(count(*)) OVER (PARTITION BY model) AS DOUBLE) * 100 AS pct
+FROM page WHERE vote IS NOT NULL GROUP BY 1, 2""")
+def dashboard_share(spark, folder):
+    return panels.dashboard(_response_log(spark, folder))["share_by_model"]
+
+
+@query(f"""WITH {PAGE_LOG} SELECT count(*) AS n_rows, count(DISTINCT model) AS n_models,
+  round(avg(elapsed_sec), 9) AS mean_latency, count(DISTINCT persona_uuid) AS n_personas
+FROM page""")
+def dashboard_kpi(spark, folder):
+    return panels.dashboard(_response_log(spark, folder))["kpi"].withColumn(
+        "mean_latency", F.round("mean_latency", 9))
+
+
+@query(f"""WITH {PAGE_LOG}, o AS (
+  SELECT 'model' AS "column", model AS value FROM page
+  UNION ALL SELECT 'province', province FROM page
+  UNION ALL SELECT 'voter_context_version', version FROM page
+  UNION ALL SELECT 'system_prompt_version', version FROM page)
+SELECT DISTINCT "column", value FROM o WHERE value IS NOT NULL""")
+def dashboard_options(spark, folder):
+    return panels.dashboard(_response_log(spark, folder))["options"]
+
+
+COMPARED = f"""WITH {PAGE_LOG}, r AS (SELECT *, row_number() OVER (
+    PARTITION BY persona_uuid, model, version ORDER BY response_file DESC) AS rn FROM page),
+k AS (SELECT * FROM r WHERE rn = 1),
+w AS (SELECT a.persona_uuid, a.province, a.vote AS vote_v2, b.vote AS vote_v3, c.vote AS vote_v10_b
+FROM k a LEFT JOIN k b ON b.persona_uuid = a.persona_uuid AND b.model = 'm/a' AND b.version = 'v3'
+LEFT JOIN k c ON c.persona_uuid = a.persona_uuid AND c.model = 'm/b' AND c.version = 'v10'
+WHERE a.model = 'm/a' AND a.version = 'v2')"""
+
+
+def _comparison(spark, folder, **view):
+    notes = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("persona_uuid"),
+        F.col("source").alias("political_interest"))
+    return panels.comparison(_response_log(spark, folder), CELLS, notes, ("v2", "v3"), **view)
+
+
+def _distribution(cell: str, rows: str) -> str:
+    return f"""SELECT '{cell}' AS cell, {cell} AS vote, count(*) AS count,
+  count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100 AS pct,
+  count(*) / CAST(max(count(*)) OVER () AS DOUBLE) * 100 AS bar_pct
+FROM {rows} WHERE {cell} IS NOT NULL GROUP BY {cell}"""
+
+
+@query(f"""{COMPARED}, b AS (SELECT * FROM w WHERE vote_v2 IS NOT NULL AND vote_v3 IS NOT NULL)
+{_distribution('vote_v2', 'b')} UNION ALL {_distribution('vote_v3', 'b')}
+UNION ALL {_distribution('vote_v10_b', 'w')}""")
+def comparison_distribution(spark, folder):
+    pages = _comparison(spark, folder)
+    parts = [pages[f"distribution_{cell}"].withColumnRenamed(f"vote_{cell}", "vote").withColumn(
+        "cell", F.lit(f"vote_{cell}")) for cell in CELLS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""{COMPARED} SELECT count(*) AS n_pairs,
+  count(*) FILTER (WHERE vote_v2 <> vote_v3) AS n_changed,
+  count(*) FILTER (WHERE vote_v2 <> vote_v3) / CAST(count(*) AS DOUBLE) * 100 AS pct_changed
+FROM w WHERE vote_v2 IS NOT NULL AND vote_v3 IS NOT NULL""")
+def comparison_change(spark, folder):
+    return _comparison(spark, folder)["change"]
+
+
+@query(f"""{COMPARED} SELECT persona_uuid, province, vote_v2, vote_v3 FROM w
+WHERE vote_v2 <> vote_v3 AND province IN ('BUILDING', 'MACHINERY')
+  AND vote_v2 IN ('click', 'purchase', 'view')""")
+def comparison_view(spark, folder):
+    choices = {"province": ["BUILDING", "MACHINERY"], "vote_v2": ["click", "purchase", "view"]}
+    return _comparison(spark, folder, show="changed", choices=choices)["view"].select(
+        "persona_uuid", "province", "vote_v2", "vote_v3")
+
+
+@query(f"""{COMPARED} SELECT count(*) FILTER (WHERE vote_v2 = vote_v3) AS n_shown,
+  count(*) AS n_personas FROM w""")
+def comparison_counts(spark, folder):
+    return _comparison(spark, folder, show="kept")["view_counts"]

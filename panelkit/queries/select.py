@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from panelkit import fixed_values as fv
+from panelkit.functions import columns
+from panelkit.functions.columns import bucket, lookup
 from panelkit.operators import joins, sampling, sets
 from panelkit.operators.filters import (
     version_pair_error, where_any_of, where_equal, where_selected)
@@ -22,6 +25,25 @@ def head_preview(spark, folder):
     return sampling.head(log(spark, folder), ["ts", "event_id"], 3)
 
 
+@query(f"""WITH {LOG}, late AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN NULL
+  ELSE ts END AS seen FROM log WHERE event_id < 50)
+SELECT event_id, seen FROM late ORDER BY seen NULLS LAST, event_id LIMIT 30""")
+def head_with_nulls(spark, folder):
+    # Fewer rows have a time than are wanted; the rest come last.
+    late = log(spark, folder).where("event_id < 50").select(
+        "event_id", F.when(F.col("event_id") % 5 == 0, F.col("ts")).alias("seen"))
+    return sampling.head(late, ["seen", "event_id"], 30)
+
+
+@query(f"""WITH {LOG}, late AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN NULL
+  ELSE ts END AS seen FROM log)
+SELECT event_id, seen FROM late ORDER BY seen DESC NULLS LAST, event_id DESC NULLS LAST LIMIT 40""")
+def recent_with_nulls(spark, folder):
+    late = log(spark, folder).select(
+        "event_id", F.when(F.col("event_id") % 5 == 0, F.col("ts")).alias("seen"))
+    return sampling.recent(late, ["seen", "event_id"], 40)
+
+
 @query(f"""WITH {LOG} SELECT event_id, persona, vote FROM log WHERE model = 'm/a' AND version = 'v3'""")
 def filter_equal(spark, folder):
     return where_equal(log(spark, folder), model="m/a", version="v3").select(
@@ -56,13 +78,20 @@ def version_pair_check(spark, folder):
         "event_id", version_pair_error(voter, system).alias("error"))
 
 
-@query("""SELECT DISTINCT 'v' || p_size AS version, p_size AS version_number FROM part
-WHERE p_type = 'PROMO' AND p_size IN (SELECT p_size FROM part WHERE p_type = 'ECONOMY')""")
+@query("""SELECT DISTINCT 'v' || n AS version, n AS version_number FROM (
+  SELECT p_type, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 20260428142500 + p_size END AS n
+  FROM part) a
+WHERE p_type = 'PROMO' AND n IN (
+  SELECT CASE WHEN p_size % 2 = 0 THEN p_size ELSE 20260428142500 + p_size END FROM part
+  WHERE p_type = 'ECONOMY')""")
 def asset_versions(spark, folder):
+    # Short and dated versions.
+    size = F.col("p_size").cast("bigint")
+    number = F.when(size % 2 == 0, size).otherwise(size + 20260428142500)
     assets = table(spark, folder, "part").select(
-        F.col("p_type").alias("kind"),
-        F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("version"))
-    return sets.paired_versions(assets, ("PROMO", "ECONOMY"))
+        F.col("p_type").alias("kind"), F.concat(F.lit("v"), number.cast("string")).alias("version"))
+    return sets.paired_versions(assets, ("PROMO", "ECONOMY")).withColumn(
+        "version_number", F.col("version_number").cast("bigint"))
 
 
 CHUNKED = """c AS (SELECT c_custkey, c_name,
@@ -96,6 +125,45 @@ def sample_md5(spark, folder):
     return sampling.sample_n(people, "c_custkey", 100, 7)
 
 
+@query("""SELECT c_custkey, c_name FROM customer
+ORDER BY md5('7|' || c_custkey), c_custkey LIMIT 101""")
+def sample_md5_101(spark, folder):
+    people = table(spark, folder, "customer").select("c_custkey", "c_name")
+    return sampling.sample_n(people, "c_custkey", 101, 7)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 400 < 300 THEN 'colour ' || (doc_id % 400)
+  ELSE '#666' END AS color FROM documents""")
+def lookup_many(spark, folder):
+    key = F.concat(F.lit("k"), F.pmod("doc_id", F.lit(400)).cast("string"))
+    listed = {f"k{i}": f"colour {i}" for i in range(300)}
+    return table(spark, folder, "documents").select(
+        "doc_id", lookup(key, listed).alias("color"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'elsewhere' END AS home
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def lookup_joined(spark, folder):
+    homes = table(spark, folder, "nation").where("n_nationkey < 20").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home"))
+    people = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    return joins.lookup_join(people, homes, "c_nationkey", "home", "elsewhere").drop("c_nationkey")
+
+
+@query("""SELECT p_partkey, p_size FROM part WHERE p_size > 29 AND p_size <= 49""")
+def band_filter(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", "p_size")
+    return where_any_of(parts.withColumn("age_bucket", bucket("p_size")), {
+        "age_bucket": list(fv.AGE_LABELS[1:3])}).drop("age_bucket")
+
+
+@query("""SELECT DISTINCT split_part(p_type, ' ', 1) || '/' || p_brand AS model FROM part""")
+def model_key(spark, folder):
+    provider = F.substring_index("p_type", " ", 1)
+    return table(spark, folder, "part").select(
+        columns.model_key(provider, "p_brand").alias("model")).distinct()
+
+
 @query("""SELECT o_orderkey, o_orderpriority FROM (
   SELECT o_orderkey, o_orderpriority, row_number() OVER (
     PARTITION BY o_orderpriority ORDER BY md5('7|' || o_orderkey), o_orderkey) AS rn FROM orders)

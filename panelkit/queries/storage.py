@@ -58,12 +58,66 @@ def document_round_trip(spark, folder):
     return readers.document_log(stored).select(*TURN_COLUMNS)
 
 
-@query(f"SELECT * FROM ({TURNS}) WHERE model = 'assistant'")
+@query(TURNS)
 def log_append(spark, folder):
     path, rows = new_folder(spark, "log"), _turns(spark, folder)
-    for run in ("user", "assistant", "system", "assistant"):  # a repeated run replaces itself
-        sinks.append_log(rows.where(F.col("vote") == run), path, run)
-    return readers.read_log(spark, path).where("model = 'assistant'").select(*TURN_COLUMNS)
+    listed = F.col("vote").isin("user", "assistant")
+    runs = {"user": F.col("vote") == "user", "assistant": F.col("vote") == "assistant",
+            "others": F.coalesce(~listed, F.lit(True))}
+    for run in [*runs, "assistant"]:  # a repeated run replaces itself
+        sinks.append_log(rows.where(runs[run]), path, run)
+    return readers.read_log(spark, path).select(*TURN_COLUMNS)
+
+
+@query("""SELECT md5(CAST(c_custkey AS VARCHAR)) AS uuid, c_mktsegment AS occupation,
+  CAST(c_nationkey + 20 AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS hobbies_and_interests
+FROM customer""")
+def persona_scan(spark, folder):
+    path = new_folder(spark, "personas")
+    people = table(spark, folder, "customer").select(
+        F.md5(F.col("c_custkey").cast("string")).alias("uuid"),
+        (F.col("c_nationkey") + 20).cast("int").alias("age"),
+        F.col("c_mktsegment").alias("occupation"))
+    readers.with_missing(people, schemas.PERSONA).repartition(9).write.parquet(path)
+    return readers.read_personas(spark, path).select(
+        "uuid", "occupation", "age", "hobbies_and_interests")
+
+
+@query("""SELECT 'region ' || r_regionkey AS persona_uuid, r_name AS vote, r_name AS reason
+FROM region""")
+def document_files(spark, folder):
+    # One object over several lines per file, one file per folder.
+    path = new_folder(spark, "document-files")
+    region = table(spark, folder, "region").repartition(5, "r_regionkey")
+    region.select(
+        F.col("r_regionkey").alias("part"),
+        F.format_string(
+            '{\n  "persona_uuid": "region %d",\n  "political_interest": NaN,\n'
+            '  "parsed": {"vote": "%s",\n "reason": "%s"}\n}', "r_regionkey", "r_name", "r_name")
+        .alias("value")).write.partitionBy("part").text(path)
+    stored = readers.read_documents(spark, f"{path}/*")
+    return readers.document_log(stored).where("political_interest IS NULL").select(
+        "persona_uuid", "vote", "reason")
+
+
+@query("""SELECT 'missing keys: []' AS error, 'p/m' AS model, 'n' || n_nationkey AS persona_uuid,
+  n_name || chr(10) || 'second line' || chr(10) AS raw_response, 'm' AS model_name
+FROM nation""")
+def failure_files(spark, folder):
+    path = new_folder(spark, "failure-files")
+    table(spark, folder, "nation").repartition(25, "n_nationkey").select(
+        F.col("n_nationkey").alias("part"),
+        F.format_string("=== ERROR: missing keys: []\n=== MODEL: p/m\n=== UUID: n%d\n\n"
+                        "%s\nsecond line", "n_nationkey", "n_name").alias("value")
+    ).write.partitionBy("part").text(path)
+    return readers.read_failures(spark, f"{path}/*").select(
+        "error", "model", "persona_uuid", "raw_response", "model_name")
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 1""")
+def peek_one(spark, folder):
+    first = table(spark, folder, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")
+    return readers.peek(first)
 
 
 @query(f"""{CUT} SELECT 'doc-' || doc_id AS persona_uuid, lang AS model, error, raw_response

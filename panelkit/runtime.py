@@ -1,5 +1,6 @@
 """Session defaults and the shared folder for checkpoints and written cuts."""
 
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        # One process is driver and executors; local-cluster starts others.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="panelkit-")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,4 +1,7 @@
-"""Schemas of the tables the library reads and writes."""
+"""Schemas of the tables the library reads and writes.
+
+The column names are fixed values: files and results must agree on them.
+"""
 
 from pyspark.sql import types as T
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from panelkit import schemas
-from panelkit.functions.columns import response_name_parts
+from panelkit.functions.columns import response_name_parts, utc_name
 
 FAILURE_TEXT = r"(?s)^=== ERROR: (.*?)\n=== MODEL: (.*?)\n=== UUID: (.*?)\n\n(.*)\z"
 ASSET_NAME = r"^(voter_context|system_prompt)_(v\d+)\.md$"
@@ -34,13 +34,16 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str) ->
     return df.withColumn(first, F.regexp_replace(first, r"^\ufeff", ""))
 
 
-def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_log_csv(spark: SparkSession, path: str, zone: str | None = None) -> DataFrame:
     """The response log as CSV: byte-order mark, doubled quotes, line breaks inside fields.
 
+    ``zone`` is the time zone of the stamps its file names begin with, if not UTC.
+
     Such a file cannot be split, so one task reads it. Use it to bring a log in
     once; the parquet log is the table to query.
     """
-    return _read_csv(spark, path, schemas.RESPONSE_LOG, ",")
+    rows = _read_csv(spark, path, schemas.RESPONSE_LOG, ",")
+    return rows.withColumn("response_file", utc_name("response_file", zone)) if zone else rows
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

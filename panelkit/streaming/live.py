@@ -19,9 +19,6 @@ from panelkit.operators.metrics import exact_sum
 
 REFRESH = "3 seconds"
 
-# Totals are whole in every batch, so only the last few are kept.
-TOTALS_KEPT = 8
-
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 **options: object) -> DataFrame:
@@ -64,19 +61,35 @@ def live_totals(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: s
     )
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
-            f"{path}/slot={batch % TOTALS_KEPT}")
+        # One row per group, in one file, so a reader sees a batch whole or not at all.
+        rows.coalesce(1).write.mode("overwrite").parquet(_batch_folder(path, batch))
 
     return _start(totals, "complete", write, checkpoint, refresh)
 
 
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The totals of the newest batch; older ones may be replaced while they are read."""
-    rows = spark.read.option("ignoreMissingFiles", True).parquet(path)
+    """The totals of the newest batch; no batch is ever replaced by a later one.
+
+    Older folders may be removed by hand once no reader uses them.
+    """
+    rows = spark.read.parquet(path)
     newest = rows.agg(F.max("batch")).scalar()
     return rows.where(F.col("batch") == newest).select(
         "*", (F.col("time").cast("double") / F.col("timed")).alias("mean")
-    ).drop("batch", "slot", "time", "timed")
+    ).drop("batch", "time", "timed")
+
+
+def merge_batches(spark: SparkSession, path: str, target: str, keys: Sequence[str] = (),
+                  schema: T.StructType | None = None) -> None:
+    """Write the batches of a stream's folder as one table of few files.
+
+    With ``keys`` only each key's newest row stays, as ``read_latest`` gives it. The
+    stream goes on in its own folder; readers change to the target when it is written.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.parquet(path)
+    merged = keep_last(rows, list(keys), F.col("batch")) if keys else rows
+    merged.hint("rebalance").write.mode("overwrite").parquet(target)
 
 
 def live_distinct(stream: DataFrame, columns: Sequence[str], path: str, checkpoint: str,

@@ -92,8 +92,21 @@ def test_event_time(spark):
 def test_lookup(spark):
     got = one(spark, "v string", ["국민의힘", "new", None], c.lookup("v"))
     assert [g[0] for g in got] == ["#E61E2B", "#666", "#666"]
-    with pytest.raises(ValueError):
-        c.lookup("v", {str(i): "x" for i in range(201)})
+    many = {str(i): f"x{i}" for i in range(1001)}
+    got = one(spark, "v string", ["1000", "1001", None], c.lookup("v", many))
+    assert [g[0] for g in got] == ["x1000", "#666", "#666"]
+
+
+def test_version_numbers_are_whole(spark):
+    got = one(spark, "v string", ["v1234567890", "v20260428142501", "v007", "10", "v", "v1x", None],
+              c.version_number("v").cast("string"))
+    assert [g[0] for g in got] == ["1234567890", "20260428142501", "7", None, None, None, None]
+
+
+def test_utc_name(spark):
+    got = one(spark, "n string", ["20260428-142501_m_k_v2_v2.json", "plain.json", None],
+              c.utc_name("n", "Asia/Seoul"))
+    assert [g[0] for g in got] == ["20260428-052501_m_k_v2_v2.json", "plain.json", None]
 
 
 def test_small_helpers(spark):

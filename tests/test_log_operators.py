@@ -84,10 +84,11 @@ def test_inner_pair_keeps_first(data, rows):
     for v in ("v2", "v3"):
         sub = in_order(pdf[(pdf.model == "g") & (pdf.voter_context_version == v)])
         sides.append(sub.drop_duplicates("persona_uuid")[["persona_uuid", "vote"]])
-    want = sides[0].merge(sides[1], on="persona_uuid").dropna()
+    want = sides[0].merge(sides[1], on="persona_uuid")
     got = compare.inner_pair(df, ("v2", ("g", "v2")), ("v3", ("g", "v3")), log_order(),
                              values=("vote",))
-    assert rows(got) == sorted((tuple(r) for r in want.values), key=repr)
+    plain = want.astype(object).where(want.notna(), None)
+    assert rows(got) == sorted((tuple(r) for r in plain.values), key=repr)
 
 
 def pairs(spark, values):
@@ -114,6 +115,21 @@ def test_transitions(spark, rows):
     wide = {r.a: r for r in compare.transition_table(df, "a", "b", ["A", "B", "C"]).collect()}
     assert {(a, b): wide[a][b] for a in wide for b in cross.columns} == {
         (a, b): cross.loc[a, b] for a in cross.index for b in cross.columns}
+    assert all(r["(other)"] == 0 for r in wide.values())
+    part = {r.a: r for r in compare.transition_table(df, "a", "b", ["A"]).collect()}
+    for a in part:
+        assert part[a]["A"] + part[a]["(other)"] == part[a]["All"] == cross.loc[a, "All"]
+
+
+def test_an_answer_named_as_the_total(spark):
+    df = pairs(spark, PAIRS)
+    with pytest.raises(Exception, match="choose another total name"):
+        compare.transition_matrix(df, "a", "b").collect()
+    got = {(r.a, r.b): r["count"] for r in compare.transition_matrix(
+        df, "a", "b", total="total").collect()}
+    assert got["All", "A"] == 1 and got["total", "total"] == 5
+    flags = compare.transition_cube(df, "a", "b").where("a = 'All' and not all_before")
+    assert flags.count() == 2
 
 
 def test_null_answers_are_not_totals(spark):
@@ -161,11 +177,12 @@ def test_group_size_and_share(data, rows):
 
 
 def test_dense_cross_count(spark):
-    pdf = pd.DataFrame({"band": ["x", "x", None, "z"], "vote": ["A", "B", "A", None]})
+    pdf = pd.DataFrame({"band": ["x", "x", None, "z"], "vote": ["A", "B", "C", None]})
     pdf["band"] = pd.Categorical(pdf.band, ["x", "y", "z"], ordered=True)
-    want = pdf.groupby(["band", "vote"], observed=False).size()
+    want = pdf.groupby(["band", "vote"], observed=False).size().reindex(
+        pd.MultiIndex.from_product([["x", "y", "z"], ["A", "B", "C"]]), fill_value=0)
     df = spark.createDataFrame(
-        [("x", "A"), ("x", "B"), (None, "A"), ("z", None)], "band string, vote string")
+        [("x", "A"), ("x", "B"), (None, "C"), ("z", None)], "band string, vote string")
     got = metrics.cross_count(df, "band", "vote", ["x", "y", "z"]).collect()
     assert {(r.band, r.vote): r["count"] for r in got} == want.to_dict()
 
@@ -197,6 +214,11 @@ def test_exact_mean_is_independent_of_order(spark):
     assert len(got) == 1
 
 
+def test_small_values_keep_their_decimals(spark):
+    df = spark.createDataFrame([(0.0004,), (0.0006,)], "x double")
+    assert df.agg(metrics.exact_mean("x")).first()[0] == 0.0005
+
+
 def test_success_rate_and_summary(spark, rows):
     df = spark.createDataFrame([("m", None, 1.0), ("m", "e", None), ("n", "e", 2.0)],
                                "model string, error string, elapsed_sec double")
@@ -204,7 +226,7 @@ def test_success_rate_and_summary(spark, rows):
     assert rows(metrics.success_rate(good, bad, ["model"])) == [("m", 2, 1, 0.5), ("n", 1, 0, 0.0)]
     assert tuple(metrics.success_rate(good, bad).first()) == (3, 1, 1 / 3)
     assert rows(metrics.run_summary(df, ["model"])) == [
-        ("m", 2, 1, 0.5, 1.0), ("n", 1, 0, 0.0, 2.0)]
+        ("m", 2, 1, 0.5, 1.0), ("n", 1, 0, 0.0, None)]
 
 
 def test_non_null_counts(data):

@@ -58,22 +58,24 @@ def test_run_then_rerun_then_cohort(spark, panel, assets, rule, tmp_path):
     assert done.successes == n_log and dead.count() == 60 - done.successes
     assert {r.error.split(":")[0] for r in dead.collect()} == {
         "TimeoutError", "no parseable JSON in response"}
-    assert all(r.file_name.startswith("FAIL_2") and r.file_name.endswith("_v2_v2.txt")
+    assert all(r.file_name.startswith("FAIL_2") and r.file_name.endswith("_v2.txt")
                for r in dead.collect())
     docs = read_document_lines(spark, f"{folder}/documents")
     assert docs.count() == n_log and docs.where("parsed.vote in ('A', 'B')").count() == n_log
 
     # The same run again neither asks nor doubles anything.
-    replies = {r.persona_uuid: r.elapsed_sec for r in spark.read.parquet(f"{folder}/replies/first").collect()}
+    def stored(run):
+        return runs.stored_replies(spark, f"{folder}/replies/{run}")
+
+    replies = {r.persona_uuid: r.elapsed_sec for r in stored("first").collect()}
     runs.sample_run(panel, assets, [(*base, 60)], rule, folder, "first", seed=5)
     log = read_log(spark, f"{folder}/log")
     assert log.count() == n_log
-    assert replies == {r.persona_uuid: r.elapsed_sec
-                       for r in spark.read.parquet(f"{folder}/replies/first").collect()}
+    assert replies == {r.persona_uuid: r.elapsed_sec for r in stored("first").collect()}
 
     # A new run of a larger sample asks only those without an answer.
     runs.sample_run(panel, assets, [(*base, 80)], rule, folder, "second", seed=5)
-    asked = spark.read.parquet(f"{folder}/replies/second")
+    asked = stored("second")
     first = read_log(spark, f"{folder}/log").where("model = 'p/m'")
     assert first.groupBy("persona_uuid").count().where("count > 1").count() == 0
     assert asked.count() == 80 - done.successes
@@ -103,7 +105,17 @@ def check_panels(log, base, again, notes):
     assert [r.response_file for r in feed] == sorted((r.response_file for r in feed), reverse=True)
     assert tables["raw"].columns == list(panels.RAW_VIEW)
 
+    assert tables["counts"].first().n_rows == total
+    assert tables["counts"].first().n_filtered == log.where("sex = 'sex 1'").count()
+    assert {r.column for r in tables["options"].collect()} >= {"model", "voter_context_version"}
+    assert tables["feed_facets"].count() >= 7 and all("sex 1" in r.profile for r in feed)
+
     pages = panels.comparison(log, {"v2": base, "v10": again}, notes, ("v2", "v10"))
+    kept = panels.comparison(log, {"v2": base, "v10": again}, notes, ("v2", "v10"), "kept",
+                             {"sex": ["sex 1", "sex 2"]})
+    shown = pages["wide"].where("vote_v2 = vote_v10 and sex in ('sex 1', 'sex 2')").count()
+    assert kept["view"].count() == shown
+    assert tuple(kept["view_counts"].first()) == (shown, pages["wide"].count())
     n = log.where("model = 'p/m'").count()
     assert tuple(pages["answered"].first()) == (n, n, 5)
     change = pages["change"].first()
@@ -138,3 +150,64 @@ def test_one_client_per_setting_and_task(spark):
 def test_unknown_version_goes_to_the_dead_letters(spark, panel, assets, rule, tmp_path):
     summary = runs.sample_run(panel, assets, [("p/m", "v7", 3)], rule, str(tmp_path), "r")
     assert tuple(summary.select("attempts", "successes").first()) == (3, 0)
+
+
+def test_a_run_goes_on_where_it_failed(spark, panel, assets, tmp_path):
+    """Finished buckets are kept when a worker dies; the rest, and a grown grid, are asked."""
+    calls = tmp_path / "calls"
+
+    def factory(dies):
+        def make(model, version):
+            def answer(system, user):
+                number = int(user.split("요약문 ")[1].split("\n")[0])
+                if dies and number % 7 == 3:
+                    import os
+                    os._exit(1)
+                with open(calls, "a") as file:
+                    file.write(f"{model} {number}\n")
+                return '{"vote": "A", "reason": "r"}'
+
+            return answer
+
+        return make
+
+    cells = [("p/m", "v2", 40)]
+    with pytest.raises(Exception):
+        runs.sample_run(panel, assets, cells, factory(True), str(tmp_path), "r", tasks=1)
+    store = f"{tmp_path}/replies/r"
+    kept = {r.persona_uuid for r in runs.stored_replies(spark, store).collect()}
+    before = len(calls.read_text().splitlines()) if calls.exists() else 0
+    grown = [*cells, ("q/n", "v10", 20)]
+    runs.sample_run(panel, assets, grown, factory(False), str(tmp_path), "r", tasks=1)
+    log = read_log(spark, f"{tmp_path}/log")
+    assert log.where("model = 'p/m'").count() == 40 and log.where("model = 'q/n'").count() == 20
+    after = len(calls.read_text().splitlines()) - before
+    assert after == 60 - len(kept)
+    runs.sample_run(panel, assets, grown, factory(True), str(tmp_path), "r", tasks=1)
+    assert len(calls.read_text().splitlines()) == before + after
+
+
+def test_latency_leaves_out_making_the_client(spark):
+    def factory(model, version):
+        import time
+        time.sleep(0.5)
+        return lambda system, user: "x"
+
+    df = spark.createDataFrame([("a", "v", "s", "u")] * 2,
+                               "model string, version string, system_text string, user_text string")
+    got = call_model(df.coalesce(1), factory).collect()
+    assert all(r.elapsed_sec < 0.3 for r in got)
+    assert [r.raw_response for r in call_model(df.coalesce(1), factory, at_once=2).collect()] == [
+        "x", "x"]
+
+
+def test_texts_are_not_shuffled(spark, panel, assets):
+    targets = runs.profile_rows(panel).withColumns({"model": F.lit("m"), "version": F.lit("v2")})
+    asked = call_model(targets, lambda m, v: None, tasks=4,
+                       prepare=lambda rows: runs.prompt_rows(rows, assets))
+    lines = asked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x)
+    depth = lines[at].index("Repartition")
+    below = [x for x in lines[at + 1:] if len(x) - len(x.lstrip(" :+-|")) > depth]
+    shuffled = lines[at:at + 2]
+    assert below and not any("_text" in x for x in shuffled)

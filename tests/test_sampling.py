@@ -20,14 +20,12 @@ def people(spark):
     return spark.createDataFrame(values, "k bigint, s string").repartition(7), values
 
 
-@pytest.mark.parametrize("n", [1, 50, 4999, 9000])
-def test_sample_is_the_first_by_hash(people, n, monkeypatch):
+@pytest.mark.parametrize("n", [1, 50, 100, 101, 4999, 9000])
+def test_sample_is_the_first_by_hash(people, n):
     df, values = people
     want = {k for k, _ in sorted(values, key=lambda v: md5(3, v[0]))[:n]}
-    for limit in (10_000, 0):  # the top-n and the histogram give the same rows
-        monkeypatch.setattr(sampling, "SMALL_SAMPLE", limit)
-        got = [r.k for r in sampling.sample_n(df, "k", n, 3).collect()]
-        assert len(got) == len(want) and set(got) == want
+    got = [r.k for r in sampling.sample_n(df, "k", n, 3).collect()]
+    assert len(got) == len(want) and set(got) == want
 
 
 @pytest.mark.parametrize("n,digits", [(1, 1), (100, 1), (100, 3), (1000, 2), (10_000, 4)])
@@ -84,14 +82,33 @@ def test_run_grid(people):
     assert {r.k for r in got.where("version = 'v1'").collect()} == want
 
 
-def test_large_sample_joins_nothing(people, monkeypatch):
-    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 0)
+def test_sample_joins_nothing(people):
     df = sampling.sample_n(people[0], "k", 50, 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
 
 
+def test_cells_and_strata_do_not_shuffle_whole_rows(spark, people):
+    """Only keys are exchanged on cell or stratum, also without automatic broadcasts."""
+    wide = people[0].withColumn("body", F.repeat(F.lit("x"), 100))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (sampling.run_grid(wide, "k", [("m", "v1", 5), ("m", "v2", 7)]),
+                   sampling.sample_per_stratum(wide, "s", "k", 5)):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            joins_on_key = [line for line in plan.splitlines() if "Join Inner" in line]
+            assert "(k#" in joins_on_key[0], "whole rows meet the drawn keys on the key"
+            below = plan.split(joins_on_key[1], 1)[1] if len(joins_on_key) > 1 else ""
+            assert "repeat" not in below and df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_feed_and_head(spark):
     df = spark.range(20).repartition(3)
     assert [r.id for r in sampling.recent(df, ["id"], 3).collect()] == [19, 18, 17]
     assert [r.id for r in sampling.head(df, ["id"], 2).collect()] == [0, 1]
+    some = spark.createDataFrame([(1, 5), (2, None), (3, 6), (4, None), (5, None)], "i int, o int")
+    assert [r.o for r in sampling.head(some, ["o", "i"], 3).collect()] == [5, 6, None]
+    assert [r.o for r in sampling.recent(some, ["o", "i"], 4).collect()] == [6, 5, None, None]
