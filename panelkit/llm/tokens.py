@@ -8,7 +8,6 @@ tokenizer encodes each text whole. Both give the ids that the library gives.
 
 import json
 import os
-import re
 import unicodedata
 
 import numpy as np
@@ -52,8 +51,8 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         with open(path, encoding="utf-8") as file:
             self.by_word = json.load(file)["model"].get("end_of_word_suffix") == WORD_END
-        # A mark between a plain letter and white space is a stretch of its own.
-        self.mark = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|\Z)")
+        special = [t.content for t in self.tool.get_added_tokens_decoder().values() if t.special]
+        self.apart = special[0] if special else None
         self.forget()
 
     def forget(self):
@@ -74,7 +73,7 @@ class Encoder:
                 unicodedata.is_normalized("NFC", text)
                 and unicodedata.is_normalized("NFC", lowered.decode())):
             return None
-        return self.mark.sub(rb" \g<0>", lowered).split()
+        return lowered.split()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -95,11 +94,7 @@ class Encoder:
             counts.append(len(words))
             numbers.extend(map(find, words))
         self.learn()
-        at = np.array(numbers, np.int64)
-        sizes = self.sizes[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        spread = np.repeat(self.starts[at] - ends[:-1], sizes)
-        ids = self.flat[spread + np.arange(ends[-1])]
+        ids, ends = self.ids_at(np.array(numbers, np.int64))
         edges = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         lengths = np.diff(edges)
         if apart:
@@ -110,40 +105,82 @@ class Encoder:
         return ids, lengths
 
     def learn(self):
-        """Encode the words that came for the first time.
+        """Find the ids of the words that came for the first time.
 
-        Words of letters are encoded many in a row: each has one token that ends a word,
-        or else the number of ends tells, and the row is encoded word by word.
+        A word of letters and one mark has the ids of both. Words of letters are encoded
+        many in a row and told apart by their one token that ends a word, others by a
+        special token between them; where the number of tokens shows that a row does not
+        come apart so, it is encoded word by word.
         """
         new, self.words.new = self.words.new, []
-        texts = [w.decode() for w in new]
-        got: list = [None] * len(new)
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        find, joined, whole = self.words.__getitem__, [], []
+        number = len(self.words) - len(new)
+        self.room(len(self.words) + len(new))
+        for word in new:
+            mark = word[-1:]
+            if mark in (b".", b",") and word[:-1].decode().lower().isalpha():
+                joined.append((number, find(word[:-1]), find(mark)))
+            else:
+                whole.append((number, word.decode()))
+            number += 1
+        whole += [(number + k, w.decode()) for k, w in enumerate(self.words.new)]
+        self.words.new = []
+        plain = [w for w in whole if w[1].isalpha()]
+        other = [w for w in whole if not w[1].isalpha()]
         for k in range(0, len(plain), 512):
             row = plain[k:k + 512]
-            ids = np.array(self.tool.encode(
-                " ".join(texts[i] for i in row), add_special_tokens=False).ids, np.uint32)
+            ids = self.row_ids(" ".join(t for _, t in row))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(row) and cuts[-1] == len(ids):
-                for i, part in zip(row, np.split(ids, cuts[:-1]), strict=True):
-                    got[i] = part
-        rest = [i for i, g in enumerate(got) if g is None]
-        for i, e in zip(rest, self.tool.encode_batch_fast(
-                [texts[i] for i in rest], add_special_tokens=False), strict=True):
-            got[i] = np.array(e.ids, np.uint32)
-        if not got:
-            return
-        sizes = np.array([len(g) for g in got], np.int64)
-        first, last = len(self.words) - len(new), len(self.words)
-        while last > len(self.starts):
+            self.keep(row, ids, np.diff(cuts, prepend=0) if len(cuts) == len(row) else None)
+        for k in range(0, len(other), 512):
+            row, sizes = other[k:k + 512], None
+            ids = np.zeros(0, np.uint32)
+            if self.apart:
+                ids = self.row_ids(f" {self.apart} ".join(t for _, t in row))
+                between = ids == self.tool.token_to_id(self.apart)
+                cuts = np.append(np.flatnonzero(between), len(ids))
+                if len(cuts) == len(row):
+                    sizes = np.diff(cuts, prepend=-1) - 1
+                    ids = ids[~between]
+            self.keep(row, ids, sizes)
+        if joined:
+            at, stems, marks = np.array(joined, np.int64).T
+            parts = np.stack([stems, marks], 1).ravel()
+            self.store(at, self.ids_at(parts)[0], self.sizes[stems] + self.sizes[marks])
+
+    def row_ids(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode_batch_fast(
+            [text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def keep(self, row: list[tuple[int, str]], ids: np.ndarray, sizes: np.ndarray | None):
+        """Store a row's ids; without sizes the row is encoded word by word."""
+        if sizes is None:
+            each = self.tool.encode_batch_fast([t for _, t in row], add_special_tokens=False)
+            sizes = np.array([len(e.ids) for e in each], np.int64)
+            ids = np.array([i for e in each for i in e.ids], np.uint32)
+        self.store(np.array([n for n, _ in row], np.int64), ids, sizes)
+
+    def room(self, words: int):
+        while words > len(self.starts):
             self.starts, self.sizes = (
                 np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + sizes.sum() > len(self.flat):
+
+    def store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        self.room(len(self.words))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.sizes[first:last] = sizes
-        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used:self.used + sizes.sum()] = np.concatenate(got)
-        self.used += int(sizes.sum())
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def ids_at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered words in a row, and where each word begins and the last ends."""
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        spread = np.repeat(self.starts[numbers] - ends[:-1], sizes)
+        spread += np.arange(ends[-1])
+        return self.flat[spread], ends
 
 
 def batches(texts: list[str | None], most: int = 1 << 22):
