@@ -126,7 +126,7 @@ def _unanswered(spark: SparkSession, targets: DataFrame, folder: str) -> DataFra
 
 def sample_run(personas: DataFrame, assets: DataFrame, cells: Sequence[tuple[str, str, int]],
                factory: Factory, folder: str, run: str, seed: int = 0,
-               tasks: int | None = None) -> DataFrame:
+               tasks: int | None = None, buckets: int = 8) -> DataFrame:
     """Sample the panel per (model, version, count) cell, ask, and append to the log.
 
     Personas that a cell has in the log are not asked again. A run that was interrupted, or
@@ -135,13 +135,14 @@ def sample_run(personas: DataFrame, assets: DataFrame, cells: Sequence[tuple[str
     targets = run_grid(profile_rows(personas), "persona_uuid", cells, seed)
     todo = _unanswered(personas.sparkSession, targets, folder)
     replies = ask(todo, factory, f"{folder}/replies/{run}",
-                  lambda rows: prompt_rows(rows, assets), tasks)
+                  lambda rows: prompt_rows(rows, assets), tasks, buckets)
     return record(replies, folder, run)
 
 
 def cohort_run(spark: SparkSession, assets: DataFrame, base: tuple[str, str],
                target: tuple[str, str], factory: Factory, folder: str, run: str,
-               interests: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+               interests: DataFrame | None = None, tasks: int | None = None,
+               buckets: int = 8) -> DataFrame:
     """Ask the personas of one (model, version) cell again under another.
 
     ``interests`` adds each persona's note to its card. Personas already answered
@@ -158,5 +159,5 @@ def cohort_run(spark: SparkSession, assets: DataFrame, base: tuple[str, str],
         todo = enrich(todo, interests)
     note = "political_interest" if interests is not None else None
     replies = ask(todo, factory, f"{folder}/replies/{run}",
-                  lambda rows: prompt_rows(rows, assets, note), tasks)
+                  lambda rows: prompt_rows(rows, assets, note), tasks, buckets)
     return record(replies, folder, run)
