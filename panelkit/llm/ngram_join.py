@@ -244,8 +244,9 @@ def cells(docs: DataFrame, classes: DataFrame, found: DataFrame, block: int) ->
         .withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .drop("size")
     )
+    # Candidates grow with the corpus, so the texts go the same way at any size.
     texts = docs.select(*identity(docs), "text").join(
-        cut(placed, "candidate-classes"), ["_k1", "_k2"])
+        cut(placed, "candidate-classes").hint("merge"), ["_k1", "_k2"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     small = F.col("blocks") == 1
     return texts.withColumn("other", other).select(
