@@ -17,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 1024
+LANES = 2048
 # The model counts at most about so many ids of a block.
 HISTORY = 1 << 19
-ROUNDS = (1 / 32, 1 / 8, 3 / 8, 5 / 8)
-CONTEXTS = 1 << 18
-FOUND = 1 << 20
+ROUNDS = (1 / 16, 1 / 4, 5 / 8)
+CONTEXTS = 1 << 17
+FOUND = 1 << 19
 PART_BITS = 12
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 LOW_MASK = np.uint64((1 << 32) - 1)
@@ -38,7 +38,7 @@ def pair_slot(two_back: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def found_slot(key: np.ndarray) -> np.ndarray:
     mixed = key * np.int64(0x9E3779B97F4A7C15 - (1 << 64))
-    return (mixed >> np.int64(43)) & (FOUND - 1)
+    return (mixed >> np.int64(44)) & (FOUND - 1)
 
 
 class Followers:
@@ -46,17 +46,16 @@ class Followers:
 
     def __init__(self, context: np.ndarray, ids: np.ndarray, contexts: int, encoding: bool):
         key = np.sort((context << 17) | ids)
-        self.ids = key & 0x1FFFF
+        self.ids = (key & 0x1FFFF).astype(np.int32)
         n = len(key)
         fresh = np.ones(n, bool)
         fresh[1:] = key[1:] != key[:-1]
-        heads = np.flatnonzero(fresh)
-        sizes = np.diff(np.append(heads, n))
-        run = np.cumsum(fresh) - 1
-        self.head = heads[run]
-        self.size = sizes[run]
-        self.count = np.bincount(context, minlength=contexts)
-        self.start = np.cumsum(self.count) - self.count
+        heads = np.flatnonzero(fresh).astype(np.int32)
+        sizes = np.diff(heads, append=np.int32(n))
+        self.head = np.repeat(heads, sizes)
+        self.size = np.repeat(sizes, sizes)
+        self.count = np.bincount(context, minlength=contexts).astype(np.int32)
+        self.start = np.cumsum(self.count, dtype=np.int32) - self.count
         if encoding:
             # Two keys in one slot: the later stays, the other is coded by a lower order.
             self.found = np.full(FOUND, -1, np.int32)
@@ -67,17 +66,21 @@ class Followers:
     def look(self, context: np.ndarray, ids: np.ndarray):
         """First slot and number of slots of an id after its context; 0 slots if none."""
         if not len(self.keys):
-            none = np.zeros(len(ids), np.int64)
+            none = np.zeros(len(ids), np.int32)
             return none, none
         key = (context << 17) | ids
         run = self.found[found_slot(key)]
-        size = np.where((run >= 0) & (self.keys[run] == key), self.sizes[run], 0)
-        return self.heads[run], size
+        # Nothing found is the last run, whose key differs or is the right one.
+        return self.heads[run], self.sizes[run] * (self.keys[run] == key)
+
+
+LEVELS = np.searchsorted(
+    np.array([1, 2, 4, 8, 16, 64, 256]), np.arange(257), side="right").astype(np.int8)
 
 
 def confidence(count: np.ndarray) -> np.ndarray:
-    """0 to 7: the bits of a count."""
-    return np.searchsorted(np.array([1, 2, 4, 8, 16, 64, 256]), count, side="right")
+    """0 to 7: how often a context was seen."""
+    return LEVELS[np.minimum(count, 256)]
 
 
 class Model:
@@ -93,16 +96,18 @@ class Model:
         # One index over the contexts of all four parts, and one over their slots.
         self.first = np.cumsum([0, CONTEXTS, vocabulary + 1, 1])
         n = len(ids)
-        every = np.arange(vocabulary)
-        self.total = np.concatenate([*(o.count for o in self.orders), [vocabulary]])
-        self.start = np.concatenate(
-            [*(o.start + k * n for k, o in enumerate(self.orders)), [3 * n]])
-        self.ids = np.concatenate([*(o.ids for o in self.orders), every])
-        self.head = np.concatenate(
-            [*(o.head + k * n for k, o in enumerate(self.orders)), every + 3 * n])
-        self.size = np.concatenate(
-            [*(o.size for o in self.orders), np.ones(vocabulary, np.int64)])
-        self.pair_class = confidence(self.orders[0].count) * 8
+        every = np.arange(vocabulary, dtype=np.int32)
+        self.total = np.concatenate(
+            [*(o.count for o in self.orders), np.array([vocabulary], np.int32)])
+        self.start = np.concatenate([*(o.start + np.int32(k * n) for k, o in enumerate(
+            self.orders)), np.array([3 * n], np.int32)])
+        if not encoding:
+            self.ids = np.concatenate([*(o.ids for o in self.orders), every])
+            self.head = np.concatenate([*(o.head + np.int32(k * n) for k, o in enumerate(
+                self.orders)), every + np.int32(3 * n)])
+            self.size = np.concatenate(
+                [*(o.size for o in self.orders), np.ones(vocabulary, np.int32)])
+        self.pair_class = confidence(self.orders[0].count) * np.int8(8)
         self.last_class = confidence(self.orders[1].count)
         weights = chosen + 0.1
         share = np.floor(
@@ -193,24 +198,29 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     for begin, end in zip(plan.edges, plan.edges[1:], strict=False):
         model = Model(*history(matrix, last, two_back, plan, begin), vocabulary, chosen, True)
         wanted, p, b = (x[begin:end].ravel() for x in (matrix, pair, last))
-        kind = model.classes(p, b)
-        found = [o.look(c, wanted) for o, c in zip(
-            model.orders, (p, b, np.zeros_like(b)), strict=True)]
-        heads = np.stack([*(f[0] for f in found), wanted])
-        sizes = np.stack([*(f[1] for f in found), np.ones_like(wanted)])
-        places = np.stack([p, b + model.first[1], np.full_like(b, model.first[2]),
-                           np.full_like(b, model.first[3])])
-        totals = np.maximum(model.total[places], 1)
-        part = np.argmax(model.weight[kind].T * sizes / totals, axis=0)
-        flat = part * len(wanted) + np.arange(len(wanted))
-        place = places.ravel()[flat]
-        total = totals.ravel()[flat]
-        size = sizes.ravel()[flat]
-        n = len(model.orders[0].ids)
-        cumulative = heads.ravel()[flat] + part * n - model.start[place]
+        kind = model.classes(p, b).astype(np.intp)
+        # Start from the part that has every id once, and take each order that does better.
+        share = (model.weight / np.array([1, 1, 1, vocabulary])).astype(np.float32)
+        part = np.full(len(wanted), 3, np.int8)
+        best = share[:, 3][kind]
+        head, size = wanted.astype(np.int32), np.ones(len(wanted), np.int32)
+        total = np.full(len(wanted), vocabulary, np.int32)
+        for k, place in enumerate((p, b, None)):
+            order = model.orders[k]
+            found, count = order.look(np.zeros_like(b) if place is None else place, wanted)
+            slots = order.count[0] if place is None else order.count[place]
+            value = share[:, k][kind] * count / np.maximum(slots, 1)
+            better = value > best
+            best = np.where(better, value, best)
+            begins = 0 if place is None else order.start[place]
+            head = np.where(better, found - begins, head)
+            size = np.where(better, count, size)
+            total = np.where(better, slots, total)
+            part[better] = k
         shape = (end - begin, plan.lanes)
+        cell = kind * 4 + part
         columns = [x.reshape(shape).astype(np.uint64) for x in (
-            model.below[kind, part], model.weight[kind, part], cumulative, size, total)]
+            model.below.ravel()[cell], model.weight.ravel()[cell], head, size, total)]
         for t in range(begin, end):
             m = int(active[t])
             low, wide = coder.low[:m], coder.range[:m]
@@ -221,9 +231,8 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             low += first * unit
             np.multiply(span, unit, out=wide)
             coder.settle(m)
-        real = np.arange(begin, end)[:, None] < plan.sizes[None, :]
-        seen = real.ravel()
-        np.add.at(chosen, (kind[seen], part[seen]), 1)
+        real = (np.arange(begin, end)[:, None] < plan.sizes[None, :]).ravel()
+        chosen += np.bincount(cell[real], minlength=256).reshape(64, 4)
     words = coder.finish()
     return coder.used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
@@ -255,9 +264,8 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
         spots = np.stack([np.repeat(np.arange(4, dtype=np.int8), w) for w in model.weight])
         spots, bits = spots.ravel(), PART_BITS
         weight, below = (x.ravel().astype(np.uint64) for x in (model.weight, model.below))
-        total, start = model.total.astype(np.uint64), model.start
-        head, size = model.head, model.size.astype(np.uint64)
-        kinds, parts = [], []
+        total, start, head, size = model.total, model.start, model.head, model.size
+        cells = []
         fixed = np.zeros((4, lanes), np.int64)
         fixed[2], fixed[3] = model.first[2], model.first[3]
         places, every = fixed.ravel(), np.arange(lanes)
@@ -269,7 +277,7 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
                 two_back[t, :m] = matrix[t - 2, :m]
             b = last[t, :m]
             p = pair_slot(two_back[t, :m], b)
-            kind = model.pair_class[p] + model.last_class[b]
+            kind = (model.pair_class[p] + model.last_class[b]).astype(np.intp)
             a, w, c = low[:m], wide[:m], code[:m]
             unit = w >> np.uint64(bits)
             spot = np.minimum((c - a) // unit, top).astype(np.int64)
@@ -279,14 +287,14 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
             places[:m] = p
             places[lanes:lanes + m] = b + model.first[1]
             place = places[part * lanes + every[:m]]
-            slots = total[place]
+            slots = total[place].astype(np.uint64)
             unit = (weight[cell] * unit) // slots
             slot = np.minimum((c - a) // unit, slots - np.uint64(1)).astype(np.int64)
             begin_at = start[place]
             here = begin_at + slot
             matrix[t, :m] = model.ids[here]
             a += (head[here] - begin_at).astype(np.uint64) * unit
-            np.multiply(size[here], unit, out=w)
+            np.multiply(size[here].astype(np.uint64), unit, out=w)
             need = np.flatnonzero(((a ^ (a + w)) < TOP) | (w < BOTTOM))
             while len(need):
                 x, y = a[need], w[need]
@@ -296,9 +304,8 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
                 x, y = x << WORD, y << WORD
                 a[need], w[need] = x, y
                 need = need[((x ^ (x + y)) < TOP) | (y < BOTTOM)]
-            kinds.append(kind)
-            parts.append(part)
-        np.add.at(chosen, (np.concatenate(kinds), np.concatenate(parts)), 1)
+            cells.append(cell)
+        chosen += np.bincount(np.concatenate(cells), minlength=256).reshape(64, 4)
     return matrix.T.ravel()[:n]
 
 

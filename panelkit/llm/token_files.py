@@ -83,7 +83,14 @@ def read_tokens(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
     """One row per document from the files: doc_id, its ids (little-endian unsigned 32-bit
     integers), n_tokens, and start, the ids of all documents before it."""
     blocks = spark.read.schema(BLOCKS).parquet(folder)
-    schema = "shard int, doc_id long, before long, n_tokens long, ids binary"
+    # One row per shard, that is, per written task, whatever the files hold.
+    totals = blocks.select("shard", F.aggregate(
+        "lengths", F.lit(0).cast("long"), lambda a, n: a + n).alias("_n")).groupBy(
+        "shard").agg(F.sum("_n").alias("_n"))
+    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select("shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    placed = blocks.join(F.broadcast(bases), "shard").withColumn(
+        "first", F.col("first") + F.col("_base")).drop("_base")
 
     def decode(parts):
         size = encoder(tokenizer).size
@@ -97,18 +104,9 @@ def read_tokens(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 texts = [ids[e - n:e].tobytes() for e, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(lengths), row["shard"]), pa.int32()),
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(row["first"] + ends - lengths, pa.int64()),
                     pa.array(lengths, pa.int64()), pa.array(texts, pa.binary())],
-                    ["shard", "doc_id", "before", "n_tokens", "ids"])
+                    ["doc_id", "start", "n_tokens", "ids"])
 
-    # One row per shard, that is, per written task.
-    totals = blocks.select("shard", F.aggregate(
-        "lengths", F.lit(0).cast("long"), lambda a, n: a + n).alias("_n")).groupBy(
-        "shard").agg(F.sum("_n").alias("_n"))
-    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    return (
-        blocks.mapInArrow(decode, schema).join(bases, "shard")
-        .select("doc_id", (F.col("_base") + F.col("before")).alias("start"), "n_tokens", "ids"))
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
