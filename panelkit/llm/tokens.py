@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 
 # Distinct stretches a worker remembers; then it starts anew. Speed only, never results.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 WORD_END = "</w>"
 
 _TOOLS: dict[str, "Encoder"] = {}
@@ -53,6 +53,10 @@ class Encoder:
             self.by_word = json.load(file)["model"].get("end_of_word_suffix") == WORD_END
         special = [t.content for t in self.tool.get_added_tokens_decoder().values() if t.special]
         self.apart = special[0] if special else None
+        # A stretch of a to z needs no normalizing or splitting; ask the model at once.
+        self.direct = all(
+            [t.id for t in self.tool.model.tokenize(w)] == self.whole(w).tolist()
+            for w in ("a", "the", "zqx", "internationalization"))
         self.forget()
 
     def forget(self):
@@ -107,8 +111,8 @@ class Encoder:
     def learn(self):
         """Find the ids of the words that came for the first time.
 
-        A word of letters and one mark has the ids of both. Words of letters are encoded
-        many in a row and told apart by their one token that ends a word, others by a
+        A word of letters and one mark has the ids of both. Other words of letters than a
+        to z are encoded many in a row and told apart by their one token that ends a word, others by a
         special token between them; where the number of tokens shows that a row does not
         come apart so, it is encoded word by word.
         """
@@ -125,6 +129,15 @@ class Encoder:
             number += 1
         whole += [(number + k, w.decode()) for k, w in enumerate(self.words.new)]
         self.words.new = []
+        if self.direct:
+            tokenize = self.tool.model.tokenize
+            each = [(n, [t.id for t in tokenize(w)]) for n, w in whole
+                    if w.isascii() and w.isalpha()]
+            if each:
+                self.store(np.array([n for n, _ in each], np.int64),
+                           np.array([i for _, ids in each for i in ids], np.uint32),
+                           np.array([len(ids) for _, ids in each], np.int64))
+            whole = [w for w in whole if not (w[1].isascii() and w[1].isalpha())]
         plain = [w for w in whole if w[1].isalpha()]
         other = [w for w in whole if not w[1].isalpha()]
         for k in range(0, len(plain), 512):
