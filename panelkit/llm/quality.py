@@ -137,14 +137,16 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
     )
     results = ("text", "base_failed", "kept", "n_left", *FEATURES)
     copies = [c for c in docs.columns if c not in results and not c.startswith("_")]
-    rows = features(docs.select(*copies, "text", F.xxhash64("text").alias("_text")))
+    # Written, so that a filter on the verdict does not repeat the counting below it.
+    rows = cut(features(docs.select(*copies, "text", F.xxhash64("text").alias("_text")))
+               .drop("text"), "features")
     same_doc = (
         F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
         & F.col("d.source").eqNullSafe(F.col("b.source"))
         & (F.col("d._text") == F.col("b._text")))
     left = F.greatest(F.col("n_words") - F.coalesce("_boiler", F.lit(0)), F.lit(0))
     return (
-        rows.drop("text").alias("d").join(boiler.alias("b"), same_doc, "left")
+        rows.alias("d").join(boiler.alias("b"), same_doc, "left")
         .select(*[F.col(f"d.{c}") for c in [*copies, "_text", *FEATURES]], left.alias("n_left"))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed")
