@@ -114,6 +114,52 @@ def failure_files(spark, folder):
         "error", "model", "persona_uuid", "raw_response", "model_name")
 
 
+def _hadoop_names(spark, path, names):
+    """Give the only file of each folder of ``path`` its wanted name."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for folder, name in names.items():
+        inside = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        part = next(f.getPath() for f in fs.listStatus(inside) if f.getPath().getName()[0] == "p")
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/named/{name}").getParent())
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/named/{name}"))
+
+
+def _named_files(spark, rows, path, names):
+    """Each row's text as a file of its own name; one folder per part first."""
+    rows.write.partitionBy("part").text(path)
+    _hadoop_names(spark, path, {f"part={k}": v for k, v in names.items()})
+    return f"{path}/named"
+
+
+@query("""SELECT k.kind, 'v' || r_regionkey AS version,
+  CASE k.kind WHEN 'voter_context' THEN r_name ELSE 'of ' || r_name END || chr(10) AS text
+FROM region, (VALUES ('voter_context'), ('system_prompt')) k(kind) WHERE r_regionkey < 5""")
+def asset_files(spark, folder):
+    kinds, region = ("voter_context", "system_prompt"), table(spark, folder, "region")
+    rows = region.where("r_regionkey < 5").select(F.explode(F.array(
+        F.struct((F.col("r_regionkey") * 2).alias("part"), F.col("r_name").alias("value")),
+        F.struct((F.col("r_regionkey") * 2 + 1).alias("part"),
+                 F.concat(F.lit("of "), "r_name").alias("value")))).alias("f")).select("f.*")
+    path = new_folder(spark, "asset-files")
+    named = _named_files(spark, rows.repartition(10, "part"), path, {
+        2 * i + k: f"{kind}_v{i}.md" for i in range(5) for k, kind in enumerate(kinds)})
+    return readers.read_assets(spark, named)
+
+
+@query("""SELECT CAST(n_nationkey // 10 + 1 AS INTEGER) AS chunk_id,
+  CAST(n_nationkey % 10 AS INTEGER) AS idx, n_name || chr(10) AS text FROM nation
+WHERE n_nationkey < 25""")
+def note_files(spark, folder):
+    rows = table(spark, folder, "nation").where("n_nationkey < 25").select(
+        F.col("n_nationkey").alias("part"), F.col("n_name").alias("value"))
+    path = new_folder(spark, "note-files")
+    named = _named_files(spark, rows.repartition(25, "part"), path, {
+        i: f"_{i // 10 + 1:03d}_results/{i % 10}.txt" for i in range(25)})
+    return readers.read_notes(spark, f"{named}/*")
+
+
 @query("""SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 1""")
 def peek_one(spark, folder):
     first = table(spark, folder, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")
