@@ -29,6 +29,8 @@ LANDMARKS = 128
 RIDGE = 1.0
 BATCH = 128
 UNKNOWN = "und"
+# A model holds a column of weights per language; tables with more are refused.
+MOST_LANGUAGES = 1000
 MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 _LETTERS: list[np.ndarray] = []
@@ -115,12 +117,18 @@ def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS,
 
 
 def sample(docs: DataFrame, usable: Column, per_language: int) -> DataFrame:
-    """About ``per_language`` usable rows of each language, by hash. Counts come first."""
+    """About ``per_language`` usable rows of each language, by hash. Counts come first, and
+    their few shares go into the filter, so no text moves."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    shares = F.create_map(*[x for r in counts for x in (
+        F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))]) if counts else F.create_map(
+        F.lit(""), F.lit(0.0))
     draw = F.xxhash64(F.lit(5), "doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(
         float(1 << 40))
-    return rows.join(counts, "lang").where(draw < per_language / F.col("_n")).select(
+    return rows.where(draw < F.try_element_at(shares, F.col("lang"))).select(
         "doc_id", "lang", "text")
 
 
