@@ -296,7 +296,7 @@ def nearest(pages: DataFrame) -> DataFrame:
     known = cut(outlines(pages), "outlines")
     firsts = known.where("host <> ''").groupBy("host", "digest").agg(
         F.min("path").alias("path"), F.first("prints").alias("prints"))
-    order = cut(number_rows(firsts, ["host", "path", "digest"], "n"), "url-order")
+    order = number_rows(firsts, ["host", "path", "digest"], "n")
     parts = order.select("n", "host", "digest", F.split("path", "/").alias("path"))
 
     def beside(by: int, name: str) -> DataFrame:
