@@ -5,9 +5,10 @@ A document passes when it meets the base rules and is not depleted: at least
 of a document is its ``source``. A line (its key of 20 code points or more) is frequent on
 a host when more than ``MAX_DOCUMENTS`` distinct documents of the host hold it.
 
-Copies of one document are one document here. Distinct documents are told apart by the
-smallest MD5 of their line keys, which exact and near copies share, so a text that was
-copied a thousand times is not taken for boilerplate; that is left to deduplication.
+Exact copies are one document here: distinct documents are told apart by a hash of the whole
+text, so a text that was copied a thousand times is not taken for boilerplate; that is left
+to deduplication. Texts that differ anywhere are different documents, so the pages of one
+template count each.
 
 Defined results: a null text has no word and fails the base rules; documents without
 source form one host; repeated rows get the same result and count once; an empty table
@@ -96,18 +97,15 @@ def base_failed() -> Column:
 
 
 def host_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """One row per long line: its document and host, key hash, words, document signature."""
+    """One row per long line: its document and host, hash of the text, key hash, words."""
     lines = F.filter(
         F.transform(lines_of(F.col("text")), lambda x: F.struct(
             line_key(x).alias("key"), word_count(x).alias("n"))),
         lambda x: F.char_length(x["key"]) >= min_points)
     return (
         docs.select("doc_id", "source", F.xxhash64("text").alias("_text"), lines.alias("_l"))
-        .select("doc_id", "source", "_text",
-                F.xxhash64(F.array_min(F.transform("_l", lambda x: F.md5(x["key"]))))
-                .alias("signature"),
-                F.posexplode("_l").alias("pos", "line"))
-        .select("doc_id", "source", "_text", "signature", "pos", F.col("line.n").alias("n"),
+        .select("doc_id", "source", "_text", F.posexplode("_l").alias("pos", "line"))
+        .select("doc_id", "source", "_text", "pos", F.col("line.n").alias("n"),
                 *two_hashes(F.col("line.key")))
     )
 
@@ -122,7 +120,7 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
     lines = cut(host_lines(docs, min_points), "host-lines")
     frequent = cut(
         lines.groupBy("source", "h1", "h2")
-        .agg(F.count_distinct("signature").alias("_n"))
+        .agg(F.count_distinct("_text").alias("_n"))
         .where(F.col("_n") > max_documents)
         .drop("_n"), "frequent-lines")
     same_line = (

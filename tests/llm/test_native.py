@@ -110,6 +110,29 @@ def test_boilerplate_depletes_but_copies_do_not(spark):
     assert kept[300], "frequent on another host only"
 
 
+def test_frequent_lines_count_documents_whatever_their_hash(spark):
+    def digest(line):
+        return hashlib.md5(line.encode()).hexdigest()
+
+    lines = sorted((f"this line number {i} is on many pages of the host" for i in range(500)),
+                   key=digest)
+    least, template = lines[0], "\n".join(lines[1:21])
+    own = "\n".join(["own {0} word{0}a word{0}b word{0}c word{0}d"] * 2)
+    rows = [(i, f"{least}\n{own.format(i)}", "least") for i in range(11)]
+    rows += [(100 + i, f"{template}\npage {i}", "template") for i in range(11)]
+    rows += [(200 + i, f"{least}\n{own.format(i)}", "few") for i in range(10)]
+    rows += [(300 + i, template, "copies") for i in range(11)]
+    assert all(digest(least) < digest(own.format(i).split("\n")[0]) for i in range(11))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r[0]: r[1:] for r in quality.judge(docs).select(
+        "doc_id", "n_left", "n_words", "base_failed", "kept").collect()}
+    n = len(least.split())
+    assert all(got[i][1] - got[i][0] == n for i in range(11)), "more than ten hold the line"
+    assert all(got[100 + i][0] == 2 and not got[100 + i][3] for i in range(11)), "template only"
+    assert all(got[200 + i][0] == got[200 + i][1] for i in range(10)), "ten hold the line"
+    assert all(got[300 + i][0] == got[300 + i][1] for i in range(11)), "exact copies count once"
+
+
 def check_mix(rows, docs):
     """Targets by repeated sharing, as the words of the rule say it."""
     size = defaultdict(int)
