@@ -7,10 +7,11 @@ articles share is the site's. A page whose blocks are all those of another is a
 neighbour; copies are passed over and compared to what their first is compared to.
 
 Markup settles what differencing cannot. Blocks in menus, headers, footers, sidebars,
-notices, adverts, forms and comments go even if no neighbour has them. Blocks inside an
-article element stay even if a neighbour has them, as articles quote and copy each other;
-if a page has any, blocks outside go. The same holds for a main element or a container
-named as content, but shared blocks inside those are deleted.
+notices, adverts, forms and comments go even if no neighbour has them. All other blocks are
+decided by the alignment, inside article elements and outside. As articles quote and copy
+each other, a shared block inside an article goes only if more than ``FEW_PAGES`` pages of
+the host (copies passed over) hold it inside theirs. A page without a neighbour keeps the
+blocks of its strongest markup: article, main, a container named as content, or all.
 
 Defined results: null or empty html gives an empty text; pages without a host have no
 neighbour; repeated rows get the same result; an empty table gives an empty table; other
@@ -62,6 +63,8 @@ NAME_PARTS = re.compile(r"[^a-z0-9]+")
 ARTICLE, MAIN, NAMED, OPEN, NOT_MAIN = 3, 2, 1, 0, -1
 # Cells of an alignment that are held at once; larger ones are divided.
 CELLS = 1 << 27
+# A shared block inside an article stays if no more pages of the host hold it.
+FEW_PAGES = 10
 
 
 def kind_of(name: str, attributes: str) -> int | None:
@@ -255,49 +258,68 @@ def align(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def main_text(page: str | None, neighbour: list[int] | None) -> str:
-    """The blocks that differencing and markup leave, joined by empty lines."""
+def main_text(page: str | None, neighbour: list[int] | None,
+              common: list[int] | None = None) -> str:
+    """The blocks that differencing and markup leave, joined by empty lines.
+
+    ``common`` are the shared blocks that many articles of the host hold.
+    """
     have = blocks(page)
     prints = [fingerprint(t) for t, _ in have]
-    shared = matched(prints, neighbour) if neighbour else [False] * len(have)
-    level = max((k for _, k in have), default=OPEN)
+    if not neighbour:
+        level = max((k for _, k in have), default=OPEN)
+        return "\n\n".join(t for t, kind in have if kind == level and kind >= OPEN)
+    often = set(common or ())
     return "\n\n".join(
-        text for (text, kind), both in zip(have, shared, strict=True)
-        if kind == level and kind >= OPEN and (kind == ARTICLE or not both))
+        text for (text, kind), x, both in zip(
+            have, prints, matched(prints, neighbour), strict=True)
+        if kind >= OPEN and not (both and (kind != ARTICLE or x in often)))
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """Per page: key, host, path, fingerprints of its blocks and of them all. No texts."""
+    """Per page: key, host, path, fingerprints of its blocks and of them all. No texts.
+
+    ``inside`` has a 1 for each block inside an article and a 0 for each other.
+    """
     def outline(parts):
         for part in parts:
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             for url, page in zip(part.column("url").to_pylist(),
                                  part.column("html").to_pylist(), strict=True):
                 host, path = place_of(url)
-                prints = [fingerprint(t) for t, _ in blocks(page)]
+                have = blocks(page)
+                prints = [fingerprint(t) for t, _ in have]
+                inside = "".join("01"[k == ARTICLE] for _, k in have)
                 for column, value in zip(out, (
-                        host, path, prints, fingerprint(repr(prints))), strict=True):
+                        host, path, prints, fingerprint(repr(prints)), inside), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [part.column("_key"), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
-                 pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64())],
-                ["_key", "host", "path", "prints", "digest"])
+                 pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64()),
+                 pa.array(out[4], pa.string())],
+                ["_key", "host", "path", "prints", "digest", "inside"])
 
     return pages.select(F.xxhash64("url", "html").alias("_key"), "url", "html").mapInArrow(
-        outline, "_key long, host string, path string, prints array<bigint>, digest long")
+        outline, "_key long, host string, path string, prints array<bigint>, digest long, "
+        "inside string")
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """Key of each page and the fingerprints of the page with the nearest URL.
+    """Key of each page, the fingerprints of the page with the nearest URL, and those of them
+    that are shared inside articles and held there by many pages of the host.
 
     Only outlines are sorted and joined. Pages with equal blocks on a host are first reduced
     to one, so the order has no copies, and a host of any size is only a run of it.
     """
     known = cut(outlines(pages), "outlines")
     firsts = known.where("host <> ''").groupBy("host", "digest").agg(
-        F.min("path").alias("path"), F.first("prints").alias("prints"))
+        F.min("path").alias("path"), F.first("prints").alias("prints"),
+        F.max("inside").alias("inside"))
     order = number_rows(firsts, ["host", "path", "digest"], "n")
-    parts = order.select("n", "host", "digest", F.split("path", "/").alias("path"))
+    mine = F.array_distinct(F.filter(
+        "prints", lambda x, i: F.substr(F.col("inside"), i + 1, F.lit(1)) == "1"))
+    parts = order.select(
+        "n", "host", "digest", F.split("path", "/").alias("path"), mine.alias("mine"))
 
     def beside(by: int, name: str) -> DataFrame:
         return order.select(
@@ -313,13 +335,24 @@ def nearest(pages: DataFrame) -> DataFrame:
         ).otherwise(-1)
 
     near = parts.join(beside(1, "before"), "n", "left").join(beside(-1, "after"), "n", "left")
-    chosen = cut(near.select(
-        "host", "digest",
+    found = near.select(
+        "host", "digest", "mine",
         F.when(F.greatest(agree("before"), agree("after")) >= 0, F.when(
             agree("before") >= agree("after"), F.col("before_prints"))
-            .otherwise(F.col("after_prints"))).alias("_near")), "nearest")
+            .otherwise(F.col("after_prints"))).alias("_near"))
+    chosen = cut(found.select(
+        "host", "digest", "_near", F.array_intersect("mine", "_near").alias("shared"),
+    ).where(F.col("_near").isNotNull()), "nearest")
+    often = (
+        order.select("host", F.explode(mine).alias("print"))
+        .groupBy("host", "print").count().where(F.col("count") > FEW_PAGES).drop("count"))
+    common = (
+        chosen.select("host", "digest", F.explode("shared").alias("print"))
+        .join(often, ["host", "print"])
+        .groupBy("host", "digest").agg(F.collect_set("print").alias("_common")))
     return known.select("_key", "host", "digest").dropDuplicates(["_key"]).join(
-        chosen, ["host", "digest"]).where(F.col("_near").isNotNull()).select("_key", "_near")
+        chosen.drop("shared"), ["host", "digest"]).join(
+        common, ["host", "digest"], "left").select("_key", "_near", "_common")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -330,13 +363,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def cut_pages(parts):
         for part in parts:
-            texts = [main_text(page, near) for page, near in zip(
-                part.column("html").to_pylist(), part.column("_near").to_pylist(), strict=True)]
+            texts = [main_text(page, near, common) for page, near, common in zip(
+                part.column("html").to_pylist(), part.column("_near").to_pylist(),
+                part.column("_common").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(texts, pa.string())],
                 [*kept, "text"])
 
     near = cut(nearest(pages), "near-pages")
     keyed = pages.select(*kept, "html", F.xxhash64("url", "html").alias("_key"))
-    return keyed.join(near, "_key", "left").select(*kept, "html", "_near").mapInArrow(
+    return keyed.join(near, "_key", "left").select(*kept, "html", "_near", "_common").mapInArrow(
         cut_pages, schema)

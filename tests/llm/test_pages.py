@@ -44,6 +44,28 @@ def test_blocks():
     assert len(pages.main_text(long, None)) == 3 * 20000 - 2
 
 
+def test_alignment_decides_articles_too(spark):
+    def page(i, extra=""):
+        return (f"<div>Site</div><article><p>Own {i}<p>Subscribe to us.{extra}</article>")
+
+    quote = "<p>A passage that two articles quote."
+    rows = [(f"https://many.example/{i:02}", page(i, quote if i in (3, 4) else ""))
+            for i in range(11)]
+    rows += [(f"https://few.example/{i:02}", page(i)) for i in range(10)]
+    rows += [(f"https://card.example/{i}", f"<div>Site</div><article>Card {i}</article>"
+              f"<div>Main text {i}</div><footer>f {i}</footer>") for i in range(2)]
+    rows += [("https://alone.example/", "<article>Mine</article><div>tail</div>")]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.extract(docs).collect()}
+    for i in range(11):
+        quoted = "\n\nA passage that two articles quote." if i in (3, 4) else ""
+        assert got[i] == f"Own {i}{quoted}", "boilerplate of the host goes, a quote stays"
+    assert all(got[11 + i] == f"Own {i}\n\nSubscribe to us." for i in range(10)), "few pages"
+    assert all(got[21 + i] == f"Card {i}\n\nMain text {i}" for i in range(2))
+    assert got[23] == "Mine", "without a neighbour markup decides"
+
+
 def site(host, n):
     out = []
     for i in range(n):
