@@ -7,8 +7,9 @@ articles share is the site's. A page whose blocks are all those of another is a
 neighbour; copies are passed over and compared to what their first is compared to.
 
 Markup settles what differencing cannot. Blocks in menus, headers, footers, sidebars,
-notices, adverts, forms and comments go even if no neighbour has them. All other blocks are
-decided by the alignment, inside article elements and outside. As articles quote and copy
+notices, adverts, forms and comments go even if no neighbour has them; a container that only
+its class, id or role names so yields to an article or main element in it, and to a name of
+content on itself. All other blocks are decided by the alignment, inside article elements and outside. As articles quote and copy
 each other, a shared block inside an article goes only if more than ``FEW_PAGES`` pages of
 the host (copies passed over) hold it inside theirs. A page without a neighbour keeps the
 blocks of its strongest markup: article, main, a container named as content, or all.
@@ -50,17 +51,21 @@ DROPPED = frozenset((
 ENDS = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")),
         "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
         "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
-# Words of class, id and role that name what is not the article, or what holds it.
+# Whole names of class, id and role, without their hyphens, that say what is not the article,
+# or what holds it.
 NOT_TEXT = frozenset((
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion "
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe signup paywall sidebar complementary menu nav navbar navigation breadcrumb "
     "breadcrumbs pagination pager footer contentinfo header masthead comment comments disqus "
     "replies share sharing social related recommended widget toolbar search form dialog").split())
-HOLDS_TEXT = frozenset("article articlebody content entry post story main".split())
-NAME_PARTS = re.compile(r"[^a-z0-9]+")
+HOLDS_TEXT = frozenset((
+    "article articlebody articlecontent content entry entrycontent main maincontent post "
+    "postbody postcontent story storybody").split())
+NAME_MARKS = re.compile(r"[^a-z0-9\s]+")
 
-ARTICLE, MAIN, NAMED, OPEN, NOT_MAIN = 3, 2, 1, 0, -1
+# NOT_NAMED comes from a name only; an article or main element inside lifts it.
+ARTICLE, MAIN, NAMED, OPEN, NOT_NAMED, NOT_MAIN = 3, 2, 1, 0, -1, -2
 # Cells of an alignment that are held at once; larger ones are divided.
 CELLS = 1 << 27
 # A shared block inside an article stays if no more pages of the host hold it.
@@ -76,7 +81,7 @@ def kind_of(name: str, attributes: str) -> int | None:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id", "role"):
-                words.update(NAME_PARTS.split(value))
+                words.update(NAME_MARKS.sub("", value).split())
             elif key == "hidden" or key == "aria-hidden" and value == "true":
                 hidden = True
             elif key == "style" and "display:none" in value.replace(" ", ""):
@@ -89,9 +94,9 @@ def kind_of(name: str, attributes: str) -> int | None:
         return MAIN
     if name in ("html", "body"):
         return None
-    if words & NOT_TEXT:
-        return NOT_MAIN
-    return NAMED if words & HOLDS_TEXT else None
+    if words & HOLDS_TEXT:
+        return NAMED
+    return NOT_NAMED if words & NOT_TEXT else None
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -158,7 +163,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         inside = kind
         if new is not None and kind != NOT_MAIN:
-            inside = NOT_MAIN if new == NOT_MAIN else max(kind, new)
+            if new < OPEN:
+                inside = new
+            elif kind != NOT_NAMED:
+                inside = max(kind, new)
+            elif new >= MAIN and all(k != ARTICLE for _, k in stack):
+                # Cards inside an article's own sidebar stay out.
+                inside = new
         if name in INLINE and inside == kind:
             continue
         if inside != kind:

@@ -44,6 +44,21 @@ def test_blocks():
     assert len(pages.main_text(long, None)) == 3 * 20000 - 2
 
 
+def test_article_lifts_class_names():
+    for around in ('id="content" class="with-sidebar"', 'class="sidebar"', 'id="search"',
+                   'class="content share"', 'role="main" class="header"', 'class="alert-free"'):
+        page = f"<div {around}><article>Text</article></div><div class='side-bar'>no</div>"
+        assert pages.main_text(page, None) == "Text", around
+        assert pages.main_text(page.replace("article", "main"), None) == "Text", around
+    assert pages.main_text("<div class='content sidebar'>Text</div>", None) == "Text"
+    assert pages.main_text("<div class='form-free'>Text</div>", None) == "Text"
+    for inner in ("<nav><article>no</article></nav>", "<p hidden><article>no</article>",
+                  "<div class=menu><p>no</div>",
+                  "<article>Text<div class=related><article>no</article></div></article>",
+                  "<div class=comments><article class=comment>no</article></div>"):
+        assert pages.main_text(f"{inner}", None).replace("Text", "") == "", inner
+
+
 def test_alignment_decides_articles_too(spark):
     def page(i, extra=""):
         return (f"<div>Site</div><article><p>Own {i}<p>Subscribe to us.{extra}</article>")
