@@ -99,24 +99,20 @@ def base_failed() -> Column:
 def host_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """One row per long line: its document and host, hash of the text, key hash, words."""
     lines = F.filter(
-        F.transform(lines_of(F.col("text")), lambda x: F.struct(
-            line_key(x).alias("key"), word_count(x).alias("n"))),
+        F.transform(lines_of(F.col("text")), lambda x, i: F.struct(
+            i.alias("pos"), line_key(x).alias("key"), word_count(x).alias("n"))),
         lambda x: F.char_length(x["key"]) >= min_points)
     return (
         docs.select("doc_id", "source", F.xxhash64("text").alias("_text"), lines.alias("_l"))
-        .select("doc_id", "source", "_text", F.posexplode("_l").alias("pos", "line"))
-        .select("doc_id", "source", "_text", "pos", F.col("line.n").alias("n"),
-                *two_hashes(F.col("line.key")))
+        .select("doc_id", "source", "_text", F.explode("_l").alias("line"))
+        .select("doc_id", "source", "_text", F.col("line.pos").alias("pos"),
+                F.col("line.n").alias("n"), *two_hashes(F.col("line.key")))
     )
 
 
-def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
-          left_percent: int = LEFT_PERCENT, min_points: int = MIN_POINTS) -> DataFrame:
-    """One row per row of ``docs``: its columns but the text, which is left as its hash
-    ``_text``, the counts, ``n_left`` words outside frequent lines, ``base_failed``, ``kept``.
-
-    Texts are not moved: lines travel as hashes, counts as numbers.
-    """
+def frequent_places(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
+                    min_points: int = MIN_POINTS) -> DataFrame:
+    """One row per frequent line of a document: its position and words."""
     lines = cut(host_lines(docs, min_points), "host-lines")
     frequent = cut(
         lines.groupBy("source", "h1", "h2")
@@ -127,26 +123,60 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
         F.col("l.source").eqNullSafe(F.col("f.source"))
         & (F.col("l.h1") == F.col("f.h1")) & (F.col("l.h2") == F.col("f.h2")))
     # A document that is repeated as a row has each of its lines once here.
-    boiler = (
+    return (
         lines.alias("l").join(frequent.alias("f"), same_line, "left_semi")
-        .dropDuplicates(["doc_id", "source", "_text", "pos"])
-        .groupBy("doc_id", "source", "_text")
-        .agg(F.sum("n").alias("_boiler"))
-    )
+        .dropDuplicates(["doc_id", "source", "_text", "pos"]))
+
+
+def same_document(left: str, right: str) -> Column:
+    return (
+        F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+        & F.col(f"{left}.source").eqNullSafe(F.col(f"{right}.source"))
+        & (F.col(f"{left}._text") == F.col(f"{right}._text")))
+
+
+def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
+          left_percent: int = LEFT_PERCENT, min_points: int = MIN_POINTS) -> DataFrame:
+    """One row per row of ``docs``: its columns but the text, which is left as its hash
+    ``_text``, the counts, ``n_left`` words outside frequent lines, ``base_failed``, ``kept``.
+
+    Texts are not moved: lines travel as hashes, counts as numbers.
+    """
+    boiler = (
+        frequent_places(docs, max_documents, min_points)
+        .groupBy("doc_id", "source", "_text").agg(F.sum("n").alias("_boiler")))
     results = ("text", "base_failed", "kept", "n_left", *FEATURES)
     copies = [c for c in docs.columns if c not in results and not c.startswith("_")]
     # Written, so that a filter on the verdict does not repeat the counting below it.
     rows = cut(features(docs.select(*copies, "text", F.xxhash64("text").alias("_text")))
                .drop("text"), "features")
-    same_doc = (
-        F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("b.source"))
-        & (F.col("d._text") == F.col("b._text")))
     left = F.greatest(F.col("n_words") - F.coalesce("_boiler", F.lit(0)), F.lit(0))
     return (
-        rows.alias("d").join(boiler.alias("b"), same_doc, "left")
+        rows.alias("d").join(boiler.alias("b"), same_document("d", "b"), "left")
         .select(*[F.col(f"d.{c}") for c in [*copies, "_text", *FEATURES]], left.alias("n_left"))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed")
                     & (100 * F.col("n_left") >= left_percent * F.col("n_words")))
     )
+
+
+def without_frequent(docs: DataFrame, max_documents: int = MAX_DOCUMENTS,
+                     min_points: int = MIN_POINTS) -> DataFrame:
+    """``docs`` with ``text`` without the lines that are frequent on its host.
+
+    Lines go by position, as in line dedup; null texts and other columns stay as they are.
+    All documents stay; whether one is depleted is ``judge``'s to say.
+    """
+    lost = (
+        frequent_places(docs, max_documents, min_points)
+        .groupBy("doc_id", "source", "_text").agg(F.collect_set("pos").alias("_lost")))
+    split = docs.withColumns({
+        "_text": F.xxhash64("text"), "_lines": lines_of(F.col("text"))})
+    # The lines come through the join as a column, so the lambda picks from it.
+    kept = F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost")),
+        lambda i: F.get("_lines", i))
+    text = F.when(F.col("_lost").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    return split.alias("d").join(lost.alias("l"), same_document("d", "l"), "left").select(
+        *[text.alias(c) if c == "text" else F.col(f"d.{c}")
+          for c in docs.columns if not c.startswith("_")])

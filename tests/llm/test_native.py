@@ -133,6 +133,20 @@ def test_frequent_lines_count_documents_whatever_their_hash(spark):
     assert all(got[300 + i][0] == got[300 + i][1] for i in range(11)), "exact copies count once"
 
 
+def test_frequent_lines_are_removed_by_position(spark):
+    legal = "  All RIGHTS of this host are reserved "
+    rows = [(i, f"{legal}\nown {i}\n\n{legal.lower()}\nown {i}", "h", 7) for i in range(11)]
+    rows += [rows[0], (20, f"{legal}\nx", "other", 7), (21, None, "h", 7), (22, "", None, 7),
+             (23, legal, "h", 7), (None, f"a\n{legal}", "h", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    out = quality.without_frequent(docs.repartition(3))
+    assert out.columns == docs.columns
+    wanted = [(i, "\n".join(x for x in text.split("\n") if len(x) < 20), s, n)
+              if s == "h" and text else (i, text, s, n) for i, text, s, n in rows]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(wanted, key=repr)
+    assert quality.without_frequent(docs.limit(0)).count() == 0
+
+
 def check_mix(rows, docs):
     """Targets by repeated sharing, as the words of the rule say it."""
     size = defaultdict(int)
