@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import (
-    language, line_dedup, mixing, ngram_join, packing, pages, quality, sharding, token_files,
-    topk)
-from panelkit.llm.common import cut
+    language, line_dedup, mixing, ngram_join, packing, pages, periodic, personal, quality,
+    sharding, token_files, topk, turns)
+from panelkit.llm.common import WORD, cut
 from panelkit.queries.base import table
 from panelkit.runtime import new_folder
 
@@ -173,6 +173,98 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _repeated_words(doc_id, text):
+    """The text with its words repeated in a period from some place on, if doc_id asks for it."""
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    parts = F.struct(words.alias("w"), F.size(words).cast("long").alias("n"), g.alias("g"))
+    # A one-element array hands each value on, so that the words are split only once.
+    spread = F.transform(F.array(parts), lambda x: F.struct(
+        x["w"].alias("w"), x["n"].alias("n"), F.pmod(x["g"], x["n"]).alias("a"),
+        F.lit(1).alias("one"), x["g"].alias("g")))
+    period = F.transform(spread, lambda x: F.struct(
+        x["w"].alias("w"), x["n"].alias("n"), x["a"].alias("a"),
+        (1 + F.floor((x["n"] - x["a"]) / (3 + F.pmod(x["g"], F.lit(8))))).alias("p")))
+
+    def repeat(x):
+        rest = x["n"] - x["a"]
+        unit = F.slice(x["w"], (x["a"] + 1).cast("int"), x["p"].cast("int"))
+        tail = F.flatten(F.array_repeat(unit, F.ceil(rest / x["p"]).cast("int")))
+        head = F.slice(x["w"], F.lit(1), x["a"].cast("int"))
+        return F.array_join(F.concat(head, F.slice(tail, F.lit(1), rest.cast("int"))), " ")
+
+    damaged = F.get(F.transform(F.filter(period, lambda x: x["n"] > 0), repeat), F.lit(0))
+    return F.when(F.pmod(h, F.lit(10)) == 0, damaged).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = periodic.periodic_runs(docs, "doc_id", _repeated_words(F.col("doc_id"), F.col("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n"))), "")
+    best = found.withColumn("_best", longest)
+    return best.select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+def _if_equal(value):
+    return lambda x: F.when(x == value, x)
+
+
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.personal_spans(table(spark, folder, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _if_equal(kind)))).cast("long").alias(
+        f"n_{kind}") for kind in personal.KINDS]
+    return found.select(
+        F.col("key").alias("doc_id"), *counts,
+        F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
+
+
+def damaged_conversations(given: DataFrame) -> DataFrame:
+    """Conversations with rows lost, emptied, cut, repeated and under a wrong role."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"),
+                   F.coalesce(F.col("turn").cast("string"), blank))
+    harm = F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(20))
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    copies = F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1)
+    return given.select(
+        "conv_id", "turn", F.when(harm == 4, "user").otherwise(role).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(
+            text).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    done = turns.audits(damaged_conversations(given)).withColumnRenamed("conv_id", "_conv")
+    every = given.select("conv_id").distinct()
+    joined = every.join(done, every["conv_id"].eqNullSafe(done["_conv"]), "left")
+    empty = F.sha2(F.encode(F.lit(""), "UTF-8"), 256)
+    return joined.select(
+        "conv_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in turns.TOTALS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_page_text, op3_exact_topk, op4_line_dedup, op5_ngram_join,
-    op6_quality_rules, op7_packing, op8_language_id, op9_mixing, op10_sharding)}
+    op6_quality_rules, op7_packing, op8_language_id, op9_mixing, op10_sharding,
+    op11_periodic_runs, op12_personal_data, op13_turn_repair)}
