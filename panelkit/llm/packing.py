@@ -2,9 +2,12 @@
 
 Pieces are dealt by hash to partitions of bounded size, and each partition packs its own
 by best-fit decreasing. Dual feasible functions give a number of sequences below which no
-packing of the partition can go; a partition that reaches it is done. Partitions with a gap
-keep their full sequences, exchange the pieces of the others by a new deal among
-themselves, and run again; an exchange counts only if it saves sequences.
+packing of the partition can go; a partition that reaches it is certified. The same bound
+over the lengths of all pieces, at most one count per length, says when all is done: until
+then partitions keep their full sequences and exchange the pieces of the others, certified
+or not, by a new deal among themselves, and run again. Exchanges end at the bound, where
+``IDLE`` of them in a row save nothing, where one closes less than one part in
+``LEAST_PART`` of the gap, and where a single certified partition holds all that is left.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows are
 packed each for itself; an empty table gives an empty table; other columns pass through
@@ -26,7 +29,8 @@ CAPACITY = 2048
 END_ID = 0
 # Pieces that one task packs at a time.
 PARTITION_ROWS = 50_000
-EXCHANGES = 3
+# An exchange that closes a smaller part of the gap to the bound is the last.
+LEAST_PART, IDLE = 20, 2
 # Sequences of one partition have numbers below this.
 NUMBERS = 1 << 28
 
@@ -63,10 +67,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Most that dual feasible functions prove: thresholds at every length, and roundings."""
-    if not len(lengths):
+    """Most that dual feasible functions prove for pieces of these lengths."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The bound from the number of pieces of each length: thresholds and roundings."""
+    if not counts.any():
         return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)
     sizes = np.arange(capacity + 1)
     best = -(-int((counts * sizes).sum()) // capacity)
     number = np.cumsum(counts)
@@ -145,11 +153,20 @@ def sequences(df: DataFrame) -> int:
     return per_part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, exchanges: int = EXCHANGES,
+def total_bound(rows: DataFrame, capacity: int) -> int:
+    """The lower bound over all pieces, from their counts per length."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in rows.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    return bound_of_counts(counts, capacity)
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, exchanges: int | None = None,
          partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """``rows`` (with a ``length``) placed in sequences: ``sequence_id`` and ``offset``.
 
-    Each turn is one shuffle of narrow rows by part, written before the next.
+    Each turn is one shuffle of narrow rows by part, written before the next. ``exchanges``
+    can end them earlier.
     """
     columns = [c for c in rows.columns
                if c not in ("sequence_id", "offset") and not c.startswith("_")]
@@ -157,20 +174,26 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, exchanges: int = EXCHANGES,
         "_row", F.monotonically_increasing_id()), "pieces")
     count = numbered.count()
     current = cut(packed(deal(numbered, count, 0, partition_rows), capacity, 0), "packed")
-    done = []
-    for turn in range(1, exchanges + 1):
-        open_rows = (F.col("_gap") > 0) & (F.col("_fill") < capacity)
-        count, before = current.where(open_rows).agg(
-            F.count("*"), F.count_distinct("sequence_id")).first()
-        if not count:
+    used, bound = sequences(current), total_bound(numbered, capacity)
+    done: list[DataFrame] = []
+    turn, idle, open_rows = 0, 0, F.col("_fill") < capacity
+    while used > bound and turn != exchanges:
+        count, before, parts, gaps = current.where(open_rows).agg(
+            F.count("*"), F.count_distinct("sequence_id"), F.count_distinct("_part"),
+            F.max("_gap")).first()
+        if not count or turn and parts == 1 and not gaps:
             break
+        turn += 1
         again = cut(packed(
             deal(current.where(open_rows), count, turn, partition_rows), capacity, turn),
             "packed")
-        if sequences(again) >= before:
+        saved, gap = before - sequences(again), used - bound
+        idle = 0 if saved > 0 else idle + 1
+        if saved >= 0:
+            done.append(current.where(~open_rows))
+            current, used = again, used - saved
+        if idle == IDLE or saved > 0 and saved * LEAST_PART < gap:
             break
-        done.append(current.where(~open_rows))
-        current = again
     for part in done:
         current = current.unionByName(part)
     return current.select(*columns, "sequence_id", "offset")

@@ -6,13 +6,19 @@ by a longest common subsequence, and blocks that both have are deleted, since wh
 articles share is the site's. A page whose blocks are all those of another is a copy, not a
 neighbour; copies are passed over and compared to what their first is compared to.
 
-Markup settles what differencing cannot. Blocks in menus, headers, footers, sidebars,
-notices, adverts, forms and comments go even if no neighbour has them; a container that only
-its class, id or role names so yields to an article or main element in it, and to a name of
-content on itself. All other blocks are decided by the alignment, inside article elements and outside. As articles quote and copy
-each other, a shared block inside an article goes only if more than ``FEW_PAGES`` pages of
-the host (copies passed over) hold it inside theirs. A page without a neighbour keeps the
-blocks of its strongest markup: article, main, a container named as content, or all.
+The alignment looks at every visible block, and what it deletes is deleted, but for one
+rescue: articles quote and copy each other, so a shared block inside an article element
+stays if it stands between blocks of the article's own, and else if fewer than a third of
+the host's pages (copies passed over), or fewer than three, hold it inside theirs. Markup
+then settles what differencing cannot: blocks in menus, headers, footers, sidebars, notices,
+adverts, forms and comments go even if no neighbour has them; a container that only its
+class, id or role names so yields to an article or main element in it, and to a name of
+content on itself. A page without a neighbour keeps the blocks of its strongest markup:
+article, main, a container named as content, or all.
+
+Pairs meet as hashes of blocks. Only the places that the alignment deletes go back to a
+page, and only for pages where they, or having a neighbour, change its text; html is
+shuffled only where this table is too large for a broadcast.
 
 Defined results: null or empty html gives an empty text; pages without a host have no
 neighbour; repeated rows get the same result; an empty table gives an empty table; other
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm.common import cut
+from panelkit.llm.common import cut, two_hashes
 from panelkit.operators.numbering import number_rows
 
 TAG = re.compile(
@@ -68,8 +74,9 @@ NAME_MARKS = re.compile(r"[^a-z0-9\s]+")
 ARTICLE, MAIN, NAMED, OPEN, NOT_NAMED, NOT_MAIN = 3, 2, 1, 0, -1, -2
 # Cells of an alignment that are held at once; larger ones are divided.
 CELLS = 1 << 27
-# A shared block inside an article stays if no more pages of the host hold it.
-FEW_PAGES = 10
+# A shared block at an article's end goes if so many pages, and one in so many of the host's,
+# hold it in their articles.
+SITE_PAGES, SITE_SHARE = 3, 3
 
 
 def kind_of(name: str, attributes: str) -> int | None:
@@ -269,28 +276,41 @@ def align(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def main_text(page: str | None, neighbour: list[int] | None,
-              common: list[int] | None = None) -> str:
+def deleted(prints: list[int], kinds: list[int], near: list[int]
+            ) -> tuple[list[int], list[int]]:
+    """Places of shared blocks that the alignment deletes outright, and of shared blocks at
+    the ends of an article, which go if they are the site's. Dropped markup is left out."""
+    both = matched(prints, near)
+    own = [i for i, kind in enumerate(kinds) if kind == ARTICLE and not both[i]]
+    first, last = (own[0], own[-1]) if own else (len(kinds), -1)
+    outright = [i for i, kind in enumerate(kinds) if both[i] and OPEN <= kind < ARTICLE]
+    ends = [i for i, kind in enumerate(kinds)
+            if both[i] and kind == ARTICLE and not first < i < last]
+    return outright, ends
+
+
+def main_text(page: str | None, gone: list[int] | None) -> str:
     """The blocks that differencing and markup leave, joined by empty lines.
 
-    ``common`` are the shared blocks that many articles of the host hold.
+    ``gone`` are the places that differencing deletes, None without a neighbour.
     """
     have = blocks(page)
-    prints = [fingerprint(t) for t, _ in have]
-    if not neighbour:
+    if gone is None:
         level = max((k for _, k in have), default=OPEN)
         return "\n\n".join(t for t, kind in have if kind == level and kind >= OPEN)
-    often = set(common or ())
+    lost = set(gone)
     return "\n\n".join(
-        text for (text, kind), x, both in zip(
-            have, prints, matched(prints, neighbour), strict=True)
-        if kind >= OPEN and not (both and (kind != ARTICLE or x in often)))
+        text for i, (text, kind) in enumerate(have) if kind >= OPEN and i not in lost)
+
+
+# Kinds as letters, in the order of their values from NOT_MAIN.
+LETTERS = "xdonma"
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """Per page: key, host, path, fingerprints of its blocks and of them all. No texts.
+    """Per page: key, host, path, hashes of its blocks and of them all, and their kinds.
 
-    ``inside`` has a 1 for each block inside an article and a 0 for each other.
+    No texts. ``kinds`` has a letter for each block, from ``x`` (dropped) to ``a`` (article).
     """
     def outline(parts):
         for part in parts:
@@ -300,37 +320,57 @@ def outlines(pages: DataFrame) -> DataFrame:
                 host, path = place_of(url)
                 have = blocks(page)
                 prints = [fingerprint(t) for t, _ in have]
-                inside = "".join("01"[k == ARTICLE] for _, k in have)
-                for column, value in zip(out, (
-                        host, path, prints, fingerprint(repr(prints)), inside), strict=True):
+                whole = xxhash.xxh128_hexdigest(repr(prints))
+                kinds = "".join(LETTERS[k - NOT_MAIN] for _, k in have)
+                for column, value in zip(out, (host, path, prints, whole, kinds), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_key"), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
-                 pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64()),
-                 pa.array(out[4], pa.string())],
-                ["_key", "host", "path", "prints", "digest", "inside"])
+                [part.column("h1"), part.column("h2"), pa.array(out[0], pa.string()),
+                 pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64())),
+                 pa.array(out[3], pa.string()), pa.array(out[4], pa.string())],
+                ["h1", "h2", "host", "path", "prints", "digest", "kinds"])
+
+    return pages.select(*two_hashes(F.struct("url", "html")), "url", "html").mapInArrow(
+        outline, "h1 long, h2 long, host string, path string, prints array<bigint>, "
+        "digest string, kinds string")
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """``outright`` deleted places and ``ends`` (place, hash) of each page against its neighbour."""
+    end = pa.struct([("place", pa.int32()), ("print", pa.int64())])
+
+    def align_pages(parts):
+        for part in parts:
+            outright, ends = [], []
+            for prints, kinds, near in zip(
+                    *(part.column(c).to_pylist() for c in ("prints", "kinds", "near")), strict=True):
+                gone, at_ends = deleted(prints, [LETTERS.index(k) + NOT_MAIN for k in kinds], near)
+                outright.append(gone)
+                ends.append([{"place": i, "print": prints[i]} for i in at_ends])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("host"), part.column("digest"), part.column("kinds"),
+                 pa.array(outright, pa.list_(pa.int32())), pa.array(ends, pa.list_(end))],
+                ["host", "digest", "kinds", "outright", "ends"])
 
-    return pages.select(F.xxhash64("url", "html").alias("_key"), "url", "html").mapInArrow(
-        outline, "_key long, host string, path string, prints array<bigint>, digest long, "
-        "inside string")
+    return pairs.mapInArrow(
+        align_pages, "host string, digest string, kinds string, outright array<int>, "
+        "ends array<struct<place:int,print:bigint>>")
 
 
-def nearest(pages: DataFrame) -> DataFrame:
-    """Key of each page, the fingerprints of the page with the nearest URL, and those of them
-    that are shared inside articles and held there by many pages of the host.
+def differences(pages: DataFrame) -> DataFrame:
+    """Key of each page whose text differencing changes, and the places ``_gone`` of its blocks.
 
-    Only outlines are sorted and joined. Pages with equal blocks on a host are first reduced
+    A page with a neighbour, nothing deleted and text of one kind of markup has no row: its
+    text is the same without a neighbour. Pages with equal blocks on a host are first reduced
     to one, so the order has no copies, and a host of any size is only a run of it.
     """
     known = cut(outlines(pages), "outlines")
     firsts = known.where("host <> ''").groupBy("host", "digest").agg(
-        F.min("path").alias("path"), F.first("prints").alias("prints"),
-        F.max("inside").alias("inside"))
+        F.min("path").alias("path"), F.first("prints").alias("prints"))
+    # Copies may differ in their markup.
+    kinds = known.where("host <> ''").select("host", "digest", "kinds").distinct()
     order = number_rows(firsts, ["host", "path", "digest"], "n")
-    mine = F.array_distinct(F.filter(
-        "prints", lambda x, i: F.substr(F.col("inside"), i + 1, F.lit(1)) == "1"))
-    parts = order.select(
-        "n", "host", "digest", F.split("path", "/").alias("path"), mine.alias("mine"))
+    parts = order.withColumn("path", F.split("path", "/"))
 
     def beside(by: int, name: str) -> DataFrame:
         return order.select(
@@ -346,42 +386,52 @@ def nearest(pages: DataFrame) -> DataFrame:
         ).otherwise(-1)
 
     near = parts.join(beside(1, "before"), "n", "left").join(beside(-1, "after"), "n", "left")
-    found = near.select(
-        "host", "digest", "mine",
+    pairs = near.select(
+        "host", "digest", "prints",
         F.when(F.greatest(agree("before"), agree("after")) >= 0, F.when(
             agree("before") >= agree("after"), F.col("before_prints"))
-            .otherwise(F.col("after_prints"))).alias("_near"))
-    chosen = cut(found.select(
-        "host", "digest", "_near", F.array_intersect("mine", "_near").alias("shared"),
-    ).where(F.col("_near").isNotNull()), "nearest")
-    often = (
-        order.select("host", F.explode(mine).alias("print"))
-        .groupBy("host", "print").count().where(F.col("count") > FEW_PAGES).drop("count"))
-    common = (
-        chosen.select("host", "digest", F.explode("shared").alias("print"))
-        .join(often, ["host", "print"])
-        .groupBy("host", "digest").agg(F.collect_set("print").alias("_common")))
-    return known.select("_key", "host", "digest").dropDuplicates(["_key"]).join(
-        chosen.drop("shared"), ["host", "digest"]).join(
-        common, ["host", "digest"], "left").select("_key", "_near", "_common")
+            .otherwise(F.col("after_prints"))).alias("near")).where(F.col("near").isNotNull())
+    found = cut(aligned(pairs.join(kinds, ["host", "digest"])), "aligned")
+    ends = found.select("host", "digest", "kinds", F.inline("ends"))
+    sizes = order.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    held = (
+        order.join(kinds, ["host", "digest"])
+        .select("host", "digest", F.explode(F.array_distinct(F.filter(
+            "prints", lambda x, i: F.substr(F.col("kinds"), i + 1, F.lit(1)) == "a")))
+            .alias("print"))
+        .join(ends.select("host", "print").distinct(), ["host", "print"])
+        .distinct().groupBy("host", "print").agg(F.count(F.lit(1)).alias("held")))
+    site = held.join(sizes, "host").where(
+        (F.col("held") >= SITE_PAGES) & (SITE_SHARE * F.col("held") >= F.col("pages")))
+    page = ["host", "digest", "kinds"]
+    of_site = ends.join(site.select("host", "print"), ["host", "print"]).groupBy(*page).agg(F.collect_list("place").alias("more"))
+    text_kinds = F.translate("kinds", "xd", "")
+    mixed = F.regexp_replace(text_kinds, F.substring(text_kinds, 1, 1), F.lit("")) != ""
+    changed = found.join(of_site, page, "left").where(
+        mixed | (F.size("outright") > 0) | F.col("more").isNotNull()).select(
+        *page, F.concat("outright", F.coalesce("more", F.array().cast("array<int>"))).alias("_gone"))
+    return known.select("h1", "h2", *page).dropDuplicates(["h1", "h2"]).join(
+        changed, page).select("h1", "h2", "_gone")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``text`` instead of ``html``; html is shuffled once."""
+    """``pages`` with ``text`` instead of ``html``."""
     kept = [c for c in pages.columns if c not in ("html", "text") and not c.startswith("_")]
     schema = T.StructType([*pages.select(*kept).schema.fields,
                            T.StructField("text", T.StringType())])
 
     def cut_pages(parts):
         for part in parts:
-            texts = [main_text(page, near, common) for page, near, common in zip(
-                part.column("html").to_pylist(), part.column("_near").to_pylist(),
-                part.column("_common").to_pylist(), strict=True)]
+            texts = [main_text(page, gone) for page, gone in zip(
+                part.column("_html").to_pylist(), part.column("_gone").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(texts, pa.string())],
                 [*kept, "text"])
 
-    near = cut(nearest(pages), "near-pages")
-    keyed = pages.select(*kept, "html", F.xxhash64("url", "html").alias("_key"))
-    return keyed.join(near, "_key", "left").select(*kept, "html", "_near", "_common").mapInArrow(
-        cut_pages, schema)
+    changed = cut(differences(pages), "page-differences")
+    first, second = two_hashes(F.struct("url", "html"))
+    keyed = pages.select(*kept, F.col("html").alias("_html"), first.alias("_h1"),
+                         second.alias("_h2"))
+    same = (F.col("_h1") == F.col("d.h1")) & (F.col("_h2") == F.col("d.h2"))
+    return keyed.join(changed.alias("d"), same, "left").select(
+        *[keyed[c] for c in kept], "_html", "_gone").mapInArrow(cut_pages, schema)

@@ -109,7 +109,8 @@ spans AS (
          AS n FROM twice),
 repeats AS (SELECT doc_id, sum(n) AS n FROM spans GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, source, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM docs),
+  SELECT doc_id, source, md5(text) AS whole, unnest(range(len(parts))) AS pos,
+         unnest(parts) AS line FROM docs),
 keyed AS (
   SELECT *, {KEY_SQL} AS key,
          len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))
@@ -117,12 +118,10 @@ keyed AS (
   FROM lines),
 dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM keyed WHERE n > 0 GROUP BY doc_id),
-long_lines AS (
-  SELECT *, min(md5(key)) OVER (PARTITION BY doc_id) AS signature
-  FROM keyed WHERE length(key) >= 20),
+long_lines AS (SELECT * FROM keyed WHERE length(key) >= 20),
 frequent AS (
   SELECT source, key FROM long_lines GROUP BY source, key
-  HAVING count(DISTINCT signature) > 10),
+  HAVING count(DISTINCT whole) > 10),
 boiler AS (
   SELECT l.doc_id, sum(l.n) AS n FROM long_lines l JOIN frequent f
     ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key

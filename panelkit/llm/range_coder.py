@@ -24,6 +24,7 @@ ROUNDS = (1 / 16, 1 / 4, 5 / 8)
 CONTEXTS = 1 << 17
 FOUND = 1 << 19
 PART_BITS = 12
+ID_LIMIT = 1 << 17
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 LOW_MASK = np.uint64((1 << 32) - 1)
 WORD = np.uint64(16)
@@ -183,7 +184,12 @@ class Encoder:
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
-    """A block's ids as bytes: number of words of each lane, then all words."""
+    """A block's ids as bytes: number of words of each lane, then all words.
+
+    An id and its context share a 64-bit key, in which an id has 17 bits.
+    """
+    if vocabulary > ID_LIMIT:
+        raise ValueError(f"the coder takes vocabularies of up to {ID_LIMIT} ids, not {vocabulary}")
     plan = plan_lanes(len(ids))
     if not len(ids):
         return b""

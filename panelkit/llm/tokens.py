@@ -51,8 +51,10 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         with open(path, encoding="utf-8") as file:
             self.by_word = json.load(file)["model"].get("end_of_word_suffix") == WORD_END
-        special = [t.content for t in self.tool.get_added_tokens_decoder().values() if t.special]
+        added = self.tool.get_added_tokens_decoder().values()
+        special = [t.content for t in added if t.special]
         self.apart = special[0] if special else None
+        self.added = [t.content.lower().encode() for t in added]
         # A stretch of a to z needs no normalizing or splitting; ask the model at once.
         self.direct = all(
             [t.id for t in self.tool.model.tokenize(w)] == self.whole(w).tolist()
@@ -70,9 +72,12 @@ class Encoder:
         """Stretches of the text with A to Z in lower case, or None if that changes ids.
 
         The library composes marks before it lowers case; where neither form of the text
-        has anything to compose, the order does not matter.
+        has anything to compose, the order does not matter. It takes added tokens out before
+        either, so a text that may hold one, in any case of letters, is left to it.
         """
         lowered = text.encode().lower()
+        if any(token in lowered for token in self.added):
+            return None
         if not text.isascii() and not (
                 unicodedata.is_normalized("NFC", text)
                 and unicodedata.is_normalized("NFC", lowered.decode())):

@@ -12,7 +12,8 @@ rows a query, and a last ranking merges the cells.
 Defined results: vectors that are null or hold null or non-finite components, and vectors
 without vec_id, take no part; shorter vectors count as padded with zeros; a row is never
 its own candidate, but another row with its vec_id may be; ties go to the smaller vec_id;
-empty tables give empty tables. Sums of products must stay below 2^63.
+empty tables give empty tables. A score can be as large as the largest squared length;
+vectors that reach 2^63 so are refused.
 """
 
 import numpy as np
@@ -143,6 +144,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     count, asking, width, largest = rows.agg(
         F.count("*"), F.count_if(is_query), F.max(F.size("x")), F.max(norm)).first()
+    if largest is not None and largest >= float(1 << 62):
+        raise ValueError("scores could pass 2^63: scale the vectors down")
     if not asking:
         empty = rows.sparkSession.createDataFrame([], result)
         return empty.withColumn("rank", F.lit(1)).select("query_id", "rank", "vec_id", "score")

@@ -28,8 +28,14 @@ def ids_of(tool, text, end):
     return np.array([*tool.tool.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(codec="utf-8", exclude_categories=("Cs",))), max_size=5))
+MARKED = st.lists(st.sampled_from([
+    "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", " ", "a", "B.", "É", "\n"]),
+    max_size=8).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8", exclude_categories=("Cs",))) | MARKED,
+                max_size=5))
 def test_ids_of_any_text(texts):
     tool = test_ids_of_any_text.tool = getattr(test_ids_of_any_text, "tool", None) or Encoder(PATH)
     ids, lengths = tool.encode(texts)
@@ -57,6 +63,14 @@ def test_coder_round_trip(n, kind):
         assert len(data) < n / 4
 
 
+def test_vocabularies_beyond_the_limit_are_refused():
+    ids = np.array([5, range_coder.ID_LIMIT - 1, 0])
+    data = range_coder.encode(ids, range_coder.ID_LIMIT)
+    assert (range_coder.decode(data, 3, range_coder.ID_LIMIT) == ids).all()
+    with pytest.raises(ValueError, match="vocabularies"):
+        range_coder.encode(ids, range_coder.ID_LIMIT + 1)
+
+
 def test_files(spark, tool):
     docs = spark.createDataFrame(TEXTS, SCHEMA).repartition(3)
     folder = new_folder(spark, "test-files")
@@ -127,6 +141,19 @@ def test_exchange_saves_sequences(spark):
     assert packing.lower_bound(np.array([x for x, in lengths]), 2048) <= shared <= alone
 
 
+def test_small_partitions_reach_the_bound_over_all(spark):
+    """Each partition ends with a part-filled sequence; together they give what one gives."""
+    draw = np.random.default_rng(2)
+    lengths = np.minimum(draw.geometric(1 / 300, 6000), 2048)
+    rows = spark.createDataFrame([(int(x),) for x in lengths], "length long").repartition(4)
+    bound = packing.lower_bound(lengths, 2048)
+    assert packing.total_bound(rows, 2048) == bound
+    assert check_sequences(packing.pack(rows, partition_rows=10_000).collect(), 2048) == bound
+    assert check_sequences(packing.pack(rows, partition_rows=1000).collect(), 2048) == bound
+    # Partitions of a few dozen sequences may end one above it.
+    assert check_sequences(packing.pack(rows, partition_rows=200).collect(), 2048) <= bound + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=8))
 def test_bound_is_below_every_packing(lengths):
