@@ -39,9 +39,18 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index") ->
 
 
 def chunk_rows(df: DataFrame, order: Sequence[str], size: int = fv.CHUNK_SIZE) -> DataFrame:
-    """Add ``chunk_id`` from 1 and the place ``idx`` from 0 in it; only the last may be short."""
+    """Add ``chunk_id`` from 1 and the place ``idx`` from 0 in it; only the last may be short.
+
+    The columns of ``order`` alone are sorted, written and numbered; each row then finds its
+    number by them, so whole rows move once at most and are never written.
+    """
+    numbers = number_rows(df.select(*order), order, "_row").withColumnsRenamed(
+        {c: f"_key_{c}" for c in order})
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
     return (
-        number_rows(df, order, "_row")
+        df.join(numbers, same).select(*df.columns, "_row")
         .withColumn("chunk_id", (F.floor(F.col("_row") / size) + 1).cast("int"))
         .withColumn("idx", F.pmod("_row", F.lit(size)).cast("int"))
         .drop("_row")

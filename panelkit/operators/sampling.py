@@ -1,8 +1,9 @@
 """Feeds, previews and seeded samples.
 
 A sample is the first n keys in the order of ``md5(seed|key)``: the same on every run
-and every partitioning. Operators first find where the n-th row lies, on keys alone, and
-take the whole rows last.
+and every partitioning. Up to ``FEW`` rows (``FEW_PER_GROUP`` per group) are found in one
+pass: each task keeps its n lowest hashes, and these few are merged. For larger samples
+operators first find where the n-th row lies, on keys alone, and take the whole rows last.
 """
 
 from collections.abc import Sequence
@@ -17,6 +18,8 @@ from panelkit.operators.numbering import number_rows
 # all of them, about one in 16^12, are ranked in one window.
 HASH_DIGITS = 4
 LEVELS = 3
+# Largest samples that every task may hold; per group Spark's own limit for it is 1,000.
+FEW, FEW_PER_GROUP = 10_000, 1_000
 
 
 def _edge_of_first(df: DataFrame, column: Column, n: int, ascending: bool) -> Column:
@@ -52,18 +55,34 @@ def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 0, few: int = FEW) -> DataFrame:
     """n rows of a table with one row per key, without repeats; rows without key are left out."""
     rows = df.withColumns({"_hash": seeded_hash(seed, key), "_n": F.lit(n)})
+    if n <= few:
+        first = rows.where(F.col(key).isNotNull()).orderBy("_hash", key).limit(n)
+        return first.select(*df.columns)
     return _first_keys(rows, [], key).select(*df.columns)
 
 
 def sample_per_stratum(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0,
-                       digits: int = HASH_DIGITS) -> DataFrame:
+                       digits: int = HASH_DIGITS, few: int = FEW_PER_GROUP) -> DataFrame:
     """n rows of each stratum, or all where it has fewer; a null stratum is one too."""
     keys = df.select(stratum, key).withColumns(
         {"_hash": seeded_hash(seed, key), "_n": F.lit(n)})
-    return df.join(_first_keys(keys, [stratum], key, digits).select(key), key).select(*df.columns)
+    drawn = (_lowest_keys(keys, [stratum], key, n) if n <= few
+             else _first_keys(keys, [stratum], key, digits))
+    return df.join(drawn.select(key), key).select(*df.columns)
+
+
+def _lowest_keys(keys: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
+    """The ``_n`` keys of each group with the lowest ``_hash``, for ``_n`` up to ``most``.
+
+    The test against a literal lets every task keep ``most`` keys of a group before the
+    shuffle, so the window over a group has no more than that from each task.
+    """
+    place = F.row_number().over(W.partitionBy(*group).orderBy("_hash", key))
+    return keys.where(F.col(key).isNotNull()).withColumn("_place", place).where(
+        F.col("_place") <= F.lit(most)).where(F.col("_place") <= F.col("_n")).drop("_place")
 
 
 def _first_keys(keys: DataFrame, group: Sequence[str], key: str, digits: int = HASH_DIGITS,
@@ -147,7 +166,8 @@ def draw_with_repeats(df: DataFrame, shard: str, key: str, n: int, seed: int = 0
 
 
 def run_grid(df: DataFrame, key: str, cells: Sequence[tuple[str, str, int]], seed: int = 0,
-             model: str = "model", version: str = "version") -> DataFrame:
+             model: str = "model", version: str = "version", few: int = FEW_PER_GROUP
+             ) -> DataFrame:
     """Personas to ask in each (model, version, count) cell of a hand-written grid.
 
     Each cell takes its own sample of the panel. Only keys are repeated per cell, by one
@@ -159,5 +179,8 @@ def run_grid(df: DataFrame, key: str, cells: Sequence[tuple[str, str, int]], see
     ])
     keys = df.select(key, F.inline(grid)).withColumn(
         "_hash", seeded_hash(seed, model, version, key))
-    drawn = _first_keys(keys, [model, version], key).select(key, model, version)
+    most = max((n for *_, n in cells), default=0)
+    first = (_lowest_keys(keys, [model, version], key, most) if most <= few
+             else _first_keys(keys, [model, version], key))
+    drawn = first.select(key, model, version)
     return df.join(drawn, key).select(*df.columns, model, version)

@@ -54,10 +54,11 @@ def stream_distinct(spark, folder):
 SELECT persona, model, version, event_id, ts, vote, elapsed_sec FROM r WHERE rn = 1""")
 def stream_latest(spark, folder):
     stream, keys = _stream(spark, folder), ["persona", "model", "version"]
+    order = F.struct("ts", "event_id")
     path = _run(spark, lambda path, state: live.live_latest(
-        stream, keys, F.struct("ts", "event_id"), path, state, refresh=None))
-    live.merge_batches(spark, path, f"{path}-merged", keys)
-    return spark.read.parquet(f"{path}-merged").drop("batch")
+        stream, keys, order, path, state, refresh=None, width=2))
+    return live.read_latest(spark, path, keys, stream.schema, order).select(
+        *keys, "event_id", "ts", "vote", "elapsed_sec")
 
 
 @query(f"""WITH {LOG} SELECT event_id, ts, persona, vote, elapsed_sec, model, version FROM log""")

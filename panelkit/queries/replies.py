@@ -173,8 +173,8 @@ def counting_rule():
 
 @query("""SELECT lang AS vote, 'client 1' AS reason, count(*) AS n FROM documents GROUP BY 1""")
 def client_cache(spark, folder):
-    # In the one task every setting has one client, which gives all its replies.
-    prompts = table(spark, folder, "documents").coalesce(1).select(
+    # In each task every setting has one client, which gives all the task's replies.
+    prompts = table(spark, folder, "documents").repartition(8).select(
         "doc_id", F.col("lang").alias("model"), F.lit("v").alias("version"),
         F.col("source").alias("system_text"), F.col("lang").alias("user_text"))
     replies = parse_replies(call_model(prompts, counting_rule()))

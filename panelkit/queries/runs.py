@@ -47,7 +47,7 @@ def parity_rule():
 
 
 def _answered(spark, out):
-    return readers.read_log(spark, f"{out}/log").select(
+    return runs.logged(spark, out).select(
         "persona_uuid", "age", "occupation", "persona_summary", "vote", "reason", "model",
         "voter_context_version")
 
@@ -72,8 +72,7 @@ def sample_run(spark, folder):
     out, panel, assets = new_folder(spark, "run"), _panel(spark, folder), _assets(spark, folder)
     cells = [("p/m", "v1", 150), ("q/longer", "v3", 80)]
     for n in (1, 2):
-        runs.sample_run(panel, assets, cells[:n], parity_rule(), out, "first", seed=3, tasks=8,
-                        buckets=2)
+        runs.sample_run(panel, assets, cells[:n], parity_rule(), out, "first", seed=3, tasks=8)
     return _answered(spark, out)
 
 
@@ -86,12 +85,12 @@ asked AS (SELECT * FROM first UNION ALL SELECT * FROM again) {ANSWERED}""")
 def cohort_run(spark, folder):
     out, assets = new_folder(spark, "run"), _assets(spark, folder)
     runs.sample_run(_panel(spark, folder), assets, [("p/m", "v1", 150)], parity_rule(), out,
-                    "first", seed=3, tasks=8, buckets=2)
+                    "first", seed=3, tasks=8)
     key = F.md5(F.col("c_custkey").cast("string"))
     notes = table(spark, folder, "customer").where("c_custkey % 2 = 0").select(
         key.alias("persona_uuid"), F.col("c_name").alias("political_interest"))
     runs.cohort_run(spark, assets, ("p/m", "v1"), ("q/longer", "v4"), parity_rule(), out, "again",
-                    notes, tasks=8, buckets=2)
+                    notes, tasks=8)
     return _answered(spark, out)
 
 

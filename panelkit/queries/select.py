@@ -25,14 +25,14 @@ def head_preview(spark, folder):
     return sampling.head(log(spark, folder), ["ts", "event_id"], 3)
 
 
-@query(f"""WITH {LOG}, late AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN NULL
-  ELSE ts END AS seen FROM log WHERE event_id < 50)
-SELECT event_id, seen FROM late ORDER BY seen NULLS LAST, event_id LIMIT 30""")
+@query(f"""WITH {LOG}, late AS (SELECT event_id, CASE WHEN event_id % 997 > 0 THEN NULL
+  ELSE ts END AS seen FROM log)
+SELECT event_id, seen FROM late ORDER BY seen NULLS LAST, event_id LIMIT 3000""")
 def head_with_nulls(spark, folder):
     # Fewer rows have a time than are wanted; the rest come last.
-    late = log(spark, folder).where("event_id < 50").select(
-        "event_id", F.when(F.col("event_id") % 5 == 0, F.col("ts")).alias("seen"))
-    return sampling.head(late, ["seen", "event_id"], 30)
+    late = log(spark, folder).select(
+        "event_id", F.when(F.col("event_id") % 997 == 0, F.col("ts")).alias("seen"))
+    return sampling.head(late, ["seen", "event_id"], 3000)
 
 
 @query(f"""WITH {LOG}, late AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN NULL

@@ -83,32 +83,36 @@ def persona_scan(spark, folder):
         "uuid", "occupation", "age", "hobbies_and_interests")
 
 
-@query("""SELECT 'region ' || r_regionkey AS persona_uuid, r_name AS vote, r_name AS reason
-FROM region""")
+# Objects in one document file; the number of files grows with the table.
+PER_FILE = 100
+
+
+@query("""SELECT 'customer ' || c_custkey AS persona_uuid, c_mktsegment AS vote, c_name AS reason
+FROM customer""")
 def document_files(spark, folder):
-    # One object over several lines per file, one file per folder.
+    # Objects over several lines, many to a file; each file is one array.
     path = new_folder(spark, "document-files")
-    region = table(spark, folder, "region").repartition(5, "r_regionkey")
-    region.select(
-        F.col("r_regionkey").alias("part"),
-        F.format_string(
-            '{\n  "persona_uuid": "region %d",\n  "political_interest": NaN,\n'
-            '  "parsed": {"vote": "%s",\n "reason": "%s"}\n}', "r_regionkey", "r_name", "r_name")
-        .alias("value")).write.partitionBy("part").text(path)
+    text = F.format_string(
+        '{\n  "persona_uuid": "customer %d",\n  "political_interest": NaN,\n'
+        '  "parsed": {"vote": "%s",\n "reason": "%s"}\n}', "c_custkey", "c_mktsegment", "c_name")
+    files = table(spark, folder, "customer").groupBy(
+        F.floor(F.col("c_custkey") / PER_FILE).alias("part")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(text), ",\n"), F.lit("]")).alias("value"))
+    files.repartition("part").write.partitionBy("part").text(path)
     stored = readers.read_documents(spark, f"{path}/*")
     return readers.document_log(stored).where("political_interest IS NULL").select(
         "persona_uuid", "vote", "reason")
 
 
-@query("""SELECT 'missing keys: []' AS error, 'p/m' AS model, 'n' || n_nationkey AS persona_uuid,
-  n_name || chr(10) || 'second line' || chr(10) AS raw_response, 'm' AS model_name
-FROM nation""")
+@query("""SELECT 'missing keys: []' AS error, 'p/m' AS model, 's' || s_suppkey AS persona_uuid,
+  s_name || chr(10) || 'second line' || chr(10) AS raw_response, 'm' AS model_name
+FROM supplier""")
 def failure_files(spark, folder):
     path = new_folder(spark, "failure-files")
-    table(spark, folder, "nation").repartition(25, "n_nationkey").select(
-        F.col("n_nationkey").alias("part"),
-        F.format_string("=== ERROR: missing keys: []\n=== MODEL: p/m\n=== UUID: n%d\n\n"
-                        "%s\nsecond line", "n_nationkey", "n_name").alias("value")
+    table(spark, folder, "supplier").repartition("s_suppkey").select(
+        F.col("s_suppkey").alias("part"),
+        F.format_string("=== ERROR: missing keys: []\n=== MODEL: p/m\n=== UUID: s%d\n\n"
+                        "%s\nsecond line", "s_suppkey", "s_name").alias("value")
     ).write.partitionBy("part").text(path)
     return readers.read_failures(spark, f"{path}/*").select(
         "error", "model", "persona_uuid", "raw_response", "model_name")
@@ -133,33 +137,58 @@ def _named_files(spark, rows, path, names):
     return f"{path}/named"
 
 
-@query("""SELECT k.kind, 'v' || r_regionkey AS version,
-  CASE k.kind WHEN 'voter_context' THEN r_name ELSE 'of ' || r_name END || chr(10) AS text
-FROM region, (VALUES ('voter_context'), ('system_prompt')) k(kind) WHERE r_regionkey < 5""")
+@query("""SELECT k.kind, 'v' || s_suppkey AS version,
+  CASE k.kind WHEN 'voter_context' THEN s_name ELSE 'of ' || s_name END || chr(10) AS text
+FROM supplier, (VALUES ('voter_context'), ('system_prompt')) k(kind)""")
 def asset_files(spark, folder):
-    kinds, region = ("voter_context", "system_prompt"), table(spark, folder, "region")
-    rows = region.where("r_regionkey < 5").select(F.explode(F.array(
-        F.struct((F.col("r_regionkey") * 2).alias("part"), F.col("r_name").alias("value")),
-        F.struct((F.col("r_regionkey") * 2 + 1).alias("part"),
-                 F.concat(F.lit("of "), "r_name").alias("value")))).alias("f")).select("f.*")
-    path = new_folder(spark, "asset-files")
-    named = _named_files(spark, rows.repartition(10, "part"), path, {
-        2 * i + k: f"{kind}_v{i}.md" for i in range(5) for k, kind in enumerate(kinds)})
+    kinds, supplier = ("voter_context", "system_prompt"), table(spark, folder, "supplier")
+    rows = supplier.select(F.explode(F.array(
+        F.struct((F.col("s_suppkey") * 2).alias("part"), F.col("s_name").alias("value")),
+        F.struct((F.col("s_suppkey") * 2 + 1).alias("part"),
+                 F.concat(F.lit("of "), "s_name").alias("value")))).alias("f")).select("f.*")
+    path, keys = new_folder(spark, "asset-files"), [r[0] for r in supplier.select("s_suppkey").collect()]
+    named = _named_files(spark, rows.repartition("part"), path, {
+        2 * i + k: f"{kind}_v{i}.md" for i in keys for k, kind in enumerate(kinds)})
     return readers.read_assets(spark, named)
 
 
-@query("""SELECT CAST(n_nationkey // 10 + 1 AS INTEGER) AS chunk_id,
-  CAST(n_nationkey % 10 AS INTEGER) AS idx, n_name || chr(10) AS text FROM nation
-WHERE n_nationkey < 25""")
+@query("""SELECT CAST(s_suppkey // 10 + 1 AS INTEGER) AS chunk_id,
+  CAST(s_suppkey % 10 AS INTEGER) AS idx, s_name || chr(10) AS text FROM supplier""")
 def note_files(spark, folder):
-    rows = table(spark, folder, "nation").where("n_nationkey < 25").select(
-        F.col("n_nationkey").alias("part"), F.col("n_name").alias("value"))
-    path = new_folder(spark, "note-files")
-    named = _named_files(spark, rows.repartition(25, "part"), path, {
-        i: f"_{i // 10 + 1:03d}_results/{i % 10}.txt" for i in range(25)})
+    rows = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("part"), F.col("s_name").alias("value"))
+    path, keys = new_folder(spark, "note-files"), [r[0] for r in rows.select("part").collect()]
+    named = _named_files(spark, rows.repartition("part"), path, {
+        i: f"_{i // 10 + 1:03d}_results/{i % 10}.txt" for i in keys})
     return readers.read_notes(spark, f"{named}/*")
 
 
+def _reply_files(spark, folder, path):
+    """One response document per supplier, under a name that tells what is in it."""
+    rows = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("part"), F.to_json(F.struct(
+            F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("persona_uuid"),
+            F.struct(F.col("s_name").alias("vote"), F.col("s_name").alias("reason")).alias("parsed"),
+        )).alias("value"))
+    stamp = F.concat(F.lit("20260101-"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 6, "0"))
+    names = table(spark, folder, "supplier").select(
+        F.col("s_suppkey"), columns.response_name(
+            stamp, F.when(F.col("s_suppkey") % 3 == 0, "p/m").otherwise("q/n"),
+            F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")),
+            F.concat(F.lit("v"), (F.col("s_suppkey") % 4).cast("string")))).collect()
+    return _named_files(spark, rows.repartition("part"), path, dict(map(tuple, names)))
+
+
+@query("""SELECT 's' || s_suppkey AS persona_uuid, s_name AS vote FROM supplier
+WHERE s_suppkey % 3 = 0 AND s_suppkey % 4 IN (1, 2) AND s_suppkey % 1000 >= 5""")
+def named_documents(spark, folder):
+    # Only files whose names pass are opened.
+    named = _reply_files(spark, folder, new_folder(spark, "reply-files"))
+    wanted = readers.named_files(models=["p/m"], versions=["v1", "v2"], since="20260101-000005")
+    stored = readers.read_documents(spark, named, wanted)
+    return readers.document_log(stored).select("persona_uuid", "vote")
+
+
 @query("""SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 1""")
 def peek_one(spark, folder):
     first = table(spark, folder, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")

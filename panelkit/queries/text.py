@@ -13,11 +13,20 @@ CARD_COLUMNS = {
 CARD_LABELS = {k: fv.CARD_LABELS[k] for k in
                ("sex", "age", "marital_status", "family_type", "region")}
 CARD_NARRATIVES = {"persona_summary": fv.CARD_NARRATIVES["persona_summary"]}
-CARD_SQL = """'## 인구통계' || chr(10) || concat_ws(chr(10),
-    '- 성별: ' || nullif(lang, ''), '- 연령: ' || n_chars || '세',
-    '- 혼인상태: ' || quality, '- 가구형태: ' || toxic,
-    '- 지역: ' || source || ' ' || lang)
-  || chr(10) || chr(10) || '## 인물 서사' || chr(10) || '[요약]' || chr(10) || text"""
+
+
+def _literal(text: str) -> str:
+    """A text as SQL, with its line feeds."""
+    return " || chr(10) || ".join(f"'{part}'" for part in text.split("\n"))
+
+
+_LABEL = {name: f"'- {label}: '" for name, label in CARD_LABELS.items()}
+CARD_SQL = f"""{_literal(fv.CARD_DEMOGRAPHICS_HEADING)} || chr(10) || concat_ws(chr(10),
+    {_LABEL['sex']} || nullif(lang, ''), {_LABEL['age']} || n_chars || '{fv.AGE_SUFFIX}',
+    {_LABEL['marital_status']} || quality, {_LABEL['family_type']} || toxic,
+    {_LABEL['region']} || source || ' ' || lang)
+  || chr(10) || chr(10) || {_literal(fv.CARD_NARRATIVE_HEADING)} || chr(10)
+  || '[{CARD_NARRATIVES["persona_summary"]}]' || chr(10) || text"""
 
 
 def documents_with_labels(spark, folder):
@@ -33,8 +42,8 @@ def render_card(spark, folder):
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN trimmed <> ''
-  THEN 'turn ' || turn || chr(10) || chr(10) || '## 정치적 이해관계' || chr(10)
-       || '[정치적 이해관계]' || chr(10) || trimmed
+  THEN 'turn ' || turn || chr(10) || chr(10) || {_literal(fv.CARD_INTEREST_HEADING)}
+       || chr(10) || trimmed
   ELSE 'turn ' || turn END AS card
 FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN
         regexp_replace('  ' || text || chr(10), '^{SPACE}+|{SPACE}+$', '', 'g')
@@ -56,13 +65,15 @@ def fill_template(spark, folder):
     return table(spark, folder, "pages").select("page_id", filled.alias("prompt"))
 
 
-@query(f"""SELECT doc_id, '다음 페르소나가 2026년 6월 3일 지방선거(또는 가까운 미래의 총선·대선)에서 어느 정당을 지지·투표할지 추론하시오.'
-  || chr(10) || chr(10) || text || chr(10) || chr(10) || 'JSON만 출력.'
-  || CASE WHEN lang = 'de' THEN chr(10) || chr(10) || '/no_think' ELSE '' END AS prompt
+MESSAGE = "Who is this?\n{persona_card}\nOne word {{only}}."
+
+
+@query(f"""SELECT doc_id, 'Who is this?' || chr(10) || text || chr(10) || 'One word {{only}}.'
+  || CASE WHEN lang = 'de' THEN {_literal(fv.NO_THINK_SUFFIX)} ELSE '' END AS prompt
 FROM documents""")
 def no_think_suffix(spark, folder):
     model = F.when(F.col("lang") == "de", "Qwen3:32b").otherwise(F.col("lang"))
-    prompt = render.user_message(model, "text")
+    prompt = render.user_message(model, "text", MESSAGE)
     return table(spark, folder, "documents").select("doc_id", prompt.alias("prompt"))
 
 
@@ -145,7 +156,7 @@ def preview(spark, folder):
         columns.preview("text", 300).alias("long"))
 
 
-@query("""SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '(없음)') AS answer
+@query(f"""SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '{fv.NO_ANSWER}') AS answer
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def answer_default(spark, folder):
     answer = render.answer_or_none(F.col("quality").cast("string"))

@@ -3,6 +3,8 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +55,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def at_once(*jobs: Callable[[], object]) -> list:
+    """Run independent jobs side by side from threads of the driver; the first error is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/panelkit/{name}-{uuid.uuid4().hex}"

@@ -4,13 +4,15 @@ Schemas are given, never inferred, so a read starts no extra job. A folder or
 table that may not exist yet reads as empty.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from panelkit import schemas
-from panelkit.functions.columns import response_name_parts, utc_name
+from panelkit.functions.columns import key_prefix, response_name_parts, safe_name, utc_name
 
 FAILURE_TEXT = r"(?s)^=== ERROR: (.*?)\n=== MODEL: (.*?)\n=== UUID: (.*?)\n\n(.*)\z"
 ASSET_NAME = r"^(voter_context|system_prompt)_(v\d+)\.md$"
@@ -58,12 +60,40 @@ def read_interests(spark: SparkSession, path: str,
     return _read_csv(spark, path, schema, "\t").select("persona_uuid", "political_interest")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def named_files(models: Sequence[str] | None = None, versions: Sequence[str] | None = None,
+                personas: Sequence[str] | None = None, since: str | None = None,
+                until: str | None = None) -> Column:
+    """A test on the name of a response or failure file, by what the name tells.
+
+    A name starts with the time of its reply and carries the model, the first characters of
+    the persona's key and both versions. ``since`` and ``until`` are such times, the second
+    not included; ``versions`` are those of the context. As the test needs the file's name
+    only, Spark makes it on the listing of the folder, and opens no file that fails it.
+    """
+    parts = response_name_parts("_metadata.file_name")
+    test = F.lit(True)
+    if models is not None:
+        test = test & parts["model"].isin([safe_name(F.lit(m)) for m in models])
+    if versions is not None:
+        test = test & parts["voter_context_version"].isin(list(versions))
+    if personas is not None:
+        test = test & parts["key8"].isin([key_prefix(F.lit(p)) for p in personas])
+    if since is not None:
+        test = test & (parts["timestamp"] >= since)
+    if until is not None:
+        test = test & (parts["timestamp"] < until)
+    return F.coalesce(test, F.lit(False))
+
+
+def read_documents(spark: SparkSession, path: str, files: Column | None = None) -> DataFrame:
     """Response documents of any of the three layouts, one object per file.
 
-    A missing note was written as a bare ``NaN``; it reads as null.
+    ``files`` (of ``named_files``) leaves out files by their names, unopened; many small
+    files are packed into a task by their bytes. A missing note was written as a bare
+    ``NaN``; it reads as null.
     """
     df = spark.read.schema(schemas.RESPONSE_DOCUMENT).option("multiLine", True).json(path)
+    df = df if files is None else df.where(files)
     note = F.col("political_interest")
     return df.withColumn("political_interest", F.when(note != "NaN", note)).withColumn(
         "response_file", F.col("_metadata.file_name"))
@@ -84,14 +114,15 @@ def document_log(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    """Failure texts as dead letters.
+def read_failures(spark: SparkSession, path: str, files: Column | None = None) -> DataFrame:
+    """Failure texts as dead letters; ``files`` leaves out files by their names, unopened.
 
     Some files name the model without its provider; the file name carries a
     provider only when the text does, so both forms are kept as they are and
     ``model_name`` holds the part after the provider.
     """
-    text = spark.read.text(path, wholetext=True).select(
+    read = spark.read.text(path, wholetext=True)
+    text = (read if files is None else read.where(files)).select(
         "value", F.col("_metadata.file_name").alias("file_name"))
     parts = response_name_parts("file_name")
 
@@ -141,7 +172,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, reader=N
     try:
         return (reader or (lambda s, p: s.read.schema(schema).parquet(p)))(spark, path)
     except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
 

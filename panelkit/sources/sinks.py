@@ -1,7 +1,8 @@
 """Writers for the log, documents, dead letters, snapshots, chunks and summaries.
 
 Tables that grow take a run name. A run writes its own part of the table, so a run
-that is repeated after a failure replaces its rows and never doubles them.
+that is repeated after a failure replaces its rows and never doubles them. Under the name
+of an attempt as well, a part is seen only once ``published`` names that attempt.
 """
 
 from collections.abc import Sequence
@@ -15,12 +16,12 @@ from panelkit.sources.readers import with_missing
 LOG_PARTITIONS = ("model", "voter_context_version")
 
 
-def _part(path: str, run: str) -> str:
-    return f"{path}/run={run}"
+def _part(path: str, run: str, attempt: str | None = None) -> str:
+    return f"{path}/run={run}" + (f"/attempt={attempt}" if attempt else "")
 
 
 def append_log(df: DataFrame, path: str, run: str,
-               partitions: Sequence[str] = LOG_PARTITIONS) -> None:
+               partitions: Sequence[str] = LOG_PARTITIONS, attempt: str | None = None) -> None:
     """Add a run's rows to the parquet log.
 
     The rebalance hint lets adaptive execution merge small writes and split the
@@ -28,7 +29,7 @@ def append_log(df: DataFrame, path: str, run: str,
     """
     rows = with_missing(df, schemas.RESPONSE_LOG)
     (rows.hint("rebalance", *partitions).write.mode("overwrite")
-     .partitionBy(*partitions).parquet(_part(path, run)))
+     .partitionBy(*partitions).parquet(_part(path, run, attempt)))
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -47,13 +48,14 @@ def documents(df: DataFrame) -> DataFrame:
     return full.select(*[columns[n] for n in schemas.RESPONSE_DOCUMENT.names])
 
 
-def write_documents(df: DataFrame, path: str, run: str) -> None:
+def write_documents(df: DataFrame, path: str, run: str, attempt: str | None = None) -> None:
     """One JSON document per line, many per file."""
-    documents(df).write.mode("overwrite").json(_part(path, run))
+    documents(df).write.mode("overwrite").json(_part(path, run, attempt))
 
 
-def write_dead_letters(df: DataFrame, path: str, run: str) -> None:
-    with_missing(df, schemas.DEAD_LETTER).write.mode("overwrite").parquet(_part(path, run))
+def write_dead_letters(df: DataFrame, path: str, run: str, attempt: str | None = None) -> None:
+    with_missing(df, schemas.DEAD_LETTER).write.mode("overwrite").parquet(
+        _part(path, run, attempt))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -79,6 +81,6 @@ def write_chunks(df: DataFrame, path: str, fmt: str = "json", chunks_per_folder:
         writer.options(header=True, escape='"').csv(path)
 
 
-def write_summary(df: DataFrame, path: str, run: str) -> None:
+def write_summary(df: DataFrame, path: str, run: str, attempt: str | None = None) -> None:
     """Metrics of a run."""
-    df.write.mode("overwrite").json(_part(path, run))
+    df.write.mode("overwrite").json(_part(path, run, attempt))

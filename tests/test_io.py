@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from panelkit import schemas
 from panelkit.functions.columns import log_order
-from panelkit.operators import compare
+from panelkit.operators import compare, numbering
 from panelkit.operators.numbering import chunk_rows
 from panelkit.sources import readers, sinks
 
@@ -137,6 +137,63 @@ def test_chunk_files(spark, tmp_path):
     assert len(list((tmp_path / "csv").glob("chunk_folder=*/*.csv"))) == 2
 
 
+def test_chunks_write_keys_only(spark, monkeypatch):
+    """Numbers are found on the keys; whole rows are neither sorted nor written for them."""
+    written = []
+    real = numbering.number_rows
+    monkeypatch.setattr(numbering, "number_rows",
+                        lambda df, order, name: written.append(df.columns) or real(df, order, name))
+    people = spark.range(95).selectExpr("cast(id AS string) AS k", "id", "repeat('x', 500) AS text")
+    got = chunk_rows(people, ["k"]).collect()
+    assert written == [["k"]] and len(got) == 95
+    for place, r in enumerate(sorted(got, key=lambda r: r.k)):
+        assert (r.chunk_id, r.idx, len(r.text)) == (place // 10 + 1, place % 10, 500)
+
+
+def opened(df):
+    """Files that the scan of a collected frame has opened."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numFiles").value()
+
+
+def test_files_are_chosen_by_name_unopened(spark, tmp_path, rows):
+    folder = tmp_path / "replies"
+    folder.mkdir()
+    every = []
+    for i in range(600):
+        model, version = ("p_m", "q_n")[i % 2], f"v{i % 5}"
+        stamp = f"202601{1 + i % 28:02}-{i:06}"
+        name = f"{stamp}_{model}_{i:08}_{version}_{version}.json"
+        (folder / name).write_text(json.dumps({"persona_uuid": f"{i:08}", "model": model}))
+        every.append((f"{i:08}", model, version, stamp))
+    (folder / "notes.json").write_text("{}")
+    letters = tmp_path / "letters"
+    letters.mkdir()
+    (letters / "FAIL_20260101-000000_p_m_00000000_v1.txt").write_text(
+        "=== ERROR: e\n=== MODEL: p/m\n=== UUID: 00000000\n\ntext")
+
+    def read(**names):
+        return readers.read_documents(
+            spark, str(folder), readers.named_files(**names)).select("persona_uuid")
+
+    for names, test in (
+            ({"models": ["p/m"], "versions": ["v3"]}, lambda r: r[1] == "p_m" and r[2] == "v3"),
+            ({"personas": ["00000007-and-more"]}, lambda r: r[0] == "00000007"),
+            ({"since": "20260110-", "until": "20260112-"},
+             lambda r: "20260110-" <= r[3] < "20260112-"),
+            ({"models": []}, lambda r: False)):
+        want = sorted((r[0],) for r in every if test(r))
+        assert rows(read(**names)) == want
+        if want:
+            assert opened(read(**names)) == len(want)
+    # Small files share tasks.
+    assert readers.read_documents(spark, str(folder)).rdd.getNumPartitions() < 60
+    assert readers.read_failures(
+        spark, str(letters), readers.named_files(versions=["v1"], models=["p/m"])).where(
+        "error = 'e'").count() == 1
+
+
 def test_snapshot_replaces(spark, tmp_path):
     path, df = str(tmp_path / "snap"), frame(spark, ROWS)
     sinks.write_snapshot(df, path)

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit import schemas
-from panelkit.operators.infer import call_model, smoke_call
-from panelkit.plans import panels, runs
-from panelkit.sources.readers import read_document_lines, read_log
+from panelkit.operators.infer import KEEP_EVERY, call_model, keep_replies, smoke_call
+from panelkit.plans import panels, refresh, runs
+from panelkit.sources import published
 
 
 @pytest.fixture(scope="module")
@@ -51,8 +51,8 @@ def test_run_then_rerun_then_cohort(spark, panel, assets, rule, tmp_path):
     folder, base, again = str(tmp_path), ("p/m", "v2"), ("q/n", "v10")
     summary = runs.sample_run(panel, assets, [(*base, 60)], rule, folder, "first", seed=5, tasks=4)
     done = summary.first()
-    log = read_log(spark, f"{folder}/log")
-    dead = spark.read.parquet(f"{folder}/dead_letters")
+    log = runs.logged(spark, folder)
+    dead = runs.failed(spark, folder)
     assert (done.model, done.version, done.attempts) == (*base, 60)
     n_log = log.count()
     assert done.successes == n_log and dead.count() == 60 - done.successes
@@ -60,7 +60,7 @@ def test_run_then_rerun_then_cohort(spark, panel, assets, rule, tmp_path):
         "TimeoutError", "no parseable JSON in response"}
     assert all(r.file_name.startswith("FAIL_2") and r.file_name.endswith("_v2.txt")
                for r in dead.collect())
-    docs = read_document_lines(spark, f"{folder}/documents")
+    docs = runs.documented(spark, folder)
     assert docs.count() == n_log and docs.where("parsed.vote in ('A', 'B')").count() == n_log
 
     # The same run again neither asks nor doubles anything.
@@ -69,28 +69,28 @@ def test_run_then_rerun_then_cohort(spark, panel, assets, rule, tmp_path):
 
     replies = {r.persona_uuid: r.elapsed_sec for r in stored("first").collect()}
     runs.sample_run(panel, assets, [(*base, 60)], rule, folder, "first", seed=5)
-    log = read_log(spark, f"{folder}/log")
+    log = runs.logged(spark, folder)
     assert log.count() == n_log
     assert replies == {r.persona_uuid: r.elapsed_sec for r in stored("first").collect()}
 
     # A new run of a larger sample asks only those without an answer.
     runs.sample_run(panel, assets, [(*base, 80)], rule, folder, "second", seed=5)
     asked = stored("second")
-    first = read_log(spark, f"{folder}/log").where("model = 'p/m'")
+    first = runs.logged(spark, folder).where("model = 'p/m'")
     assert first.groupBy("persona_uuid").count().where("count > 1").count() == 0
     assert asked.count() == 80 - done.successes
 
     # The cohort answers again under another model and version, with notes on some cards.
-    log = read_log(spark, f"{folder}/log")
+    log = runs.logged(spark, folder)
     members = {r.persona_uuid for r in log.collect()}
     notes = log.select("persona_uuid").limit(5).withColumn("political_interest", F.lit(" note "))
     runs.cohort_run(spark, assets, base, again, rule, folder, "cohort", notes)
-    new = read_log(spark, f"{folder}/log").where("model = 'q/n'")
+    new = runs.logged(spark, folder).where("model = 'q/n'")
     assert {r.persona_uuid for r in new.collect()} == members
     assert new.where("reason like '%+note%'").count() == 5
     assert new.where("occupation is null or hobbies_and_interests is null").count() == 0
 
-    check_panels(read_log(spark, f"{folder}/log"), base, again, notes)
+    check_panels(runs.logged(spark, folder), base, again, notes)
 
 
 def check_panels(log, base, again, notes):
@@ -153,7 +153,7 @@ def test_unknown_version_goes_to_the_dead_letters(spark, panel, assets, rule, tm
 
 
 def test_a_run_goes_on_where_it_failed(spark, panel, assets, tmp_path):
-    """Finished buckets are kept when a worker dies; the rest, and a grown grid, are asked."""
+    """Finished replies are kept when a worker dies; the rest, and a grown grid, are asked."""
     calls = tmp_path / "calls"
 
     def factory(dies):
@@ -179,14 +179,137 @@ def test_a_run_goes_on_where_it_failed(spark, panel, assets, tmp_path):
     before = len(calls.read_text().splitlines()) if calls.exists() else 0
     grown = [*cells, ("q/n", "v10", 20)]
     runs.sample_run(panel, assets, grown, factory(False), str(tmp_path), "r", tasks=1)
-    log = read_log(spark, f"{tmp_path}/log")
+    log = runs.logged(spark, str(tmp_path))
     assert log.where("model = 'p/m'").count() == 40 and log.where("model = 'q/n'").count() == 20
     after = len(calls.read_text().splitlines()) - before
-    assert after == 60 - len(kept)
+    assert after == 60 - len(kept) and before - len(kept) <= KEEP_EVERY
     runs.sample_run(panel, assets, grown, factory(True), str(tmp_path), "r", tasks=1)
     assert len(calls.read_text().splitlines()) == before + after
 
 
+@pytest.mark.parametrize("at_once", [1, 4])
+def test_a_worker_that_dies_repeats_a_few_calls(spark, panel, assets, tmp_path, at_once):
+    """All but the last few replies of a task are kept, though its bucket was cut off."""
+    calls, every = tmp_path / "calls", 5
+
+    def factory(dies):
+        def make(model, version):
+            def answer(system, user):
+                number = int(user.split("요약문 ")[1].split("\n")[0])
+                if dies and number == 150:
+                    import os
+                    os._exit(1)
+                with open(calls, "a") as file:
+                    file.write(f"{number}\n")
+                return '{"vote": "A", "reason": "r"}'
+
+            return answer
+
+        return make
+
+    targets = runs.profile_rows(panel).withColumns({"model": F.lit("m"), "version": F.lit("v2")})
+    store = str(tmp_path / "store")
+
+    def asked(dies):
+        return runs.ask(targets, factory(dies), store, lambda rows: runs.prompt_rows(rows, assets),
+                        tasks=1, calls_at_once=at_once, keep_every=every)
+
+    with pytest.raises(Exception):
+        asked(True)
+    before = len(calls.read_text().splitlines())
+    kept = runs.stored_replies(spark, store).count()
+    assert before - kept <= every + at_once and kept < 200
+    assert asked(False).count() == 200
+    repeated = len(calls.read_text().splitlines()) - 200
+    assert repeated <= every + at_once
+    assert runs.stored_replies(spark, store).select("persona_uuid").distinct().count() == 200
+
+
+def test_a_task_that_runs_again_skips_what_it_kept(spark, tmp_path):
+    """A second attempt, within the same job or beside it, reads the bucket's kept keys."""
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame(
+        [(f"u{i}", "m", "v", "s", f"t{i}") for i in range(30)],
+        "persona_uuid string, model string, version string, system_text string, user_text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def factory(model, version):
+        def answer(system, user):
+            made.add(1)
+            return user
+        return answer
+
+    def run():
+        return keep_replies(rows, factory, f"{store}/kept", runs.KEYS, buckets=4, keep_every=3)
+
+    first = {r.bucket: (r.asked, r.known) for r in run().collect()}
+    assert sum(a for a, _ in first.values()) == 30 and made.value == 30
+    again = {r.bucket: (r.asked, r.known) for r in run().collect()}
+    assert again == {b: (0, a) for b, (a, _) in first.items()} and made.value == 30
+    # The same bucket asked twice side by side: the first reply of a row counts.
+    twice = spark.read.parquet(f"{store}/kept").where("persona_uuid < 'u2'").withColumn(
+        "timestamp", F.lit("99991231-000000")).withColumn("raw_response", F.lit("late"))
+    twice.drop("bucket").write.parquet(f"{store}/kept/bucket=0/late")
+    stored = runs.stored_replies(spark, store)
+    assert stored.count() == 30 and stored.where("raw_response = 'late'").count() == 0
+
+
+def test_a_run_shows_all_its_tables_or_none(spark, panel, assets, rule, tmp_path, monkeypatch):
+    folder, cells = str(tmp_path), [("p/m", "v2", 40)]
+    runs.sample_run(panel, assets, cells, rule, folder, "first", seed=5)
+    before = runs.logged(spark, folder)
+    n, dead = before.count(), runs.failed(spark, folder).count()
+
+    def stops(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    grown = [*cells, ("q/n", "v10", 30)]
+    for name in ("write_documents", "write_dead_letters", "write_summary"):
+        monkeypatch.setattr(runs, name, stops)
+        with pytest.raises(RuntimeError):
+            runs.sample_run(panel, assets, grown, rule, folder, "second", seed=5)
+        monkeypatch.undo()
+        assert runs.logged(spark, folder).count() == n
+        assert runs.failed(spark, folder).count() == dead
+        assert runs.documented(spark, folder).count() == n
+    runs.sample_run(panel, assets, grown, rule, folder, "second", seed=5)
+    log = runs.logged(spark, folder)
+    assert log.count() == runs.documented(spark, folder).count() > n
+    # Recording a run again replaces its rows in one step; who reads the old ones goes on.
+    runs.record(runs.stored_replies(spark, f"{folder}/replies/second"), folder, "second")
+    assert runs.logged(spark, folder).count() == log.count() and before.count() == n
+
+
+def test_kept_panels_equal_the_whole_log(spark, panel, assets, rule, rows, tmp_path):
+    """Each refresh reads the new run alone; merged parts give what the whole log gives."""
+    folder, base, again = str(tmp_path), ("p/m", "v2"), ("q/n", "v10")
+    assert refresh.refresh(spark, folder) == []
+    steps = [("a", [(*base, 30)]), ("b", [(*again, 25)]), ("c", [(*base, 60)]), ("a", [(*base, 30)])]
+
+    def check(whole):
+        log, parts = runs.logged(spark, folder), refresh.read_parts(spark, folder)
+        for selected in (None, {"model": ["p/m"]}) if whole else ({"model": ["p/m"]},):
+            want, got = panels.dashboard(log, selected), refresh.dashboard(parts, selected)
+            for name, table in got.items():
+                assert rows(table) == rows(want[name].select(*table.columns)), name
+        cells = {"v2": base, "v10": again}
+        want = panels.comparison(log, cells, log.select(
+            "persona_uuid", F.lit("n").alias("political_interest")).limit(0), ("v2", "v10"))
+        for name, table in refresh.comparison(parts, cells, ("v2", "v10")).items():
+            if name in want and name != "answered":
+                assert rows(table) == rows(want[name].select(*table.columns)), name
+
+    for k, (run, cells) in enumerate(steps):
+        runs.sample_run(panel, assets, cells, rule, folder, run, seed=5)
+        read = {name.split("/")[0] for name in refresh.refresh(spark, folder, fold_at=2)}
+        # The run alone; at its second recording also those that were folded with its first.
+        assert read == {run} if k < 3 else run in read
+        assert refresh.refresh(spark, folder, fold_at=2) == []
+        if k in (1, 3):
+            check(k == 3)
+    assert len(published.entries(spark, f"{folder}/panels")) <= 2
+
+
 def test_latency_leaves_out_making_the_client(spark):
     def factory(model, version):
         import time

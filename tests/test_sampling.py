@@ -24,8 +24,9 @@ def people(spark):
 def test_sample_is_the_first_by_hash(people, n):
     df, values = people
     want = {k for k, _ in sorted(values, key=lambda v: md5(3, v[0]))[:n]}
-    got = [r.k for r in sampling.sample_n(df, "k", n, 3).collect()]
-    assert len(got) == len(want) and set(got) == want
+    for few in (sampling.FEW, 0):
+        got = [r.k for r in sampling.sample_n(df, "k", n, 3, few).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 @pytest.mark.parametrize("n,digits", [(1, 1), (100, 1), (100, 3), (1000, 2), (10_000, 4)])
@@ -35,8 +36,27 @@ def test_stratified_sample(people, n, digits):
     for s in {s for _, s in values}:
         group = sorted((k for k, t in values if t == s), key=lambda k: md5(3, k))
         want |= {(k, s) for k in group[:n]}
-    got = [tuple(r) for r in sampling.sample_per_stratum(df, "s", "k", n, 3, digits).collect()]
-    assert len(got) == len(want) and set(got) == want
+    for few in (sampling.FEW_PER_GROUP, 0):
+        drawn = sampling.sample_per_stratum(df, "s", "k", n, 3, digits, few)
+        got = [tuple(r) for r in drawn.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_samples_are_one_pass(spark, tmp_path, people):
+    """One scan and a top-n; groups are cut to n rows in each task before the shuffle."""
+    people[0].write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    plan = _plan(sampling.sample_n(df, "k", 100, 3))
+    assert plan.count("FileScan") == 1 and "TakeOrderedAndProject" in plan
+    assert "Exchange" not in plan and "Window" not in plan
+    plan = _plan(sampling.sample_per_stratum(df, "s", "k", 100, 3))
+    lines = plan.splitlines()
+    partial = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Partial" in x)
+    assert any("Exchange" in x for x in lines[:partial])
 
 
 @pytest.mark.parametrize("n", [0, 9, 10, 11, 1000])

@@ -1,13 +1,16 @@
 """The streamed tables equal the batch ones, over several batches and a restart."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.functions.columns import log_order
 from panelkit.functions.parse import parse_replies
 from panelkit.operators import metrics
 from panelkit.operators.dedupe import keep_last
-from panelkit.streaming import live
+from panelkit.streaming import levels, live
 from test_log_operators import SCHEMA, make_log
 
 
@@ -58,8 +61,52 @@ def test_latest(spark, source, tmp_path, rows):
     batch = run_twice(spark, source, lambda s: live.live_latest(
         s, keys, log_order(), path, state, refresh=None))
     want = keep_last(batch, keys, log_order()).select(*keys, "response_file")
-    got = live.read_latest(spark, path, keys).select(*keys, "response_file")
-    assert rows(got) == rows(want)
+    got = live.read_latest(spark, path, keys, batch.schema, log_order())
+    assert got.columns == batch.columns
+    assert rows(got.select(*keys, "response_file")) == rows(want)
+
+
+def test_levels_bound_the_parts_and_repeat_safely(spark, tmp_path, rows):
+    """Late rows lose, a batch that runs again changes nothing, readers open few parts."""
+    path = str(tmp_path / "out")
+    schema = T.StructType().add("key", "long").add("_order", "long").add("value", "string")
+    merge = live._newest(["key"])
+    batches = [[(k, (7 * b + k) % 50, f"{b}-{k}") for k in range(b % 5, 20)] for b in range(14)]
+    every = []
+    for b, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, schema).coalesce(1)
+        for _ in range(2 if b in (3, 8) else 1):
+            levels.add_batch(merge(frame), path, b, merge, width=3)
+        every += batch
+        assert len(levels.live_parts(spark, path)) <= 2 * 3
+    best = {}
+    for key, order, _ in every:
+        best[key] = max(order, best.get(key, -1))
+    got = merge(levels.read_levels(spark, path, schema)).select("key", "_order")
+    assert rows(got) == sorted(best.items(), key=repr)
+
+
+def test_a_half_written_batch_is_not_read(spark, source, tmp_path, rows):
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    run_twice(spark, source, lambda s: live.live_totals(
+        s, ["model", "vote"], path, state, refresh=None))
+    whole = rows(live.read_totals(spark, path))
+    spark.createDataFrame([("x", "y", 1, 1, Decimal(1))], "model string, vote string, count long, "
+                          "timed long, time decimal(38,18)").write.parquet(f"{path}/batch=99")
+    assert rows(live.read_totals(spark, path)) == whole
+
+
+def test_distinct_with_a_clock_that_stands_still(spark, source, tmp_path, rows):
+    """No time is read: batches of one instant, and values that come again and again."""
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    folder, add = source
+    stream = live.read_stream(spark, folder, spark.read.parquet(folder).schema, maxFilesPerTrigger=1)
+    add(0), add(1), add(0)
+    query = live.live_distinct(stream, ["vote", "model"], path, state, refresh=None)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 4
+    batch = spark.read.parquet(folder).agg(F.countDistinct("model"), F.countDistinct("vote")).first()
+    assert rows(live.read_distinct(spark, path)) == [("model", batch[0]), ("vote", batch[1])]
 
 
 def test_ingest_parses_each_file_once(spark, tmp_path, rows):
