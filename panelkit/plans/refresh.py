@@ -11,7 +11,7 @@ others whose counts were folded together with it.
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,7 +113,7 @@ def refresh(spark: SparkSession, folder: str, fold_at: int = FOLD_AT) -> list[st
     """
     kept = f"{folder}/panels"
     live = [published.part_name(r) for r in published.entries(spark, folder) if "log" in r.tables]
-    parts = published.entries(spark, kept)
+    parts = _counted(spark, folder)
     stale = [r for r in parts if not set(r.covers) <= set(live)]
     covered = {name for r in parts if r not in stale for name in r.covers}
     new = sorted(set(live) - covered)
@@ -128,14 +128,27 @@ def refresh(spark: SparkSession, folder: str, fold_at: int = FOLD_AT) -> list[st
 def fold(spark: SparkSession, folder: str) -> None:
     """Merge all kept parts into one, which stands for them from then on."""
     kept = f"{folder}/panels"
-    parts = published.entries(spark, kept)
+    parts = _counted(spark, folder)
     covers = sorted({name for r in parts for name in r.covers})
     _write(merged(read_parts(spark, folder)), kept, covers,
            [published.part_name(r) for r in parts])
 
 
+def _counted(spark: SparkSession, folder: str) -> list[Row]:
+    """The parts that count: where two refreshes met, the later part that covers a run again
+    is left out."""
+    taken: set[str] = set()
+    parts = []
+    for row in sorted(published.entries(spark, f"{folder}/panels"), key=lambda r: r.number):
+        if not taken & set(row.covers):
+            parts.append(row)
+            taken |= set(row.covers)
+    return parts
+
+
 def read_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: published.read_table(spark, f"{folder}/panels", name, schema)
+    only = [published.part_name(r) for r in _counted(spark, folder)]
+    return {name: published.read_table(spark, f"{folder}/panels", name, schema, only=only)
             for name, schema in SCHEMAS.items()}
 
 

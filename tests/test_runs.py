@@ -263,52 +263,71 @@ def test_a_run_shows_all_its_tables_or_none(spark, panel, assets, rule, tmp_path
     def stops(*args, **kwargs):
         raise RuntimeError("stopped")
 
-    grown = [*cells, ("q/n", "v10", 30)]
-    for name in ("write_documents", "write_dead_letters", "write_summary"):
+    targets = runs.profile_rows(panel).limit(30).withColumns(
+        {"model": F.lit("q/n"), "version": F.lit("v10")})
+    replies = runs.ask(targets, rule, f"{folder}/replies/second",
+                       lambda rows: runs.prompt_rows(rows, assets))
+    for name in ("write_documents", "write_summary"):
         monkeypatch.setattr(runs, name, stops)
         with pytest.raises(RuntimeError):
-            runs.sample_run(panel, assets, grown, rule, folder, "second", seed=5)
+            runs.record(replies, folder, "second")
         monkeypatch.undo()
         assert runs.logged(spark, folder).count() == n
         assert runs.failed(spark, folder).count() == dead
         assert runs.documented(spark, folder).count() == n
-    runs.sample_run(panel, assets, grown, rule, folder, "second", seed=5)
+    runs.record(replies, folder, "second")
     log = runs.logged(spark, folder)
     assert log.count() == runs.documented(spark, folder).count() > n
     # Recording a run again replaces its rows in one step; who reads the old ones goes on.
-    runs.record(runs.stored_replies(spark, f"{folder}/replies/second"), folder, "second")
-    assert runs.logged(spark, folder).count() == log.count() and before.count() == n
+    runs.record(replies, folder, "first")
+    assert runs.logged(spark, folder).where("model = 'p/m'").count() == 0 and before.count() == n
 
 
-def test_kept_panels_equal_the_whole_log(spark, panel, assets, rule, rows, tmp_path):
+def _log_rows(spark, seed, model, version, n):
+    """Answers of n personas in one cell, some without an answer, an age or a version."""
+    values = [tuple({
+        "persona_uuid": f"u{i}", "age": None if i % 9 == 0 else 15 + i % 70, "sex": f"s{i % 2}",
+        "province": None if i % 8 == 0 else f"p{i % 4}", "vote": None if i % 7 == 0 else "ABC"[
+            (i * seed + len(model)) % 3], "model": model, "elapsed_sec": i / 8 + seed,
+        "voter_context_version": version if i % 5 else None, "system_prompt_version": version,
+        "response_file": f"2026010{seed}-{i:06}_{model}.json"}.get(name)
+        for name in schemas.RESPONSE_LOG.names) for i in range(n)]
+    return spark.createDataFrame(values, schemas.RESPONSE_LOG)
+
+
+def test_kept_panels_equal_the_whole_log(spark, rows, tmp_path):
     """Each refresh reads the new run alone; merged parts give what the whole log gives."""
     folder, base, again = str(tmp_path), ("p/m", "v2"), ("q/n", "v10")
     assert refresh.refresh(spark, folder) == []
-    steps = [("a", [(*base, 30)]), ("b", [(*again, 25)]), ("c", [(*base, 60)]), ("a", [(*base, 30)])]
-
-    def check(whole):
-        log, parts = runs.logged(spark, folder), refresh.read_parts(spark, folder)
-        for selected in (None, {"model": ["p/m"]}) if whole else ({"model": ["p/m"]},):
-            want, got = panels.dashboard(log, selected), refresh.dashboard(parts, selected)
-            for name, table in got.items():
-                assert rows(table) == rows(want[name].select(*table.columns)), name
-        cells = {"v2": base, "v10": again}
-        want = panels.comparison(log, cells, log.select(
-            "persona_uuid", F.lit("n").alias("political_interest")).limit(0), ("v2", "v10"))
-        for name, table in refresh.comparison(parts, cells, ("v2", "v10")).items():
-            if name in want and name != "answered":
-                assert rows(table) == rows(want[name].select(*table.columns)), name
-
-    for k, (run, cells) in enumerate(steps):
-        runs.sample_run(panel, assets, cells, rule, folder, run, seed=5)
+    steps = [("a", *base, 60), ("b", *again, 50), ("c", *base, 90), ("a", *again, 70)]
+    for k, (run, model, version, n) in enumerate(steps):
+        runs.import_log(_log_rows(spark, k + 1, model, version, n), folder, run)
         read = {name.split("/")[0] for name in refresh.refresh(spark, folder, fold_at=2)}
         # The run alone; at its second recording also those that were folded with its first.
         assert read == {run} if k < 3 else run in read
-        assert refresh.refresh(spark, folder, fold_at=2) == []
-        if k in (1, 3):
-            check(k == 3)
+    assert refresh.refresh(spark, folder, fold_at=2) == []
     assert len(published.entries(spark, f"{folder}/panels")) <= 2
 
+    log, parts = runs.logged(spark, folder), refresh.read_parts(spark, folder)
+    assert log.count() == 50 + 90 + 70
+    for selected in (None, {"model": ["p/m"]}):
+        want, got = panels.dashboard(log, selected), refresh.dashboard(parts, selected)
+        for name, table in got.items():
+            if selected is None or name.startswith("by_"):
+                assert rows(table) == rows(want[name].select(*table.columns)), name
+    notes = log.select("persona_uuid", F.lit("n").alias("political_interest")).limit(0)
+    want = panels.comparison(log, {"v2": base, "v10": again}, notes, ("v2", "v10"))
+    got = refresh.comparison(parts, {"v2": base, "v10": again}, ("v2", "v10"))
+    for name in ("change", "transitions", "distribution_v2"):
+        assert rows(got[name]) == rows(want[name].select(*got[name].columns)), name
+
+    # Two refreshes at one time: a run that both have read counts once.
+    again = published.entries(spark, f"{folder}/panels")[0].covers
+    refresh._write(refresh.partials(runs.logged(spark, folder, only=again)),
+                   f"{folder}/panels", again)
+    assert rows(refresh.dashboard(refresh.read_parts(spark, folder))["kpi"]) == rows(
+        refresh.dashboard(parts)["kpi"])
+
 
 def test_latency_leaves_out_making_the_client(spark):
     def factory(model, version):
