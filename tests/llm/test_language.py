@@ -68,6 +68,54 @@ def test_kernel_is_cosine_of_sets():
     assert np.dot(one, two) == len(sets[0] & sets[1])
 
 
+def exact_grams(text):
+    """Distinct 1- to 4-grams of the lower-cased text, runs of other characters as one space."""
+    out, before = [], False
+    for c in text.lower():
+        if c.isalpha():
+            out.append(c)
+        elif before:
+            out.append(" ")
+        before = c.isalpha()
+    s = "".join(out)
+    return {s[i:i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}
+
+
+def exact_scores(train, langs, texts, ridge):
+    """One-versus-rest kernel ridge on the exact sets: no hashing, no landmarks."""
+    def kernel(xs, ys):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in ys] for x in xs])
+
+    sets = [exact_grams(t) for t in train]
+    wanted = np.array([[1.0 if a == b else -1.0 for b in sorted(set(langs))] for a in langs])
+    alpha = np.linalg.solve(kernel(sets, sets) + ridge * np.eye(len(sets)), wanted)
+    return kernel([exact_grams(t) for t in texts], sets) @ alpha
+
+
+def test_scores_are_those_of_exact_kernel_ridge():
+    """With every training row as a landmark the model is plain ridge, but for hash collisions."""
+    data = [(t, lang or "aa") for _, t, lang, *_ in rows() if lang][:150]
+    train, rest = data[:90], data[90:]
+    texts, langs = [t for t, _ in train], [lang for _, lang in train]
+    model = language.fit(language.presence(texts), langs, landmarks=len(train))
+    asked = [t for t, _ in rest]
+    got = model.scores(language.presence(asked))
+    want = exact_scores(texts, langs, asked, language.RIDGE)
+    assert np.abs(got - want).max() < 0.05
+    assert (got.argmax(1) == want.argmax(1)).all()
+    # Fewer landmarks lose little.
+    fewer = language.fit(language.presence(texts), langs, landmarks=24)
+    assert (fewer.scores(language.presence(asked)).argmax(1) == want.argmax(1)).mean() > 0.97
+
+
+def test_equal_scores_go_to_the_first_language(spark):
+    docs = spark.createDataFrame(
+        [(k, "same words here", lang, "s", 1) for k, lang in enumerate(["yy", "xx"] * 4)], SCHEMA)
+    model = language.learn(docs, F.lit(True))
+    got = language.predict(docs, model).select("lang_pred").distinct().collect()
+    assert [r["lang_pred"] for r in got] == ["xx"]
+
+
 def test_query_on_the_given_table(spark):
     folder = "/root/testdata/sf0.001"
     got = queries.op8_language_id(spark, folder).join(
