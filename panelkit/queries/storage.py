@@ -165,18 +165,17 @@ def note_files(spark, folder):
 
 def _reply_files(spark, folder, path):
     """One response document per supplier, under a name that tells what is in it."""
-    rows = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("part"), F.to_json(F.struct(
-            F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("persona_uuid"),
-            F.struct(F.col("s_name").alias("vote"), F.col("s_name").alias("reason")).alias("parsed"),
-        )).alias("value"))
     stamp = F.concat(F.lit("20260101-"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 6, "0"))
-    names = table(spark, folder, "supplier").select(
-        F.col("s_suppkey"), columns.response_name(
+    sinks.write_named(table(spark, folder, "supplier").select(
+        columns.response_name(
             stamp, F.when(F.col("s_suppkey") % 3 == 0, "p/m").otherwise("q/n"),
             F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")),
-            F.concat(F.lit("v"), (F.col("s_suppkey") % 4).cast("string")))).collect()
-    return _named_files(spark, rows.repartition("part"), path, dict(map(tuple, names)))
+            F.concat(F.lit("v"), (F.col("s_suppkey") % 4).cast("string"))).alias("name"),
+        F.to_json(F.struct(
+            F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("persona_uuid"),
+            F.struct(F.col("s_name").alias("vote"), F.col("s_name").alias("reason")).alias("parsed"),
+        )).alias("text")), path)
+    return path
 
 
 @query("""SELECT 's' || s_suppkey AS persona_uuid, s_name AS vote FROM supplier

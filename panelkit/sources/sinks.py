@@ -5,8 +5,11 @@ that is repeated after a failure replaces its rows and never doubles them. Under
 of an attempt as well, a part is seen only once ``published`` names that attempt.
 """
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +87,48 @@ def write_chunks(df: DataFrame, path: str, fmt: str = "json", chunks_per_folder:
 def write_summary(df: DataFrame, path: str, run: str, attempt: str | None = None) -> None:
     """Metrics of a run."""
     df.write.mode("overwrite").json(_part(path, run, attempt))
+
+
+def write_named(df: DataFrame, path: str, name: str = "name", text: str = "text") -> int:
+    """Write texts as files of their own names, and return the number of files.
+
+    ``name`` is the file's path under ``path``; the rows that share one are its lines, in
+    order, and a null text is an empty line. The tasks write the files themselves, each
+    beside its place and then moved there, so a task that runs again replaces its files.
+    Spark's own writer would make a folder per file and move each from the driver.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = df.select(F.col(name).alias("name"), F.col(text).alias("text"))
+
+    files, root = pafs.FileSystem.from_uri(path)
+    files.create_dir(root, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pafs.FileSystem.from_uri(path)
+        beside = f"_{uuid.uuid4().hex}"
+        last, folder, out, written = None, None, None, 0
+
+        def close():
+            out.close()
+            files.move(f"{folder}/{beside}", f"{root}/{last}")
+
+        for rows in batches:
+            for file, line in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if file is None:
+                    raise ValueError("a file needs a name")
+                if file != last:
+                    if out:
+                        close()
+                    place = f"{root}/{file}".rpartition("/")[0]
+                    if place != folder:
+                        files.create_dir(place, recursive=True)
+                    last, folder, written = file, place, written + 1
+                    out = files.open_output_stream(f"{folder}/{beside}")
+                out.write(f"{line or ''}\n".encode())
+        if out:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    placed = lines.repartition(tasks, "name").sortWithinPartitions("name", "text")
+    counted = placed.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0)))
+    return counted.first()[0]
