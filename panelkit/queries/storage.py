@@ -155,12 +155,12 @@ def asset_files(spark, folder):
 @query("""SELECT CAST(s_suppkey // 10 + 1 AS INTEGER) AS chunk_id,
   CAST(s_suppkey % 10 AS INTEGER) AS idx, s_name || chr(10) AS text FROM supplier""")
 def note_files(spark, folder):
-    rows = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("part"), F.col("s_name").alias("value"))
-    path, keys = new_folder(spark, "note-files"), [r[0] for r in rows.select("part").collect()]
-    named = _named_files(spark, rows.repartition("part"), path, {
-        i: f"_{i // 10 + 1:03d}_results/{i % 10}.txt" for i in keys})
-    return readers.read_notes(spark, f"{named}/*")
+    key, path = F.col("s_suppkey"), new_folder(spark, "note-files")
+    chunk = F.format_string("%03d", F.floor(key / 10) + 1)
+    sinks.write_named(table(spark, folder, "supplier").select(
+        F.concat(F.lit("_"), chunk, F.lit("_results/"), key % 10, F.lit(".txt")).alias("name"),
+        F.col("s_name").alias("text")), path)
+    return readers.read_notes(spark, f"{path}/*")
 
 
 def _reply_files(spark, folder, path):
