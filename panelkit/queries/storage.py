@@ -118,38 +118,16 @@ def failure_files(spark, folder):
         "error", "model", "persona_uuid", "raw_response", "model_name")
 
 
-def _hadoop_names(spark, path, names):
-    """Give the only file of each folder of ``path`` its wanted name."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    for folder, name in names.items():
-        inside = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        part = next(f.getPath() for f in fs.listStatus(inside) if f.getPath().getName()[0] == "p")
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/named/{name}").getParent())
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/named/{name}"))
-
-
-def _named_files(spark, rows, path, names):
-    """Each row's text as a file of its own name; one folder per part first."""
-    rows.write.partitionBy("part").text(path)
-    _hadoop_names(spark, path, {f"part={k}": v for k, v in names.items()})
-    return f"{path}/named"
-
-
 @query("""SELECT k.kind, 'v' || s_suppkey AS version,
   CASE k.kind WHEN 'voter_context' THEN s_name ELSE 'of ' || s_name END || chr(10) AS text
 FROM supplier, (VALUES ('voter_context'), ('system_prompt')) k(kind)""")
 def asset_files(spark, folder):
-    kinds, supplier = ("voter_context", "system_prompt"), table(spark, folder, "supplier")
-    rows = supplier.select(F.explode(F.array(
-        F.struct((F.col("s_suppkey") * 2).alias("part"), F.col("s_name").alias("value")),
-        F.struct((F.col("s_suppkey") * 2 + 1).alias("part"),
-                 F.concat(F.lit("of "), "s_name").alias("value")))).alias("f")).select("f.*")
-    path, keys = new_folder(spark, "asset-files"), [r[0] for r in supplier.select("s_suppkey").collect()]
-    named = _named_files(spark, rows.repartition("part"), path, {
-        2 * i + k: f"{kind}_v{i}.md" for i in keys for k, kind in enumerate(kinds)})
-    return readers.read_assets(spark, named)
+    path, texts = new_folder(spark, "asset-files"), {
+        "voter_context": F.col("s_name"), "system_prompt": F.concat(F.lit("of "), "s_name")}
+    sinks.write_named(table(spark, folder, "supplier").select(F.inline(F.array(*[
+        F.struct(F.concat(F.lit(f"{kind}_v"), "s_suppkey", F.lit(".md")).alias("name"),
+                 text.alias("text")) for kind, text in texts.items()]))), path)
+    return readers.read_assets(spark, path)
 
 
 @query("""SELECT CAST(s_suppkey // 10 + 1 AS INTEGER) AS chunk_id,
