@@ -109,12 +109,11 @@ def document_files(spark, folder):
 FROM supplier""")
 def failure_files(spark, folder):
     path = new_folder(spark, "failure-files")
-    table(spark, folder, "supplier").repartition("s_suppkey").select(
-        F.col("s_suppkey").alias("part"),
+    sinks.write_named(table(spark, folder, "supplier").select(
+        F.format_string("FAIL_%d.txt", "s_suppkey").alias("name"),
         F.format_string("=== ERROR: missing keys: []\n=== MODEL: p/m\n=== UUID: s%d\n\n"
-                        "%s\nsecond line", "s_suppkey", "s_name").alias("value")
-    ).write.partitionBy("part").text(path)
-    return readers.read_failures(spark, f"{path}/*").select(
+                        "%s\nsecond line", "s_suppkey", "s_name").alias("text")), path)
+    return readers.read_failures(spark, path).select(
         "error", "model", "persona_uuid", "raw_response", "model_name")
 
 

@@ -27,7 +27,8 @@ N = 60
 
 
 @pytest.mark.parametrize("name, files, rows", [
-    ("named_documents", N, 10), ("note_files", N, N), ("asset_files", 2 * N, 2 * N)])
+    ("named_documents", N, 10), ("note_files", N, N), ("asset_files", 2 * N, 2 * N),
+    ("failure_files", N, N)])
 def test_no_folder_and_move_per_file(spark, tmp_path, monkeypatch, name, files, rows):
     """The driver neither makes a folder for each file nor moves files out of them."""
     pq.write_table(pa.table({"s_suppkey": pa.array(range(N), pa.int64()), "s_name": [
