@@ -11,6 +11,8 @@ import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Distinct stretches a worker remembers; then it starts anew. Speed only, never results.
 CACHED_WORDS = 1_000_000
@@ -63,13 +65,14 @@ class Encoder:
 
     def forget(self):
         self.words = WordNumbers()
+        self.words[b""] = 0  # stands before and after white space, and has no ids
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
 
-    def stretches(self, text: str) -> list[bytes] | None:
-        """Stretches of the text with A to Z in lower case, or None if that changes ids.
+    def lowered(self, text: str) -> bytes | None:
+        """The text with A to Z in lower case, or None if that changes ids.
 
         The library composes marks before it lowers case; where neither form of the text
         has anything to compose, the order does not matter. It takes added tokens out before
@@ -82,7 +85,22 @@ class Encoder:
                 unicodedata.is_normalized("NFC", text)
                 and unicodedata.is_normalized("NFC", lowered.decode())):
             return None
-        return lowered.split()
+        return lowered
+
+    def numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the stretches of all texts in a row, and how many each text has.
+
+        Equal stretches of these texts are looked up once.
+        """
+        edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        stretches = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(
+            len(texts), pa.py_buffer(edges), pa.py_buffer(b"".join(texts))))
+        coded = stretches.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary())
+        row = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+        words = pc.binary_join(row, pa.scalar(b"\n", pa.large_binary()))[0].as_py().split(b"\n")
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        return numbers[coded.indices.to_numpy()], pc.list_value_length(stretches).to_numpy()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -93,17 +111,15 @@ class Encoder:
             each = [self.whole(t) for t in texts]
             return (np.concatenate([np.zeros(0, np.uint32), *each]),
                     np.array([len(e) for e in each], np.int64))
-        numbers, counts, apart = [], [], {}
-        find = self.words.__getitem__
+        plain, apart = [], {}
         for k, text in enumerate(texts):
-            words = self.stretches(text)
-            if words is None:
+            lowered = self.lowered(text)
+            if lowered is None:
                 apart[k] = self.whole(text)
-                words = ()
-            counts.append(len(words))
-            numbers.extend(map(find, words))
+            plain.append(lowered or b"")
+        numbers, counts = self.numbered(plain)
         self.learn()
-        ids, ends = self.ids_at(np.array(numbers, np.int64))
+        ids, ends = self.ids_at(numbers)
         edges = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         lengths = np.diff(edges)
         if apart:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelkit.llm import packing, range_coder, token_files
+from panelkit.llm import packing, range_coder, token_files, tokens
 from panelkit.llm.tokens import Encoder
 from panelkit.runtime import new_folder
 
@@ -171,3 +171,20 @@ def test_bound_is_below_every_packing(lengths):
     assert packing.lower_bound(lengths, 20) <= true
     _, _, used = packing.best_fit_decreasing(lengths, 20)
     assert true <= used
+
+
+def test_equal_stretches_are_looked_up_once(monkeypatch):
+    asked = []
+
+    class Counted(tokens.WordNumbers):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(tokens, "WordNumbers", Counted)
+    tool = tokens.Encoder(PATH)
+    texts = [" Ab\tab \x0bAB cd\x1c", "", "\n", "ab " * 1000]
+    ids, lengths = tool.encode(texts)
+    want = [tool.whole(t).tolist() for t in texts]
+    assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+    assert sorted(asked) == [b"", b"ab", b"cd\x1c"]
