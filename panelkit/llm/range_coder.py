@@ -1,7 +1,7 @@
 """An adaptive context-mixing range coder for token ids, vectorised over lanes.
 
 A block is coded by itself. Its ids form a matrix of lanes, each a run of the block, and
-all lanes take a step together, so one numpy call codes a column of ids. The model is what
+all lanes take a step together, so one numpy call codes a row of ids. The model is what
 the lanes have had in earlier rounds of the block: followers of the last two ids, of the
 last id, all ids, and every id of the vocabulary once. A round ends at fixed shares of the
 steps; then both sides count anew, so the coder adapts and needs no table in the file.
@@ -10,6 +10,10 @@ The four predictions are mixed by weights that adapt by confidence class (how of
 two contexts were seen). An id is coded inside the part of the mixture where its share,
 weight times predicted probability, is largest: first the part, then the id in it. Inside a
 part, slots are the followers in sorted order, so a slot leads to its id by one lookup.
+
+A lane's range stays between 2^32 and 2^48, so every product and quotient of the coder is a
+whole number that a double holds exactly, and rows are computed in doubles. The encoder
+keeps what each step adds to a lane's code and where; sums and carries are settled at the end.
 """
 
 import zlib
@@ -21,62 +25,100 @@ LANES = 2048
 # The model counts at most about so many ids of a block.
 HISTORY = 1 << 19
 ROUNDS = (1 / 16, 1 / 4, 5 / 8)
-CONTEXTS = 1 << 17
-FOUND = 1 << 19
+# Steps that the encoder looks up at once.
+PIECE = 64
+CONTEXTS = 1 << 16
+FOUND_BITS = 19
 PART_BITS = 12
-ID_LIMIT = 1 << 17
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-LOW_MASK = np.uint64((1 << 32) - 1)
-WORD = np.uint64(16)
-ALL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
+ID_BITS, SIZE_BITS = 17, 20
+ID_LIMIT = 1 << ID_BITS
+TOP, BOTTOM, WORD = 2.0 ** 48, 2.0 ** 32, 2.0 ** 16
+# Words of 16 bits in a range.
+RANGE_WORDS = 3
+GROWTH = np.array([1.0, WORD, WORD * WORD])
 
 
 def pair_slot(two_back: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A pair's context number; pairs that fall together share their followers."""
-    mixed = (two_back * 0x9E3779B1 + last * 0x85EBCA6B) & 0xFFFFFFFF
-    return (mixed ^ (mixed >> 15)) & (CONTEXTS - 1)
+    mixed = two_back * np.uint32(0x9E3779B1) + last * np.uint32(0x85EBCA6B)
+    return (mixed ^ (mixed >> np.uint32(15))) & np.uint32(CONTEXTS - 1)
 
 
 def found_slot(key: np.ndarray) -> np.ndarray:
-    mixed = key * np.int64(0x9E3779B97F4A7C15 - (1 << 64))
-    return (mixed >> np.int64(44)) & (FOUND - 1)
+    if key.dtype == np.uint32:
+        return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - FOUND_BITS)
+    return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FOUND_BITS)
 
 
 class Followers:
-    """Ids that followed each context of one order, sorted by context and id."""
+    """Ids that followed each context of one order, in runs sorted by context and id.
+
+    ``runs`` has of each run its id, the slots of its context before it, and its own.
+    """
 
-    def __init__(self, context: np.ndarray, ids: np.ndarray, contexts: int, encoding: bool):
-        key = np.sort((context << 17) | ids)
-        self.ids = (key & 0x1FFFF).astype(np.int32)
+    def __init__(self, context: np.ndarray, ids: np.ndarray, contexts: int, bits: int):
+        self.bits = np.uint64(bits)
+        key = self.key(context, ids)
+        key.sort()
         n = len(key)
         fresh = np.ones(n, bool)
-        fresh[1:] = key[1:] != key[:-1]
-        heads = np.flatnonzero(fresh).astype(np.int32)
-        sizes = np.diff(heads, append=np.int32(n))
-        self.head = np.repeat(heads, sizes)
-        self.size = np.repeat(sizes, sizes)
-        self.count = np.bincount(context, minlength=contexts).astype(np.int32)
-        self.start = np.cumsum(self.count, dtype=np.int32) - self.count
-        if encoding:
-            # Two keys in one slot: the later stays, the other is coded by a lower order.
-            self.found = np.full(FOUND, -1, np.int32)
-            self.keys = key[heads]
-            self.heads, self.sizes = heads, sizes
-            self.found[found_slot(self.keys)] = np.arange(len(heads), dtype=np.int32)
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
+        heads = np.flatnonzero(fresh)
+        self.keys = key[heads]
+        self.sizes = np.diff(heads, append=n)
+        self.count = np.bincount(context, minlength=contexts)
+        self.start = np.cumsum(self.count) - self.count
+        self.context = (self.keys >> self.keys.dtype.type(bits)).astype(np.intp)
+        mask = self.keys.dtype.type((1 << bits) - 1)
+        self.runs = packed(self.keys & mask, heads - self.start.take(self.context), self.sizes)
+
+    def key(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Context and id in one number, of 32 bits if that is enough."""
+        kind = np.uint32 if self.bits <= 16 else np.uint64
+        return (context.astype(kind) << kind(self.bits)) | ids.astype(kind)
+
+    def index(self):
+        # Two keys in one slot: the later stays, the other is coded by a lower order.
+        self.found = np.zeros(1 << FOUND_BITS, np.int32)
+        self.found[found_slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+        self.chance = self.sizes / self.count.take(self.context)
 
     def look(self, context: np.ndarray, ids: np.ndarray):
-        """First slot and number of slots of an id after its context; 0 slots if none."""
+        """Which ids are found after their context, and the places of their runs."""
         if not len(self.keys):
-            none = np.zeros(len(ids), np.int32)
+            none = np.zeros(0, np.intp)
             return none, none
-        key = (context << 17) | ids
-        run = self.found[found_slot(key)]
-        # Nothing found is the last run, whose key differs or is the right one.
-        return self.heads[run], self.sizes[run] * (self.keys[run] == key)
+        key = self.key(context, ids)
+        # Nothing found is the first run, whose key differs or is the right one.
+        run = self.found.take(found_slot(key))
+        at = np.flatnonzero(self.keys.take(run) == key)
+        return at, run.take(at)
+
+
+class Alone:
+    """All ids without a context, as one run of slots for each that came."""
+
+    def __init__(self, ids: np.ndarray, vocabulary: int):
+        self.each = np.bincount(ids, minlength=vocabulary)
+        self.before = np.cumsum(self.each) - self.each
+        came = np.flatnonzero(self.each)
+        self.sizes = self.each.take(came)
+        self.count, self.start = np.array([len(ids)]), np.zeros(1, np.int64)
+        self.runs = packed(came, self.before.take(came), self.sizes)
+
+
+def packed(ids: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return (before << (ID_BITS + SIZE_BITS)) | (sizes << ID_BITS) | ids.astype(np.int64)
+
+
+def unpacked(runs: np.ndarray):
+    """Id, slots before it and slots of each run."""
+    return (runs & (ID_LIMIT - 1), runs >> (ID_BITS + SIZE_BITS),
+            (runs >> ID_BITS) & ((1 << SIZE_BITS) - 1))
 
 
 LEVELS = np.searchsorted(
-    np.array([1, 2, 4, 8, 16, 64, 256]), np.arange(257), side="right").astype(np.int8)
+    np.array([1, 2, 4, 8, 16, 64, 256]), np.arange(257), side="right").astype(np.int32)
 
 
 def confidence(count: np.ndarray) -> np.ndarray:
@@ -87,38 +129,75 @@ def confidence(count: np.ndarray) -> np.ndarray:
 class Model:
     """What both sides know at the start of a round."""
 
-    def __init__(self, ids, last, two_back, vocabulary: int, chosen: np.ndarray,
-                 encoding: bool):
-        none = np.zeros(len(ids), np.int64)
+    def __init__(self, ids, last, two_back, vocabulary: int, chosen: np.ndarray):
+        bits = vocabulary.bit_length()
+        self.vocabulary = vocabulary
         self.orders = [
-            Followers(pair_slot(two_back, last), ids, CONTEXTS, encoding),
-            Followers(last, ids, vocabulary + 1, encoding),
-            Followers(none, ids, 1, encoding)]
-        # One index over the contexts of all four parts, and one over their slots.
-        self.first = np.cumsum([0, CONTEXTS, vocabulary + 1, 1])
-        n = len(ids)
-        every = np.arange(vocabulary, dtype=np.int32)
-        self.total = np.concatenate(
-            [*(o.count for o in self.orders), np.array([vocabulary], np.int32)])
-        self.start = np.concatenate([*(o.start + np.int32(k * n) for k, o in enumerate(
-            self.orders)), np.array([3 * n], np.int32)])
-        if not encoding:
-            self.ids = np.concatenate([*(o.ids for o in self.orders), every])
-            self.head = np.concatenate([*(o.head + np.int32(k * n) for k, o in enumerate(
-                self.orders)), every + np.int32(3 * n)])
-            self.size = np.concatenate(
-                [*(o.size for o in self.orders), np.ones(vocabulary, np.int32)])
-        self.pair_class = confidence(self.orders[0].count) * np.int8(8)
+            Followers(pair_slot(two_back, last), ids, CONTEXTS, bits),
+            Followers(last, ids, vocabulary + 1, bits),
+            Alone(ids, vocabulary)]
+        self.pair_class = confidence(self.orders[0].count) * np.int32(8)
         self.last_class = confidence(self.orders[1].count)
         weights = chosen + 0.1
         share = np.floor(
             weights / weights.sum(1, keepdims=True) * ((1 << PART_BITS) - 8)).astype(np.int64) + 1
         share[:, 3] += (1 << PART_BITS) - share.sum(1)
-        self.weight = share
-        self.below = np.cumsum(share, axis=1) - share
-
-    def classes(self, pair, last):
-        return self.pair_class[pair] + self.last_class[last]
+        self.share = share
+        self.weight = share.ravel().astype(np.float64)
+        self.below = (np.cumsum(share, axis=1) - share).ravel().astype(np.float64)
+
+    def to_encode(self):
+        for order in self.orders[:2]:
+            order.index()
+        return self
+
+    def to_decode(self):
+        """One index over the contexts of all four parts, and one over their slots."""
+        n = [int(o.sizes.sum()) for o in self.orders]
+        self.first = np.cumsum([0, *(len(o.count) for o in self.orders)])
+        begins = np.cumsum([0, *n])
+        self.contexts = np.concatenate(
+            [*(((o.start + k) << SIZE_BITS) | o.count
+               for o, k in zip(self.orders, begins, strict=False)),
+             np.array([(begins[3] << SIZE_BITS) | self.vocabulary])])
+        every = np.arange(self.vocabulary, dtype=np.int64)
+        self.slots = np.concatenate(
+            [*(np.repeat(o.runs, o.sizes) for o in self.orders),
+             (every << (ID_BITS + SIZE_BITS)) | (1 << ID_BITS) | every])
+        # Cell of each 12-bit place in each class.
+        self.cells = np.repeat(np.arange(256, dtype=np.uint8), self.share.ravel())
+        self.pair_class = self.pair_class << PART_BITS
+        self.last_class = self.last_class << PART_BITS
+        return self
+
+    def places(self, ids, pair, last):
+        """Of each id its class and part as one cell, slots before it, its slots, all slots.
+
+        Starts from the part that has every id once, and takes each order that does better.
+        """
+        pair, last, ids = (x.astype(np.intp) for x in (pair, last, ids))
+        kind = (self.pair_class.take(pair) + self.last_class.take(last)).astype(np.intp)
+        many = int(self.orders[2].count[0])
+        share = self.share.T / np.array([[1], [1], [max(many, 1)], [self.vocabulary]])
+        size = self.orders[2].each.take(ids)
+        best, value = share[3].take(kind), share[2].take(kind) * size
+        alone = value > best
+        best = np.maximum(best, value)
+        cell = kind * 4 + 3 - alone
+        head = np.where(alone, self.orders[2].before.take(ids), ids).astype(np.float64)
+        size = np.where(alone, size, 1).astype(np.float64)
+        total = np.where(alone, float(many), float(self.vocabulary))
+        for k, context in ((1, last), (0, pair)):
+            order = self.orders[k]
+            at, run = order.look(context, ids)
+            kinds = kind.take(at)
+            value = share[k].take(kinds) * order.chance.take(run)
+            better = np.flatnonzero(value > best.take(at))
+            at, run = at.take(better), order.runs.take(run.take(better))
+            _, head[at], size[at] = unpacked(run)
+            best[at], total[at] = value.take(better), order.count.take(context.take(at))
+            cell[at] = kinds.take(better) * 4 + k
+        return cell, head, size, total
 
 
 @dataclass
@@ -128,6 +207,11 @@ class Plan:
     sizes: np.ndarray
     edges: list[int]
 
+    def active(self) -> list[int]:
+        """How many lanes have an id at each step."""
+        return (len(self.sizes) - np.searchsorted(
+            np.sort(self.sizes), np.arange(self.steps), side="right")).tolist()
+
 
 def plan_lanes(n: int) -> Plan:
     """Lanes of equal runs; only the last that has ids may be shorter, later ones are empty."""
@@ -147,100 +231,77 @@ def contexts(matrix: np.ndarray, vocabulary: int):
     return last, two_back
 
 
-def history(matrix, last, two_back, plan: Plan, upto: int):
+def history(matrix, vocabulary: int, plan: Plan, upto: int):
     """Ids and contexts of the steps before ``upto``, as far as the model counts."""
     upto = min(upto, max(1, HISTORY // plan.lanes))
     lanes = int((plan.sizes >= upto).sum()) if upto else 0
-    return tuple(x[:upto, :lanes].ravel() for x in (matrix, last, two_back))
-
-
-class Encoder:
-    def __init__(self, plan: Plan):
-        n = plan.lanes
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, ALL)
-        self.words = np.zeros((n, plan.steps * 3 + 16), np.uint16)
-        self.used = np.zeros(n, np.int64)
-
-    def settle(self, n: int):
-        """Write out what no later id can change, until every range is wide again."""
-        low, wide = self.low[:n], self.range[:n]
-        same = (low ^ (low + wide)) < TOP
-        at = np.flatnonzero(same | (wide < BOTTOM))
-        while len(at):
-            a, w = low[at], wide[at]
-            w = np.where((a ^ (a + w)) < TOP, w, (~a + np.uint64(1)) & LOW_MASK)
-            self.words[at, self.used[at]] = a >> np.uint64(48)
-            self.used[at] += 1
-            a, w = a << WORD, w << WORD
-            low[at], wide[at] = a, w
-            at = at[((a ^ (a + w)) < TOP) | (w < BOTTOM)]
-
-    def finish(self) -> np.ndarray:
-        for shift in (48, 32, 16, 0):
-            every = np.arange(len(self.low))
-            self.words[every, self.used] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
-            self.used += 1
-        return np.concatenate([w[:n] for w, n in zip(self.words, self.used, strict=True)])
+    ids = matrix[:upto, :lanes]
+    return tuple(x.ravel() for x in (ids, *contexts(ids, vocabulary)))
+
+
+def settled(added: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each lane, and all words: every step's sum at its place, with carries.
+
+    ``added`` is what a step adds to a lane's code, ``moved`` the words it moves on after.
+    """
+    used = moved.sum(0, dtype=np.int64) + RANGE_WORDS
+    at = np.cumsum(used) - used
+    words = np.zeros(int(used.sum()), np.int64)
+    for t in range(0, len(added), PIECE):
+        shift = moved[t:t + PIECE]
+        ends = np.cumsum(shift, axis=0, dtype=np.int64) + at
+        np.add.at(words, (ends - shift).ravel() + (RANGE_WORDS - 1), added[t:t + PIECE].ravel())
+        at = ends[-1]
+    # What falls on one place, and a whole code, is below the range, so no carry leaves a lane.
+    while (carry := words >> 16).any():
+        words &= 0xFFFF
+        words[:-1] += carry[1:]
+    return used, words
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block's ids as bytes: number of words of each lane, then all words.
 
-    An id and its context share a 64-bit key, in which an id has 17 bits.
+    A packed run has 17 bits for an id.
     """
     if vocabulary > ID_LIMIT:
         raise ValueError(f"the coder takes vocabularies of up to {ID_LIMIT} ids, not {vocabulary}")
     plan = plan_lanes(len(ids))
     if not len(ids):
         return b""
-    padded = np.zeros(plan.lanes * plan.steps, np.int64)
+    padded = np.zeros(plan.lanes * plan.steps, np.uint32)
     padded[:len(ids)] = ids
     matrix = np.ascontiguousarray(padded.reshape(plan.lanes, plan.steps).T)
     last, two_back = contexts(matrix, vocabulary)
     pair = pair_slot(two_back, last)
-    coder = Encoder(plan)
-    chosen = np.zeros((64, 4))
-    active = (plan.sizes[None, :] > np.arange(plan.steps)[:, None]).sum(1)
+    del two_back
+    added = np.zeros((plan.steps, plan.lanes), np.int64)
+    moved = np.zeros((plan.steps, plan.lanes), np.uint8)
+    state = np.full(plan.lanes, TOP)
+    chosen, active = np.zeros((64, 4)), plan.active()
     for begin, end in zip(plan.edges, plan.edges[1:], strict=False):
-        model = Model(*history(matrix, last, two_back, plan, begin), vocabulary, chosen, True)
-        wanted, p, b = (x[begin:end].ravel() for x in (matrix, pair, last))
-        kind = model.classes(p, b).astype(np.intp)
-        # Start from the part that has every id once, and take each order that does better.
-        share = (model.weight / np.array([1, 1, 1, vocabulary])).astype(np.float32)
-        part = np.full(len(wanted), 3, np.int8)
-        best = share[:, 3][kind]
-        head, size = wanted.astype(np.int32), np.ones(len(wanted), np.int32)
-        total = np.full(len(wanted), vocabulary, np.int32)
-        for k, place in enumerate((p, b, None)):
-            order = model.orders[k]
-            found, count = order.look(np.zeros_like(b) if place is None else place, wanted)
-            slots = order.count[0] if place is None else order.count[place]
-            value = share[:, k][kind] * count / np.maximum(slots, 1)
-            better = value > best
-            best = np.where(better, value, best)
-            begins = 0 if place is None else order.start[place]
-            head = np.where(better, found - begins, head)
-            size = np.where(better, count, size)
-            total = np.where(better, slots, total)
-            part[better] = k
-        shape = (end - begin, plan.lanes)
-        cell = kind * 4 + part
-        columns = [x.reshape(shape).astype(np.uint64) for x in (
-            model.below.ravel()[cell], model.weight.ravel()[cell], head, size, total)]
-        for t in range(begin, end):
-            m = int(active[t])
-            low, wide = coder.low[:m], coder.range[:m]
-            below, weight, first, span, all_slots = (c[t - begin, :m] for c in columns)
-            unit = wide >> np.uint64(PART_BITS)
-            low += below * unit
-            unit = (weight * unit) // all_slots
-            low += first * unit
-            np.multiply(span, unit, out=wide)
-            coder.settle(m)
-        real = (np.arange(begin, end)[:, None] < plan.sizes[None, :]).ravel()
-        chosen += np.bincount(cell[real], minlength=256).reshape(64, 4)
-    words = coder.finish()
-    return coder.used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+        model = Model(*history(matrix, vocabulary, plan, begin), vocabulary, chosen).to_encode()
+        for left in range(begin, end, PIECE):
+            right = min(left + PIECE, end)
+            cells, *columns = model.places(*(x[left:right].ravel() for x in (matrix, pair, last)))
+            rows = [x.reshape(right - left, plan.lanes) for x in (
+                model.below.take(cells), model.weight.take(cells), *columns)]
+            for t in range(left, right):
+                m = active[t]
+                below, weight, head, size, total = (x[t - left, :m] for x in rows)
+                wide = state[:m]
+                unit = np.floor(wide * 0.5 ** PART_BITS)
+                inner = np.floor(weight * unit / total)
+                added[t, :m] = below * unit + head * inner
+                np.multiply(size, inner, out=wide)
+                # A range is 1 or more, so two words bring it above the bottom.
+                short = np.add(
+                    wide < BOTTOM, wide < BOTTOM / WORD, out=moved[t, :m], dtype=np.uint8)
+                wide *= GROWTH.take(short)
+            real = (np.arange(left, right)[:, None] < plan.sizes[None, :]).ravel()
+            chosen += np.bincount(cells[real], minlength=256).reshape(64, 4)
+    used, words = settled(added, moved)
+    return used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
 
 def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
@@ -251,68 +312,60 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
     lanes, steps = plan.lanes, plan.steps
     used = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.concatenate([
-        np.frombuffer(data, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(8, np.uint64)])
-    at = np.cumsum(used) - used
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << WORD) | words[at]
-        at += 1
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, ALL)
-    matrix = np.zeros((steps, lanes), np.int64)
-    last = np.full((steps, lanes), vocabulary, np.int64)
-    two_back = np.full((steps, lanes), vocabulary, np.int64)
-    chosen = np.zeros((64, 4))
-    active = (plan.sizes[None, :] > np.arange(steps)[:, None]).sum(1)
-    top = np.uint64((1 << PART_BITS) - 1)
+        np.frombuffer(data, "<u2", offset=4 * lanes).astype(np.float64), np.zeros(8)])
+    ats = np.cumsum(used) - used
+    # Where a lane's code lies in its range.
+    codes = np.zeros(lanes)
+    for _ in range(RANGE_WORDS):
+        codes = codes * WORD + words[ats]
+        ats += 1
+    state = np.full(lanes, TOP)
+    matrix = np.zeros((steps, lanes), np.uint32)
+    none = np.full(lanes, vocabulary, np.uint32)
+    chosen, active = np.zeros((64, 4)), plan.active()
+    every, top = np.arange(lanes), 2.0 ** PART_BITS - 1
+    part_row = np.tile(np.arange(4) * lanes, 64)
     for begin, end in zip(plan.edges, plan.edges[1:], strict=False):
-        model = Model(*history(matrix, last, two_back, plan, begin), vocabulary, chosen, False)
-        # Part of each 12-bit place in each class; then everything by one index.
-        spots = np.stack([np.repeat(np.arange(4, dtype=np.int8), w) for w in model.weight])
-        spots, bits = spots.ravel(), PART_BITS
-        weight, below = (x.ravel().astype(np.uint64) for x in (model.weight, model.below))
-        total, start, head, size = model.total, model.start, model.head, model.size
-        cells = []
-        fixed = np.zeros((4, lanes), np.int64)
-        fixed[2], fixed[3] = model.first[2], model.first[3]
-        places, every = fixed.ravel(), np.arange(lanes)
+        model = Model(*history(matrix, vocabulary, plan, begin), vocabulary, chosen).to_decode()
+        places = np.repeat(model.first, lanes)
+        picked = np.zeros(256, np.int64)
         for t in range(begin, end):
-            m = int(active[t])
-            if t:
-                last[t, :m] = matrix[t - 1, :m]
-            if t > 1:
-                two_back[t, :m] = matrix[t - 2, :m]
-            b = last[t, :m]
-            p = pair_slot(two_back[t, :m], b)
-            kind = (model.pair_class[p] + model.last_class[b]).astype(np.intp)
-            a, w, c = low[:m], wide[:m], code[:m]
-            unit = w >> np.uint64(bits)
-            spot = np.minimum((c - a) // unit, top).astype(np.int64)
-            part = spots[(kind << bits) + spot].astype(np.int64)
-            cell = kind * 4 + part
-            a += below[cell] * unit
-            places[:m] = p
-            places[lanes:lanes + m] = b + model.first[1]
-            place = places[part * lanes + every[:m]]
-            slots = total[place].astype(np.uint64)
-            unit = (weight[cell] * unit) // slots
-            slot = np.minimum((c - a) // unit, slots - np.uint64(1)).astype(np.int64)
-            begin_at = start[place]
-            here = begin_at + slot
-            matrix[t, :m] = model.ids[here]
-            a += (head[here] - begin_at).astype(np.uint64) * unit
-            np.multiply(size[here].astype(np.uint64), unit, out=w)
-            need = np.flatnonzero(((a ^ (a + w)) < TOP) | (w < BOTTOM))
+            m = active[t]
+            last = (matrix[t - 1] if t else none)[:m]
+            pair = pair_slot((matrix[t - 2] if t > 1 else none)[:m], last)
+            code, wide, at = codes[:m], state[:m], ats[:m]
+            unit = np.floor(wide * 0.5 ** PART_BITS)
+            spot = np.minimum(code / unit, top).astype(np.int32)
+            spot += model.pair_class.take(pair)
+            spot += model.last_class.take(last)
+            cell = model.cells.take(spot)
+            code -= model.below.take(cell) * unit
+            places[:m] = pair
+            np.add(last, model.first[1], out=places[lanes:lanes + m], casting="unsafe")
+            context = model.contexts.take(places.take(part_row.take(cell) + every[:m]))
+            total = (context & ((1 << SIZE_BITS) - 1)).astype(np.float64)
+            inner = np.floor(model.weight.take(cell) * unit / total)
+            slot = np.minimum(code / inner, total - 1).astype(np.int64)
+            slot += context >> SIZE_BITS
+            ids, before, size = unpacked(model.slots.take(slot))
+            matrix[t, :m] = ids
+            code -= before * inner
+            np.multiply(size, inner, out=wide)
+            small = wide < BOTTOM
+            grow = np.where(small, WORD, 1.0)
+            code *= grow
+            code += words.take(at) * small
+            at += small
+            wide *= grow
+            need = np.flatnonzero(wide < BOTTOM)
             while len(need):
-                x, y = a[need], w[need]
-                y = np.where((x ^ (x + y)) < TOP, y, (~x + np.uint64(1)) & LOW_MASK)
-                c[need] = (c[need] << WORD) | words[at[need]]
+                code[need] = code[need] * WORD + words[at[need]]
                 at[need] += 1
-                x, y = x << WORD, y << WORD
-                a[need], w[need] = x, y
-                need = need[((x ^ (x + y)) < TOP) | (y < BOTTOM)]
-            cells.append(cell)
-        chosen += np.bincount(np.concatenate(cells), minlength=256).reshape(64, 4)
-    return matrix.T.ravel()[:n]
+                wide[need] *= WORD
+                need = need[wide[need] < BOTTOM]
+            picked += np.bincount(cell, minlength=256)
+        chosen += picked.reshape(64, 4)
+    return matrix.T.ravel()[:n].astype(np.int64)
 
 
 def checksum(data: bytes) -> int:

@@ -188,3 +188,65 @@ def test_equal_stretches_are_looked_up_once(monkeypatch):
     want = [tool.whole(t).tolist() for t in texts]
     assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
     assert sorted(asked) == [b"", b"ab", b"cd\x1c"]
+
+
+def test_marks_after_letters_of_any_kind(tool):
+    stems = ["a", "é", "ÿ", "×", "÷", "ª", "İ", "ƻ", "ȺÀ", "ɐ", "ɏ", "σΣ", "1", "a1", "'", "it's",
+             "…", ""]
+    texts = [s + m + end for s in stems for m in [*tokens.MARKS.decode(), "'", "$$'s", "-.'ll"]
+             for end in ("", "b", " c")]
+    ids, lengths = tool.encode(texts)
+    want = [tool.whole(t).tolist() for t in texts]
+    assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+
+
+def test_words_with_marks_and_accents_are_asked_of_the_model(monkeypatch):
+    tool = Encoder(PATH)
+    tool.encode(["$$$ , ?!"])
+    text = "été$$$ onthe, aǆa?! Éelleç"
+    want = tool.whole(text).tolist()
+    rows, plain = [], tool.row_ids
+
+    def row_ids(row, used):
+        rows.append(used)
+        return plain(row, used)
+
+    monkeypatch.setattr(tool, "row_ids", row_ids)
+    assert tool.encode([text])[0].tolist() == want
+    assert rows and all(used is tool.by_space for used in rows)
+
+
+def test_words_that_came_again_stay_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 6)
+    tool = Encoder(PATH)
+    for text in ("often seen", "often seen once", "one two three often.", "a b c often é,"):
+        assert tool.encode([text])[0].tolist() == tool.whole(text).tolist()
+    assert b"often" in tool.words and b"once" not in tool.words
+    assert len(tool.words) < 12
+
+
+def test_sums_of_the_coder_carry_as_whole_numbers():
+    draw = np.random.default_rng(3)
+    added = draw.integers(0, 1 << 40, (200, 5))
+    added[draw.random((200, 5)) < 0.3] = (1 << 40) - 1
+    moved = draw.integers(0, 3, (200, 5)).astype(np.uint8)
+    moved[:2, 0] = 1
+    added[2:, 0] = 0
+    added[:3, 0] = 0x00FF_FFFF_FFFF, 0xFFFF_FFFF, 0x1_0000
+    used, words = range_coder.settled(added, moved)
+    assert ((words >= 0) & (words < 1 << 16)).all()
+    for lane, part in enumerate(np.split(words, np.cumsum(used)[:-1])):
+        total, shift = 0, 0
+        for a, m in zip(added[:, lane].tolist(), moved[:, lane].tolist(), strict=True):
+            total += a << (16 * (int(used[lane]) - range_coder.RANGE_WORDS - shift))
+            shift += m
+        assert sum(w << (16 * k) for k, w in enumerate(part[::-1].tolist())) == total
+
+
+@pytest.mark.parametrize("vocabulary", [65_535, 65_536, 100_000, range_coder.ID_LIMIT])
+def test_coder_round_trip_of_other_vocabularies(vocabulary):
+    draw = np.random.default_rng(vocabulary)
+    ids = np.where(draw.random(70_001) < 0.7, draw.zipf(1.2, 70_001) % vocabulary,
+                   draw.integers(vocabulary - 9, vocabulary, 70_001)).astype(np.int64)
+    data = range_coder.encode(ids, vocabulary)
+    assert (range_coder.decode(data, len(ids), vocabulary) == ids).all()
